@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import exact_dedup, mixing, near_dedup, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
