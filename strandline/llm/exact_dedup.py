@@ -56,7 +56,10 @@ class DigestIndex:
 
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The groups whose digest the index lacks: a sort-merge anti-join; the index side is not shuffled."""
-        return groups.join(self.read().hint("merge"), "digest", "left_anti")
+        # The planner would move a plain anti-join below the aggregation, where a hot digest still has all its
+        # rows; a condition on an aggregate keeps it above. It is true of every group.
+        seen = self.read().select(F.col("digest").alias("seen")).hint("merge")
+        return groups.join(seen, (groups["digest"] == seen["seen"]) & (groups["n"] > 0), "left_anti")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
