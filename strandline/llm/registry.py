@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, url_filter
+from . import bpe, exact_dedup, mixing, near_dedup, substring_dedup, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_bpe": bpe.op5_bpe,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
     "op2_url_filter": url_filter.SQL,
     "op4_mix_sources": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
 }
