@@ -14,9 +14,9 @@ What keeps large groups linear:
 1. documents with equal shingle sets are folded to one representative before banding;
 2. within a bucket each member is paired with the bucket's centre only (the smallest id in even bands, the
    smallest hashed id in odd ones), and pairs are verified on the full shingle sets;
-3. buckets that still hold several components are searched in hashed blocks of bounded size in memory, where
-   only pairs across components whose sketches agree enough come out (below: exhaust()). So no pair that shares a
-   band is lost, and no group's pairs are all emitted.
+3. buckets that still hold several components are searched in hashed blocks of bounded size, in memory: pairs
+   across components whose sketches agree enough are verified there and then, and only links come out (below:
+   exhaust()). So no link that shares a band is lost, and no group's pairs are emitted.
 
 Components are found by hooking to the smallest neighbour and pointer jumping, in DataFrames; nothing about
 documents reaches the driver but counts.
@@ -49,8 +49,8 @@ ROWS = 4
 BANDS = COORDS // ROWS
 #: Least number of agreeing coordinates for a pair inside a block: 5.3 standard deviations under 0.75 * 128.
 AGREE = 70
-#: Members of a bucket that one task compares at a time.
-BLOCK = 1024
+#: Shingles of a bucket's members in one block; one task compares two blocks at a time.
+BLOCK = 500_000
 #: Members of a centre that one task verifies.
 CHUNK = 256
 _STEP = 0xD1B54A32D192ED03
@@ -170,11 +170,12 @@ def verified(pairs: DataFrame, docs: DataFrame, num: int = 75, den: int = 100) -
     Texts travel once per pair, to chunks of at most about CHUNK members of one centre b, next to the centre's
     own text; a task holds one centre and one batch at a time.
     """
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    placed = pairs.join(sizes, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("long"))
+    # Centres of one chunk need no join; what is left is small or, where it is not, split by adaptive execution.
+    large = written(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).filter("chunks > 1"), "large")
+    placed = pairs.join(large, "b", "left").withColumn("chunk", F.pmod(F.xxhash64("a"), F.coalesce("chunks", F.lit(1))).cast("long"))
     placed = placed.select("b", "chunk", F.lit(1).alias("role"), F.col("a").alias("id"))
-    centres = sizes.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("b").alias("id"))
-    rows = placed.unionByName(centres).join(docs.select("id", "text"), "id")
+    centres = placed.select("b", "chunk", F.lit(0).alias("role"), F.col("b").alias("id")).distinct()
+    rows = placed.unionByName(centres).join(docs.select("id", "text").hint("merge"), "id")
     rows = rows.repartition("b", "chunk").sortWithinPartitions("b", "chunk", "role")
     return rows.select("b", "chunk", "role", "id", "text").mapInPandas(_verify_batches(num, den), "a long, b long").distinct()
 
@@ -203,57 +204,112 @@ def components(links: DataFrame) -> DataFrame:
         roots = written(roots.join(hooks, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "roots")
 
 
-def _block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, i, j, block, id, n, comp, sig) sorted by key, i, j: pairs across components whose sketches agree."""
-    held, key = [], None
-
-    def flush() -> pd.DataFrame | None:
-        if len(held) < 2:
-            return None
-        _, i, j, block, ids, n, comp, sig = (list(x) for x in zip(*held))
-        s = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(held), COORDS)
-        ids, n, comp, block = (np.array(x, dtype=np.int64) for x in (ids, n, comp, block))
-        out_a, out_b = [], []
-        for k in range(len(held) - 1):
-            rest = np.arange(k + 1, len(held))
-            ok = (comp[rest] != comp[k]) & (4 * np.minimum(n[rest], n[k]) >= 3 * np.maximum(n[rest], n[k]))
-            if i[0] != j[0]:
-                ok &= block[rest] != block[k]
-            rest = rest[ok]
-            if len(rest):
-                rest = rest[(s[rest] == s[k]).sum(axis=1) >= AGREE]
-                out_a.append(np.maximum(ids[rest], ids[k]))
-                out_b.append(np.minimum(ids[rest], ids[k]))
-        if not out_a:
-            return None
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+_UNIT = ("key", "i", "j", "block", "id", "n", "comp", "centre", "sig", "bands")
 
+
+def _units(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> Iterator[dict[str, list]]:
+    """Rows sorted by (key, i, j), one unit of work at a time."""
+    held: list[tuple] = []
     for batch in batches:
-        for row in zip(*[batch[c].array for c in ("key", "i", "j", "block", "id", "n", "comp", "sig")]):
-            if row[:3] != key:
-                if (found := flush()) is not None:
-                    yield found
-                held, key = [], row[:3]
+        for row in zip(*[batch[c].array for c in columns]):
+            if held and row[:3] != held[0][:3]:
+                yield dict(zip(columns, map(list, zip(*held))))
+                held = []
             held.append(row)
-    if (found := flush()) is not None:
-        yield found
+    if held:
+        yield dict(zip(columns, map(list, zip(*held))))
+
+
+def _likely(u: dict[str, list]) -> list[tuple[int, np.ndarray]]:
+    """(k, later members) of a unit that are worth an exact look.
+
+    They are in different components and, if the unit is two blocks, in different ones; sizes allow the similarity;
+    sketches agree in AGREE coordinates; neither is the bucket's centre, whose pairs have been verified; and this
+    bucket is the first that they share, so that no pair is looked at in two buckets.
+    """
+    sig = np.frombuffer(b"".join(u["sig"]), dtype=np.uint8).reshape(-1, COORDS)
+    bands = np.stack(u["bands"])
+    ids, n, comp, block = (np.array(u[x], dtype=np.int64) for x in ("id", "n", "comp", "block"))
+    usual = ids != u["centre"][0]
+    this = int(np.flatnonzero(bands[0] == u["key"][0])[0])
+    out = []
+    for k in np.flatnonzero(usual[:-1]):
+        rest = np.arange(k + 1, len(ids))
+        ok = usual[rest] & (comp[rest] != comp[k]) & (4 * np.minimum(n[rest], n[k]) >= 3 * np.maximum(n[rest], n[k]))
+        if u["i"][0] != u["j"][0]:
+            ok &= block[rest] != block[k]
+        rest = rest[ok]
+        if len(rest):
+            rest = rest[((sig[rest] == sig[k]).sum(axis=1) >= AGREE) & ~(bands[rest, :this] == bands[k, :this]).any(axis=1)]
+        if len(rest):
+            out.append((int(k), rest))
+    return out
+
+
+def _screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each unit that have a likely partner in it."""
+    for u in _units(batches, _UNIT):
+        likely = _likely(u)
+        if likely:
+            at = np.unique(np.concatenate([[k for k, _ in likely], *[r for _, r in likely]]).astype(np.int64))
+            yield pd.DataFrame({c: [u[c][k] for k in at] for c in _UNIT})
+
+
+def _settle(num: int, den: int):
+    """Links of each unit, from full sets, until its likely pairs are in one component or found unlike."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for u in _units(batches, (*_UNIT, "text")):
+            tree = {c: c for c in u["comp"]}
+
+            def root(c: int) -> int:
+                while tree[c] != c:
+                    tree[c] = tree[tree[c]]
+                    c = tree[c]
+                return c
+
+            sets: dict[int, np.ndarray] = {}
+
+            def of(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingle_set(u["text"][k], hashes)
+                return sets[k]
+
+            a, b = [], []
+            for k, rest in _likely(u):
+                for m in rest.tolist():
+                    if root(u["comp"][k]) == root(u["comp"][m]):
+                        continue
+                    x, y = of(k), of(m)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * both >= num * (len(x) + len(y) - both):
+                        tree[root(u["comp"][k])] = root(u["comp"][m])
+                        a.append(max(u["id"][k], u["id"][m]))
+                        b.append(min(u["id"][k], u["id"][m]))
+            if a:
+                yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    return run
 
 
-def exhaust(members: DataFrame, roots: DataFrame, sigs: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket, agree in AGREE coordinates and are not tried yet.
+def exhaust(members: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket and that the buckets' centres did not show.
 
-    Buckets that one component fills are done. Of the others, members are hashed to blocks of about BLOCK, and
-    each pair of blocks is one unit of work, so no task holds more than two blocks.
+    Buckets that one component fills are done. Of the others, members are hashed to blocks of about BLOCK shingles,
+    and each pair of blocks is a unit of work, so no task holds more than two blocks. Units are screened by
+    sketches first; only members with a likely partner get their texts.
     """
-    known = members.join(roots, "id", "left").select("key", "id", "n", "size", F.coalesce("root", "id").alias("comp"))
-    mixed_keys = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    left = known.join(mixed_keys, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long")).join(sigs, "id")
+    known = members.join(roots, "id", "left").select("key", "id", "n", "centre", "weight", F.coalesce("root", "id").alias("comp"))
+    several = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    left = known.join(several, "key").withColumn("blocks", F.ceil(F.col("weight") / BLOCK))
+    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long")).join(reps.select("id", "sig", "bands"), "id")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "comp", "sig")
-    found = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_block_pairs, "a long, b long").distinct()
-    pairs = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return found.join(pairs, ["a", "b"], "left_anti")
+    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "comp", "centre", "sig", "bands")
+    shape = "key long, i long, j long, block long, id long, n long, comp long, centre long, sig binary, bands array<long>"
+    units = written(left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_screen, shape), "units")
+    rows = units.join(texts.hint("merge"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.select(*_UNIT, "text").mapInPandas(_settle(num, den), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
@@ -267,17 +323,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = usable.join(copies.select("id", "digest"), ["id", "digest"], "left_anti").dropDuplicates(["id", "digest"])
     banded = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
     banded = banded.select("key", "id", "n", F.when(F.col("band") % 2 == 0, F.col("id")).otherwise(F.xxhash64("id")).alias("order"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", "order").alias("centre"), F.min_by("n", "order").alias("centre_n")).filter("size > 1")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", "order").alias("centre"), F.min_by("n", "order").alias("centre_n"), F.sum("n").alias("weight")).filter("size > 1")
     members = written(banded.drop("order").join(buckets, "key"), "members")
     near_size = den * F.least("n", "centre_n") >= num * F.greatest("n", "centre_n")
     pairs = written(members.filter(near_size & (F.col("id") != F.col("centre"))).select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct(), "pairs")
-    first = written(verified(pairs, texts, num, den), "links")
+    # Only documents that share a bucket are read again: one shuffle of the texts, at any size.
+    near = written(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "near")
+    first = written(verified(pairs, near, num, den), "links")
     roots = components(first)
-    more = written(exhaust(members.filter("size > 2"), roots, reps.select("id", "sig"), pairs), "pairs")
+    more = written(exhaust(members.filter("size > 2"), roots, reps, near, num, den), "links")
     if more.limit(1).count():
-        second = written(verified(more, texts, num, den), "links")
-        if second.limit(1).count():
-            roots = components(written(first.unionByName(second), "links"))
+        roots = components(written(first.unionByName(more), "links"))
     # A copy's component is its representative's.
     of_copies = copies.select("id", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     if_repeated = of_copies.unionByName(roots).groupBy("id").agg(F.min("root").alias("root"))
