@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import shared_dir, written
+
+__all__ = ["WS", "lower_ascii", "shared_dir", "shuffle_parts", "table", "written"]
+
 #: White space of the word and text contracts: the six ASCII characters, nothing else.
 WS = r"[\x20\x09-\x0D]"
 
@@ -16,39 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
-
-    Only where the session names none (tests, a laptop) is a folder of our own set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "/tmp/checkpoints/strandline"
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Cut lineage by writing df as a Parquet table in the shared folder and reading that back.
-
-    A lost executor then costs a re-read, not a recomputation of everything before. The codec is zstd, so
-    that such a table takes less disk than the shuffle it replaces.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline/{label}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a table that written() returned, once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -343,3 +343,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stand for their group, with all their columns; rows with a null id stay."""
+    found = near_groups(docs, id_col, text_col)
+    gone = found.filter(F.col("id").isNotNull() & (F.col("id") != F.col("component"))).select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
