@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,9 +50,9 @@ def _pattern() -> regex.Pattern:
 
 
 WORD = _pattern()
-_SPACES = frozenset(SPACE)
+_DOUBLE = re.compile(rf"[{SPACE}][{SPACE}]")
 LONG = 128
-CACHE = 400_000
+CACHE = 600_000
 _FAR = 1 << 60
 
 
@@ -63,9 +65,10 @@ def byte_alphabet() -> dict[int, str]:
 
 @dataclass
 class Vocabulary:
-    """ranks: (left id, right id) to (rank, merged id); tokens: bytes by id; added: contents with ids of their own."""
+    """ranks: (left id, right id) to rank; merged: id by rank; tokens: bytes by id; added: contents with their own ids."""
 
-    ranks: dict[tuple[int, int], tuple[int, int]]
+    ranks: dict[tuple[int, int], int]
+    merged: list[int]
     tokens: list[bytes]
     byte_ids: list[int]
     added: dict[str, int] = field(default_factory=dict)
@@ -87,83 +90,105 @@ class Vocabulary:
         for token, i in (vocab | added).items():
             known = all(c in of_char for c in token)
             tokens[i] = bytes(of_char[c] for c in token) if known else token.encode()
-        ranks = {}
+        ranks, merged = {}, []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            ranks.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
-        return cls(ranks, tokens, [vocab[c] for _, c in sorted(byte_alphabet().items())], added)
+            ranks.setdefault((vocab[left], vocab[right]), rank)
+            merged.append(vocab[left + right])
+        return cls(ranks, merged, tokens, [vocab[c] for _, c in sorted(byte_alphabet().items())], added)
 
 
-def merge_short(parts: list[int], ranks: dict) -> list[int]:
+def merge_short(parts: list[int], ranks: dict, merged: list[int]) -> list[int]:
     """Parts of one word after all merges: scan for the least rank, delete its boundary, refresh its neighbours."""
-    none = (_FAR, 0)
-    near = [ranks.get(pair, none) for pair in zip(parts, parts[1:])]
+    rank_of = ranks.get
+    near = [rank_of(pair, _FAR) for pair in zip(parts, parts[1:])]
     while near:
         best = min(near)
-        if best[0] == _FAR:
+        if best == _FAR:
             break
         k = near.index(best)
-        parts[k] = best[1]
+        parts[k] = new = merged[best]
         del parts[k + 1], near[k]
         if k:
-            near[k - 1] = ranks.get((parts[k - 1], parts[k]), none)
+            near[k - 1] = rank_of((parts[k - 1], new), _FAR)
         if k < len(near):
-            near[k] = ranks.get((parts[k], parts[k + 1]), none)
+            near[k] = rank_of((new, parts[k + 1]), _FAR)
     return parts
 
 
-def merge_long(parts: list[int], ranks: dict) -> list[int]:
+def merge_long(parts: list[int], ranks: dict, merged: list[int]) -> list[int]:
     """The same for long words: ranks in a heap, boundaries in a linked list."""
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
-    heap = [(*found, k, parts[k], parts[k + 1]) for k in range(n - 1) if (found := ranks.get((parts[k], parts[k + 1])))]
+    heap = [(rank, k, pair) for k, pair in enumerate(zip(parts, parts[1:])) if (rank := ranks.get(pair)) is not None]
     heapq.heapify(heap)
+
+    def offer(k: int) -> None:
+        pair = (parts[k], parts[after[k]])
+        if (rank := ranks.get(pair)) is not None:
+            heapq.heappush(heap, (rank, k, pair))
+
     while heap:
-        _, merged, k, left, right = heapq.heappop(heap)
+        rank, k, pair = heapq.heappop(heap)
         j = after[k]
-        if not alive[k] or parts[k] != left or j >= n or parts[j] != right:
+        if not alive[k] or j >= n or (parts[k], parts[j]) != pair:
             continue
-        parts[k], alive[j] = merged, False
-        after[k] = after[j]
+        parts[k], alive[j], after[k] = merged[rank], False, after[j]
         if after[k] < n:
             before[after[k]] = k
-            if found := ranks.get((merged, parts[after[k]])):
-                heapq.heappush(heap, (*found, k, merged, parts[after[k]]))
+            offer(k)
         if before[k] >= 0:
-            p = before[k]
-            if found := ranks.get((parts[p], merged)):
-                heapq.heappush(heap, (*found, p, parts[p], merged))
+            offer(before[k])
     return [x for x, ok in zip(parts, alive) if ok]
 
 
-class Encoder(dict):
-    """Piece of text to its ids as little-endian int32 bytes. A piece is a context-free stretch of text."""
+class _Cache(dict):
+    """Piece of text to its ids as little-endian int32 bytes; ahead: what stands before each piece."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = CACHE):
+    def __init__(self, encode, ahead: str, limit: int):
         super().__init__()
-        self.v, self.limit = vocabulary, limit
-        self.added = regex.compile("|".join(regex.escape(x) for x in sorted(vocabulary.added, key=len, reverse=True))) if vocabulary.added else None
+        self.encode, self.ahead, self.limit = encode, ahead, limit
 
     def __missing__(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for word in WORD.findall(piece):
-            parts = [self.v.byte_ids[b] for b in word.encode("utf-8", "surrogatepass")]
-            ids += (merge_short if len(parts) <= LONG else merge_long)(parts, self.v.ranks)
-        out = np.array(ids, dtype="<i4").tobytes()
-        if len(self) < self.limit and len(piece) <= 64:
+        out = self.encode(self.ahead + piece)
+        if len(self) < self.limit and len(piece) <= 32:
             self[piece] = out
         return out
 
+
+class Encoder:
+    """Encodes texts with one vocabulary. A piece is a context-free stretch of text, and is encoded once."""
+
+    def __init__(self, vocabulary: Vocabulary, limit: int = CACHE):
+        self.v = vocabulary
+        self.word = _Cache(self.merge, "", limit)
+        self.bare, self.spaced = _Cache(self.words, "", limit // 8), _Cache(self.words, " ", limit)
+        self.line_end = self.words("\n")
+        self.added = regex.compile("|".join(regex.escape(x) for x in sorted(vocabulary.added, key=len, reverse=True))) if vocabulary.added else None
+
+    def words(self, piece: str) -> bytes:
+        found = WORD.findall(piece)
+        return self.word[found[0]] if len(found) == 1 else b"".join(map(self.word.__getitem__, found))
+
+    def merge(self, word: str) -> bytes:
+        parts = list(map(self.v.byte_ids.__getitem__, word.encode("utf-8", "surrogatepass")))
+        if len(parts) > 1:
+            parts = (merge_short if len(parts) <= LONG else merge_long)(parts, self.v.ranks, self.v.merged)
+        return array("i", parts).tobytes()
+
     def segment(self, text: str) -> bytes:
         """Ids of a text without added tokens."""
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        # A piece between two spaces stands alone if it neither starts nor ends with white space.
-        if first and first[-1] not in _SPACES and all(p and p[0] not in _SPACES and p[-1] not in _SPACES for p in rest):
-            return self[first] + b"".join([self[" " + p] for p in rest])
-        return b"".join([self[m.group()] for m in WORD.finditer(text)])
+        if _DOUBLE.search(text) is not None:
+            return b"".join([self.bare[m.group()] for m in WORD.finditer(text)])
+        # White space stands alone everywhere: a space belongs to the piece behind it, a line end is a token.
+        out: list[bytes] = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(self.bare[first])
+            out += map(self.spaced.__getitem__, rest)
+            out.append(self.line_end)
+        return b"".join(out[:-1])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -177,9 +202,20 @@ class Encoder(dict):
         return b"".join([*out, self.segment(text[at:])])
 
 
+#: Encoders that this Python worker has made, by vocabulary path: the next task goes on with the same cache.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str, shared) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(shared.value)
+    return _ENCODERS[path]
+
+
 def decode_ids(ids: list[int], tokens: list[bytes]) -> str:
     """The text of ids: their bytes as UTF-8, each maximal invalid part as U+FFFD."""
-    return b"".join([tokens[i] for i in ids]).decode("utf-8", "replace")
+    return b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +223,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.from_json(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(path, shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -210,7 +246,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [None if x is None else decode_ids(x, tokens) for x in part.column(1).to_pylist()]
+                ids = part.column(1)
+                # flatten() leaves out what null rows may hide, so lengths come from the rows.
+                flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
+                texts = [decode_ids(flat[a:b].tolist(), tokens) if x else None for a, b, x in zip(ends, ends[1:], ids.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     return encoded.select("id", "ids").mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, ids array<int>, text string")
