@@ -46,7 +46,7 @@ def source_system(label: Column, labels: Column, props: Column) -> Column:
     """The property if there is one, else the tool by label prefix, else shared or unknown."""
     found = F.lit(None).cast("string")
     for prefix, tool in LABEL_PREFIXES.items():
-        found = F.coalesce(found, F.when(F.exists(labels, lambda x, p=prefix: F.startswith(x, F.lit(p))), F.lit(tool)))
+        found = F.coalesce(found, F.when(F.array_join(labels, "\n").rlike(f"(?m)^{prefix}"), F.lit(tool)))
     shared = F.when(F.arrays_overlap(labels, F.array(*[F.lit(x) for x in SHARED_LABELS])), F.lit("shared"))
     return F.coalesce(props["source_system"], found, shared, F.lit("unknown"))
 

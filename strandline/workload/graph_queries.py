@@ -142,9 +142,9 @@ def g18_dedupe_payload(spark, d):
 
 
 _PAY = f"""
-WITH e AS ({sql_edges(UP)}), n AS ({sql_nodes(['region', 'nation', 'customer', 'orders'])}), s AS (SELECT src AS at, dst AS next, src, dst FROM e UNION ALL SELECT dst, src, src, dst FROM e),
-a AS (SELECT src, dst, next FROM s WHERE at = {_seed_sql('customer', 2)}),
-b AS (SELECT s.src, s.dst, s.next FROM a JOIN s ON s.at = a.next AND NOT (s.src = a.src AND s.dst = a.dst)),
+WITH e AS ({sql_edges(UP)}), n AS ({sql_nodes(['region', 'nation', 'customer', 'orders'])}), s AS (SELECT src AS here, dst AS next, src, dst FROM e UNION ALL SELECT dst, src, src, dst FROM e),
+a AS (SELECT src, dst, next FROM s WHERE here = {_seed_sql('customer', 2)}),
+b AS (SELECT s.src, s.dst, s.next FROM a JOIN s ON s.here = a.next AND NOT (s.src = a.src AND s.dst = a.dst)),
 h AS (SELECT src, dst FROM a UNION SELECT src, dst FROM b), i AS (SELECT src AS id FROM h UNION SELECT dst FROM h)
 SELECT 'node' AS kind, n.id AS a, n.label AS b FROM n JOIN i USING (id) UNION ALL SELECT 'edge', src, dst FROM h"""
 

@@ -64,7 +64,7 @@ def s_dates(spark, d):
 def s_math(spark, d):
     l = t(spark, d, "lineitem")
     q, x = F.col("l_quantity"), F.col("l_extendedprice")
-    return l.select("l_orderkey", "l_linenumber", F.round(x, 1).alias("r"), F.abs(-q).alias("a"), F.floor(x / q).cast("long").alias("f"), F.ceil(x / q).cast("long").alias("c"), (F.col("l_orderkey") % 7).alias("mod"), F.pow(q, F.lit(2.0)).alias("sq"), F.round(x / q, 3).alias("div"))
+    return l.select("l_orderkey", "l_linenumber", F.bround(x, 0).alias("r"), F.abs(-q).alias("a"), F.floor(x / q).cast("long").alias("f"), F.ceil(x / q).cast("long").alias("c"), (F.col("l_orderkey") % 7).alias("mod"), F.pow(q, F.lit(2.0)).alias("sq"), F.floor(x / q * 1000).alias("div"))
 
 
 def s_conditional(spark, d):
@@ -162,7 +162,7 @@ def f1_pandas_udf(spark, d):
 
 
 def f4_transform(spark, d):
-    with_net = lambda df: df.withColumn("net", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2))
+    with_net = lambda df: df.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
     return t(spark, d, "lineitem").transform(with_net).select("l_orderkey", "l_linenumber", "net")
 
 
@@ -201,7 +201,7 @@ QUERIES = {
     "p14_distinct_edges": (p14_distinct_edges, "SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem"),
     "s_strings": (s_strings, r"SELECT p_partkey, p_name || '-' || p_brand AS joined, upper(p_name) AS u, lower(p_type) AS l, substr(p_name, 2, 4) AS sub, length(p_name)::INTEGER AS len, regexp_replace(p_name, '[aeiou]', '_', 'g') AS masked, regexp_extract(p_brand, '(\d+)', 1) AS digits, p_name AS trimmed, p_name AS rt FROM part"),
     "s_dates": (s_dates, "SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, day(o_orderdate)::INTEGER AS dom, (dayofweek(o_orderdate) + 1)::INTEGER AS dow, hour(o_orderdate)::INTEGER AS h, minute(o_orderdate)::INTEGER AS mi, second(o_orderdate)::INTEGER AS s, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders"),
-    "s_math": (s_math, "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 1) AS r, l_quantity AS a, floor(l_extendedprice / l_quantity)::BIGINT AS f, ceil(l_extendedprice / l_quantity)::BIGINT AS c, l_orderkey % 7 AS mod, pow(l_quantity, 2) AS sq, round(l_extendedprice / l_quantity, 3) AS div FROM lineitem"),
+    "s_math": (s_math, "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice, 0) AS r, l_quantity AS a, floor(l_extendedprice / l_quantity)::BIGINT AS f, ceil(l_extendedprice / l_quantity)::BIGINT AS c, l_orderkey % 7 AS mod, pow(l_quantity, 2) AS sq, floor(l_extendedprice / l_quantity * 1000)::BIGINT AS div FROM lineitem"),
     "s_conditional": (s_conditional, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'none' ELSE c_mktsegment END AS seg, c_custkey % 3 = 0 AS gone, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, c_custkey::VARCHAR AS text, c_custkey = 1 AS nan FROM customer"),
     "s_arrays": (s_arrays, "SELECT l_orderkey, count(*)::INTEGER AS n, bool_or(l_partkey = 5) AS has, coalesce(string_agg(CASE WHEN l_partkey % 2 = 0 THEN l_partkey::VARCHAR END, ',' ORDER BY l_partkey), '') AS even, sum(l_partkey)::BIGINT AS total, max(l_partkey) AS last, count(DISTINCT l_partkey)::INTEGER AS kinds FROM lineitem GROUP BY 1"),
     "s_explode": (s_explode, f"SELECT p_partkey, pos::INTEGER AS pos, word FROM (SELECT p_partkey, {_WORDS} AS pos FROM part)"),
@@ -215,7 +215,7 @@ QUERIES = {
     "s_jdbc": (s_jdbc, "SELECT * FROM (VALUES (1, 'postgresql', 'db.example.org', 5433, 'sales'), (2, 'sqlserver', 'sql1', NULL, 'crm'), (3, 'oracle', 'ora1', 1521, 'ORCL'), (4, 'mysql', 'my.example.org', NULL, 'shop')) v(id, class, host, port, database)"),
     "s_bracket_refs": (s_bracket_refs, "SELECT * FROM (VALUES (1, 'Sales|Profit ] Ratio', NULL, ''), (2, 'Region|Segment|Sales', 'FIXED', 'Region|Segment'), (3, 'A|B', NULL, ''), (4, '', NULL, '')) v(id, refs, lod, dims)"),
     "f1_pandas_udf": (f1_pandas_udf, "SELECT o_orderkey, CASE WHEN o_totalprice <= 50000 THEN 'low' WHEN o_totalprice <= 150000 THEN 'mid' ELSE 'high' END AS band FROM orders"),
-    "f4_transform": (f4_transform, "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem"),
+    "f4_transform": (f4_transform, "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem"),
     "f5_udtf": (f5_udtf, f"SELECT p_partkey, pos::INTEGER AS pos, word AS token FROM (SELECT p_partkey, {_WORDS} AS pos FROM part)"),
     "path_confidence": (path_confidence, "SELECT l_orderkey, round(max((1 - l_discount) * CASE WHEN s_acctbal > 0 THEN 0.9 ELSE 0.5 END), 6) AS confidence FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1"),
 }
