@@ -197,11 +197,16 @@ def nearest_neighbours(
         out = []
         if len(candidates) and len(queries):
             ids, c, q = candidates["id"].to_numpy(), _matrix(candidates["v"]), _matrix(queries["v"])
+            if len(np.unique(ids)) < len(ids):
+                first = np.unique(np.hstack([ids[:, None].astype(np.float64), c]), axis=0, return_index=True)[1]
+                ids, c = ids[np.sort(first)], c[np.sort(first)]
+            # Vectors that share an id take one place in the result: look at so many more.
+            wide = k + len(ids) - len(np.unique(ids))
             columns = np.ascontiguousarray((augmented(c, top) @ turn).T.astype(np.float32))
             blocks = [columns[at : at + BLOCK] for at in range(0, dim + 1, BLOCK)]
             turned = (np.hstack([q, np.zeros((len(q), 1))]) @ turn).astype(np.float32)
             for query_id, vector, t in zip(queries["id"].to_numpy(), q, turned):
-                at = adaptive_scan(t, blocks, k, ids == query_id, eps)
+                at = adaptive_scan(t, blocks, wide, ids == query_id, eps)
                 near, scores = best_of(vector, ids[at], c[at], k)
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": near, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
