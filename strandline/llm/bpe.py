@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
 #: White space as the pre-tokenizer's \s has it (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -52,7 +52,7 @@ def _pattern() -> regex.Pattern:
 WORD = _pattern()
 _DOUBLE = re.compile(rf"[{SPACE}][{SPACE}]")
 LONG = 128
-CACHE = 600_000
+CACHE = 250_000
 _FAR = 1 << 60
 
 
@@ -220,6 +220,7 @@ def decode_ids(ids: list[int], tokens: list[bytes]) -> str:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) per row."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.from_json(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import shared_dir, written
 
-__all__ = ["WS", "lower_ascii", "shared_dir", "shuffle_parts", "table", "written"]
+__all__ = ["WS", "lower_ascii", "shared_dir", "shuffle_parts", "table", "text_batches", "written"]
 
 #: White space of the word and text contracts: the six ASCII characters, nothing else.
 WS = r"[\x20\x09-\x0D]"
@@ -25,3 +25,14 @@ def shuffle_parts(spark: SparkSession) -> int:
 def lower_ascii(col):
     """A-Z to a-z, every other character as it is (lower() would also change letters beyond ASCII)."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Rows of one Arrow batch of texts.
+BATCH = 512
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH rows in this session: Spark's 10,000 are too many where a row holds a whole text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))

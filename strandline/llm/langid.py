@@ -25,11 +25,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, text_batches, written
 from .words import text_bytes
 
 BINS = 1 << 16
@@ -54,16 +54,22 @@ def trigram_bins(text: str | None) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Rows of an Arrow batch whose texts are Python objects at a time.
+SLICE = 500
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch["lang"].array, batch["text"].array):
-            if lang not in sums:
-                sums[lang] = np.zeros(BINS, np.int64)
-            sums[lang] += np.bincount(trigram_bins(text), minlength=BINS)
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if lang not in sums:
+                    sums[lang] = np.zeros(BINS, np.int64)
+                sums[lang] += np.bincount(trigram_bins(text), minlength=BINS)
     for lang, x in sums.items():
         at = np.flatnonzero(x)
-        yield pd.DataFrame({"lang": lang, "bin": at, "n": x[at]})
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(x[at])], names=["lang", "bin", "n"])
 
 
 class TextModel:
@@ -75,10 +81,11 @@ class TextModel:
     @classmethod
     def fit(cls, labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> TextModel:
         """Counts over every labelled row; the MAX_LANGS most frequent languages are kept."""
+        text_batches(labelled.sparkSession)
         rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND lang <> ''")
         common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGS)
         langs = sorted(r["lang"] for r in common.collect())
-        counts = rows.filter(F.col("lang").isin(langs)).mapInPandas(_count, "lang string, bin long, n long")
+        counts = rows.filter(F.col("lang").isin(langs)).mapInArrow(_count, "lang string, bin long, n long")
         counts = counts.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most MAX_LANGS * BINS rows
         table_ = np.full((max(1, len(langs)), BINS), 0.5)
         for lang, part in counts.groupby("lang"):
@@ -116,21 +123,27 @@ def _value_logs(counts: DataFrame, langs: list[str]) -> dict[str, list[float]]:
     return {r["value"]: (TRUST * x).tolist() for r, x in zip(rows, logs)}
 
 
-def identify(docs: DataFrame, model: TextModel, id_col: str, text: Column, declared: Column, suffix: Column, host: Column, domain: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang, probability, text_lang, *keep) per row of docs."""
+def identify(docs: DataFrame, model: TextModel, id_col: str, text: Column, declared: Column, suffix: Column, host: Column, domain: Column, keep: tuple[str, ...] = (), keep_text: str | None = None) -> DataFrame:
+    """(id, lang, probability, text_lang, *keep) per row of docs, with the text under the name keep_text if that is given."""
+    text_batches(docs.sparkSession)
     langs = model.langs
+    carried = [*keep, *([keep_text] if keep_text else [])]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["logs"] = pd.Series([model.evidence(t) for t in batch["text"].array], dtype=object, index=batch.index)
-            yield batch.drop(columns="text")
-
-    picked = docs.select(F.col(id_col).alias("id"), *keep, declared.alias("declared"), suffix.alias("suffix"), host.alias("host"), domain.alias("domain"), text.alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "text")
-    rows = written(picked.mapInPandas(score, f"{schema}, logs array<double>"), "evidence")
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                logs = [model.evidence(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                # The other columns pass through as they are.
+                last = part.num_columns if keep_text else part.num_columns - 1
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(logs, pa.list_(pa.float64()))], names=[*part.schema.names[:last], "logs"])
+
+    picked = docs.select(F.col(id_col).alias("id"), *keep, declared.alias("declared"), suffix.alias("suffix"), host.alias("host"), domain.alias("domain"), text.alias(keep_text or "__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "__text")
+    rows = written(picked.mapInArrow(score, f"{schema}, logs array<double>"), "evidence")
     if not langs:
         none = F.lit(None).cast("string")
-        return rows.select("id", none.alias("lang"), F.lit(0.0).alias("probability"), none.alias("text_lang"), *keep)
+        return rows.select("id", none.alias("lang"), F.lit(0.0).alias("probability"), none.alias("text_lang"), *carried)
     n = len(langs)
     zeros = F.array(*[F.lit(0.0)] * n)
     rows = rows.withColumn("p", _normalised(F.col("logs")))
@@ -172,7 +185,7 @@ def identify(docs: DataFrame, model: TextModel, id_col: str, text: Column, decla
         F.when(some, first(F.col("post"))).alias("lang"),
         F.when(some, F.array_max("post")).otherwise(0.0).alias("probability"),
         F.when(F.col("p").isNotNull(), first(F.col("p"))).alias("text_lang"),
-        *keep,
+        *carried,
     )
 
 
@@ -210,8 +223,10 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """
     model = TextModel.fit(docs)
     columns = docs.columns
-    held = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.xxhash64(*columns).alias("__id"))
-    at = lambda c: F.col("row")[c]
+    # Columns travel under names of their own, so that none clashes with those of the evidence.
+    renamed = docs.select(F.lit(0).alias("__id"), *[F.col(c).alias(f"doc_{k}") for k, c in enumerate(columns)])
+    own = {c: f"doc_{k}" for k, c in enumerate(columns)}
     none = F.lit(None).cast("string")
-    found = identify(held, model, "__id", at("text"), at("lang"), none, at("source"), none, keep=("row",))
-    return found.filter((F.col("probability") >= least) & F.col("text_lang").isNotNull()).select(*[F.col("row")[c].alias(c) for c in columns])
+    rest = tuple(own[c] for c in columns if c != "text")
+    found = identify(renamed, model, "__id", F.col(own["text"]), F.col(own["lang"]), none, F.col(own["source"]), none, keep=rest, keep_text=own["text"])
+    return found.filter((F.col("probability") >= least) & F.col("text_lang").isNotNull()).select(*[F.col(own[c]).alias(c) for c in columns])

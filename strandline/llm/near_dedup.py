@@ -36,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, table, written
+from .common import table, text_batches, written
 from .words import WordHashes, in_chunks, mixed, rolling, text_bytes
 
 SHINGLE = 5
@@ -108,10 +109,12 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
 _SKETCHES = "id long, n long, digest binary, bands array<long>, sig binary"
 
 
-def _sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        rows = ((i, shingle_set(t, hashes)) for i, t in zip(batch["id"].array, batch["text"].array))
+        ids = batch.column(0)
+        # Texts become Python objects one at a time.
+        rows = ((k, shingle_set(batch.column(1)[k].as_py(), hashes)) for k in range(batch.num_rows))
         for part in in_chunks(rows, 200_000, lambda r: len(r[1]) + 64):
             full = [k for k, (_, s) in enumerate(part) if len(s)]
             bands: list = [None] * len(part)
@@ -122,20 +125,19 @@ def _sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 low = (mixed(sketch) >> np.uint64(56)).astype(np.uint8)
                 for at, k in enumerate(full):
                     bands[k], sigs[k] = keys[at], low[at].tobytes()
-            yield pd.DataFrame(
-                {
-                    "id": pd.array([i for i, _ in part], dtype="Int64"),
-                    "n": [len(s) for _, s in part],
-                    "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for _, s in part],
-                    "bands": bands,
-                    "sig": sigs,
-                }
-            )
+            columns = [
+                ids.slice(part[0][0], len(part)),
+                pa.array([len(s) for _, s in part], pa.int64()),
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for _, s in part], pa.binary()),
+                pa.array(bands, pa.list_(pa.int64())),
+                pa.array(sigs, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "bands", "sig"])
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, digest, bands, sig) per row: set size, digest of the set, band keys, one byte of each coordinate."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(_sketch_batches, _SKETCHES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketch_batches, _SKETCHES)
 
 
 def _verify_batches(num: int, den: int):
@@ -314,6 +316,7 @@ def exhaust(members: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFr
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
     """(id, n, component) per row of docs."""
+    text_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sk = written(sketches(docs, id_col, text_col), "sketches")
     usable = sk.filter("n > 0 AND id IS NOT NULL")

@@ -35,7 +35,7 @@ def text_bytes(text: str | None) -> bytes:
 class WordHashes(dict):
     """Word (bytes) to signed 64-bit hash. Beyond `limit` words nothing more is kept, so memory is bounded."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
