@@ -421,3 +421,80 @@ def feeds_objects(fields: DataFrame, attributes: DataFrame) -> DataFrame:
     """(object, dataset, attribute): object fields joined to attributes of that name, without case."""
     a = attributes.select("dataset", F.col("name").alias("attribute"), F.lower("name").alias("key"))
     return fields.withColumn("key", F.lower("field")).join(a, "key").select("object", "dataset", "attribute").distinct()
+
+
+def app_scripts(content: bytes) -> list[str]:
+    """Load scripts inside an app that is an SQLite file: text columns whose names speak of scripts, JSON unwrapped."""
+    import json
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.deserialize(content)
+    out = []
+    for (table,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'").fetchall():
+        columns = [c[1] for c in db.execute(f'PRAGMA table_info("{table}")').fetchall()]
+        wanted = [c for c in columns if re.search(r"(?i)script|definition|qscript|content|data", c)]
+        for c in wanted:
+            for (value,) in db.execute(f'SELECT "{c}" FROM "{table}"').fetchall():
+                text = value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value or "")
+                if text.lstrip().startswith("{"):
+                    try:
+                        held = json.loads(text)
+                        text = next((str(held[k]) for k in ("qScript", "script", "Script") if k in held), text)
+                    except ValueError:
+                        pass
+                if sum(w in text.upper() for w in ("LOAD", "SET ", "FROM", "RESIDENT", "CONNECT")) >= 2:
+                    out.append(text)
+    return out
+
+
+def server_tasks(path: str, text: str) -> list[tuple[str, dict]]:
+    """Rows of a server's task file: tasks, their triggers, and which task starts which, by name without case."""
+    root = ET.fromstring(text)
+    tasks = {t.get("name") or t.findtext("Name"): t for t in root.iter() if t.tag.lower() == "task"}
+    by_name = {n.lower(): n for n in tasks if n}
+    out = []
+    for name, t in tasks.items():
+        out.append(("task", {"name": name, "document": t.get("document") or t.findtext("Document")}))
+        for g in (x for x in t.iter() if x.tag.lower() == "trigger"):
+            kind, after = g.get("type") or "schedule", g.get("after") or g.findtext("After")
+            out.append(("trigger", {"task": name, "kind": kind, "schedule": g.get("schedule") or g.findtext("Schedule")}))
+            if after and after.lower() in by_name:
+                out.append(("edge", {"src": by_name[after.lower()], "dst": name, "rel": "TRIGGERS", "confidence": 0.9}))
+    return out
+
+
+def connection_store(stores: dict[str, str], name: str) -> dict | None:
+    """A named connection from the first store that has it: connection files, then settings, then data source lists."""
+    for suffix in (".dconn", "settings.ini", "odbc.ini"):
+        for path, text in sorted(stores.items()):
+            if not path.lower().endswith(suffix):
+                continue
+            if suffix == ".dconn":
+                if path.replace("\\", "/").rsplit("/", 1)[-1].removesuffix(".dconn").lower() == name.lower():
+                    return {"store": path, "string": text.strip()}
+            else:
+                sections = re.split(r"(?m)^\[([^\]]+)\]\s*$", text)
+                for section, body in zip(sections[1::2], sections[2::2]):
+                    if section.lower() == name.lower():
+                        return {"store": path, "string": ";".join(x.strip() for x in body.splitlines() if "=" in x)}
+    return None
+
+
+def inherited(datasets: DataFrame, binaries: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(path, name, origin, depth): datasets that scripts get through BINARY, over any number of steps, cycles guarded.
+
+    datasets: (path, name); binaries: (path, source).
+    """
+    from ..operators.graph import reach_from_each
+
+    edges = binaries.select(F.col("path").alias("src"), F.col("source").alias("dst"), F.lit("BINARY").alias("rel"))
+    found = reach_from_each(edges, edges.select(F.col("src").alias("id")), max_depth)
+    return found.join(datasets.withColumnRenamed("path", "id"), "id").select(F.col("root").alias("path"), "name", F.col("id").alias("origin"), "depth")
+
+
+def variable_links(variables: DataFrame) -> DataFrame:
+    """(src, dst, rel): a variable refers to those whose names its value expands, from (name, value)."""
+    used = variables.select(F.col("name").alias("src"), F.explode(F.regexp_extract_all("value", F.lit(r"\$\((\w[\w.]*)\)"), 1)).alias("ref"))
+    names = variables.select(F.col("name").alias("dst")).distinct()
+    return used.join(names, F.lower("ref") == F.lower("dst")).select("src", "dst", F.lit("RESOLVES_TO").alias("rel")).distinct()

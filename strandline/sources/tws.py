@@ -260,3 +260,30 @@ def triggered(parsed: DataFrame) -> DataFrame:
     unique = streams.groupBy(F.upper("name").alias("bare")).agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("schedule")).filter("n = 1")
     bare = rules.filter(~F.contains("target", F.lit("#"))).join(unique, F.upper("target") == F.col("bare")).select("rule", "schedule")
     return exact.unionByName(bare).distinct()
+
+
+def local_dependencies(parsed: DataFrame) -> DataFrame:
+    """(job_id, depends_on): bare names resolved inside one schedule only, as the relational mirror has them."""
+    follows = entities(parsed, "follows", FOLLOWS).filter("NOT external AND job_id IS NOT NULL").select("job_id", "schedule_id", F.upper("job").alias("name"))
+    jobs = entities(parsed, "job", JOB).select("schedule_id", F.upper("name").alias("name"), F.col("id").alias("depends_on")).distinct()
+    return follows.join(jobs, ["schedule_id", "name"]).select("job_id", "depends_on").distinct()
+
+
+def commands(parsed: DataFrame) -> DataFrame:
+    """(job_id, path, args, kind) of jobs' command lines."""
+    from ..functions.text import script_parts
+
+    jobs = entities(parsed, "job", JOB).filter("script IS NOT NULL").withColumn("s", script_parts(F.col("script")))
+    return jobs.select(F.col("id").alias("job_id"), "s.path", "s.args", "s.kind")
+
+
+def cycles(parsed: DataFrame) -> DataFrame:
+    """(schedule_id, name, frequency, days, cron) of run cycles, by their names and start times."""
+    from ..functions.text import run_cycle
+
+    starts = entities(parsed, "schedule", SCHEDULE).select(F.col("id").alias("schedule_id"), "start_time").distinct()
+    rows = entities(parsed, "run_cycle", "schedule_id string, name string, exclude boolean, rule string").filter("NOT coalesce(exclude, false)")
+    rows = rows.join(starts, "schedule_id", "left").withColumn("r", run_cycle(F.col("name"), F.col("start_time")))
+    # A recurrence rule says more than a name.
+    freq = F.lower(F.regexp_extract("rule", r"FREQ=(\w+)", 1))
+    return rows.select("schedule_id", "name", F.when(freq != "", freq).otherwise(F.col("r.frequency")).alias("frequency"), "r.days", "r.cron")

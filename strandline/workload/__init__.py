@@ -1,8 +1,8 @@
 """Queries over the driver's tables that exercise the engine's operators, each with its SQL twin."""
 
-from . import artifact_queries, graph_queries, merge_queries, relational_queries, scalar_queries
+from . import artifact_queries, graph_queries, merge_queries, project_queries, relational_queries, scalar_queries
 
-MODULES = (artifact_queries, graph_queries, merge_queries, relational_queries, scalar_queries)
+MODULES = (artifact_queries, project_queries, graph_queries, merge_queries, relational_queries, scalar_queries)
 
 
 def queries() -> dict:

@@ -298,7 +298,7 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*
 
 QUERIES = {
     "l1_targets_sources": (l_targets_sources, _values("path, kind, name", ("ctas.sql", "target", "mart.daily"), ("ctas.sql", "source", "raw.orders"), ("ctas.sql", "source", "dim.customers"), ("insert.sql", "target", "mart.copy"), ("insert.sql", "source", "raw.orders"), ("merge.sql", "target", "mart.summary"), ("merge.sql", "source", "stage.summary"), ("cte.sql", "target", "mart.top"), ("cte.sql", "source", "raw.orders"), ("cte.sql", "source", "raw.closed"), ("sub.sql", "target", "mart.v"), ("sub.sql", "source", "raw.pays"), ("sub.sql", "source", "raw.orders"), ("lateral.sql", "source", "raw.users"))),
-    "l8_derivations": (l_derivations, None),
+    "l8_derivations": (l_derivations, _values("path, target, name, sources, via", ("ctas.sql", "mart.daily", "region", "o.region", "select"), ("ctas.sql", "mart.daily", "total", "o.amount", "select"), ("insert.sql", "mart.copy", "id", "order_id", "select"), ("insert.sql", "mart.copy", "big", "amount", "select"), ("merge.sql", "mart.summary", "total", "s.total", "merge_update"), ("merge.sql", "mart.summary", "customer_id", "s.customer_id", "merge_insert"), ("merge.sql", "mart.summary", "total", "s.total", "merge_insert"), ("cte.sql", "mart.top", "customer_id", "customer_id", "select"), ("cte.sql", "mart.top", "amount", "amount", "select"), ("cte.sql", "mart.top", "rn", "amount,customer_id", "window"), ("sub.sql", "mart.v", "id", "o.id", "select"), ("sub.sql", "mart.v", "last_pay", "p.day", "correlated_subquery"), ("sub.sql", "mart.v", "newest", "day", "scalar_subquery"), ("lateral.sql", None, "user_id", "u.user_id", "select"), ("lateral.sql", None, "tag", "tag", "select"), ("lateral.sql", None, "tag", "u.tags", "lateral_view"))),
     "l10_warnings": (l_warnings, _values("path, name", ("bad.sql", "parse_error"))),
     "j5_join_keys": (j5_join_keys, _values("path, a, b", ("ctas.sql", "o.customer_id", "c.id"), ("merge.sql", "t.customer_id", "s.customer_id"))),
     "s1_format_detect": (s1_format_detect, _values("path, kind", ("a/job.py", "pyspark"), ("a/nb.py", "databricks"), ("d/dag.py", "airflow"), ("q.sql", "sparksql"), ("n.ipynb", "notebook"), ("t.txt", "composer"), ("t2.txt", "unknown"), ("s.xml", "scheduler_xml"), ("w.json", "workflow"), ("z", "unknown"))),

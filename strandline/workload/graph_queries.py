@@ -199,13 +199,13 @@ def g24_bulk_delete(spark, d):
 def g25_only_owned(spark, d):
     l = t(spark, d, "lineitem")
     e = l.select(key("supplier", ["l_suppkey"]).alias("src"), key("part", ["l_partkey"]).alias("dst"), F.lit("HAS_COLUMN").alias("rel"))
-    owners = t(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(key("supplier", ["s_suppkey"]).alias("id"))
+    owners = t(spark, d, "supplier").filter("s_acctbal > 0").select(key("supplier", ["s_suppkey"]).alias("id"))
     return delete.only_owned(e, owners, ["HAS_COLUMN"])
 
 
 _OWN = f"""
 WITH x AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
-SELECT {sql_id('part', ['l_partkey'])} AS id FROM x GROUP BY l_partkey HAVING bool_and(l_suppkey % 3 = 0)"""
+SELECT {sql_id('part', ['l_partkey'])} AS id FROM x JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey HAVING bool_and(s_acctbal > 0)"""
 
 
 def g28_stitch(spark, d):
@@ -265,13 +265,13 @@ UNION ALL SELECT DISTINCT src, coalesce(s, dst), 0 FROM x"""
 
 
 def g32_line_index(spark, d):
-    l = t(spark, d, "lineitem").filter("l_orderkey % 10 = 1")
+    l = t(spark, d, "lineitem")
     rows = l.select(F.col("l_orderkey").cast("string").alias("path"), F.col("l_partkey").cast("string").alias("id"), F.col("l_linenumber").alias("line_start"), F.when(F.col("l_quantity") > 10, F.col("l_linenumber") + (F.col("l_quantity") % 4).cast("int")).alias("line_end"))
     return shape.line_index(rows).select("path", "line", F.concat_ws(",", "ids").alias("ids"))
 
 
 _LINES = """
-WITH l AS (SELECT l_orderkey::VARCHAR AS path, l_partkey::VARCHAR AS id, l_linenumber AS a, CASE WHEN l_quantity > 10 THEN l_linenumber + (l_quantity % 4)::INTEGER ELSE l_linenumber END AS b FROM lineitem WHERE l_orderkey % 10 = 1),
+WITH l AS (SELECT l_orderkey::VARCHAR AS path, l_partkey::VARCHAR AS id, l_linenumber AS a, CASE WHEN l_quantity > 10 THEN l_linenumber + (l_quantity % 4)::INTEGER ELSE l_linenumber END AS b FROM lineitem),
 x AS (SELECT path, id, unnest(range(a, b + 1))::INTEGER AS line FROM l)
 SELECT path, line, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM x GROUP BY 1, 2"""
 
@@ -302,7 +302,7 @@ SELECT n.id, coalesce(f.c, 0) AS fan_out, x.id IS NULL AS is_root, n.name = 'F'
 
 
 def _modular(spark, d):
-    p = t(spark, d, "part").filter("p_partkey <= 200")
+    p = t(spark, d, "part")
     k = F.col("p_partkey")
     return p.select(k.cast("string").alias("src"), F.when(k % 7 == 0, (k % 49 + 7)).otherwise(k + 1).cast("string").alias("dst"), F.lit("D").alias("rel"))
 
@@ -312,7 +312,7 @@ def c17_cycles(spark, d):
 
 
 _CYC = """
-WITH RECURSIVE e AS (SELECT p_partkey::VARCHAR AS src, (CASE WHEN p_partkey % 7 = 0 THEN p_partkey % 49 + 7 ELSE p_partkey + 1 END)::VARCHAR AS dst FROM part WHERE p_partkey <= 200),
+WITH RECURSIVE e AS (SELECT p_partkey::VARCHAR AS src, (CASE WHEN p_partkey % 7 = 0 THEN p_partkey % 49 + 7 ELSE p_partkey + 1 END)::VARCHAR AS dst FROM part),
 r(root, id, k) AS (SELECT src, dst, 1 FROM e UNION SELECT r.root, e.dst, r.k + 1 FROM r JOIN e ON e.src = r.id WHERE r.k < 9)
 SELECT DISTINCT root AS id FROM r WHERE root = id"""
 

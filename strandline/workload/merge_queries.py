@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import upsert as u
 from .star import key, sql_id, t
 
-_SLICES = """old AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0),
-new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'N' END AS status, o_totalprice + 1 AS price FROM orders WHERE o_orderkey % 4 <> 0)"""
+_SLICES = """old AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderstatus <> 'P'),
+new AS (SELECT o_orderkey AS k, CASE WHEN o_totalprice > 100000 THEN 'N' END AS status, o_totalprice + 1 AS price FROM orders WHERE o_orderpriority <> '5-LOW')"""
 
 
 def _slices(spark, d):
-    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
-    new = o.filter("k % 4 <> 0").select("k", F.when(F.col("k") % 2 == 0, F.lit("N")).alias("status"), (F.col("price") + 1).alias("price"))
-    return o.filter("k % 3 <> 0"), new
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), "o_orderpriority")
+    new = o.filter("o_orderpriority <> '5-LOW'").select("k", F.when(F.col("price") > 100000, F.lit("N")).alias("status"), (F.col("price") + 1).alias("price"))
+    return o.filter("status <> 'P'").drop("o_orderpriority"), new
 
 
 def m1_upsert(spark, d):
@@ -34,8 +34,8 @@ def m3_fill_nulls(spark, d):
 
 def m4_bool_merge(spark, d):
     l = t(spark, d, "lineitem")
-    half = lambda n: l.filter(F.col("l_linenumber") % 2 == n).groupBy(F.col("l_orderkey").alias("k")).agg(F.bool_and(F.col("l_quantity") > 5).alias("resolved"), F.bool_or(F.col("l_discount") > 0.09).alias("has_credentials"))
-    return u.upsert(half(0), half(1), ["k"], {"resolved": "and", "has_credentials": "or"})
+    half = lambda r: l.filter((F.col("l_returnflag") == "R") == r).groupBy(F.col("l_orderkey").alias("k")).agg(F.bool_and(F.col("l_quantity") > 5).alias("resolved"), F.bool_or(F.col("l_discount") > 0.09).alias("has_credentials"))
+    return u.upsert(half(True), half(False), ["k"], {"resolved": "and", "has_credentials": "or"})
 
 
 def m5_list_merge(spark, d):
@@ -47,7 +47,7 @@ def m5_list_merge(spark, d):
 
 def m6_nonempty(spark, d):
     c = t(spark, d, "customer")
-    old = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("text"))
+    old = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("").alias("text"))
     new = c.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("text"))
     return u.upsert(old, new, ["k"], {"text": "nonempty"})
 
@@ -136,7 +136,7 @@ QUERIES = {
         m5_list_merge,
         "WITH a AS (SELECT user_id, list_sort(array_agg(DISTINCT event_type)) AS x FROM events WHERE event_type IN ('signup', 'view', 'click') GROUP BY 1), b AS (SELECT user_id, list_sort(array_agg(DISTINCT event_type)) AS y FROM events WHERE event_type IN ('view', 'error', 'purchase') GROUP BY 1) SELECT user_id, array_to_string(list_concat(list_filter(coalesce(x, []), lambda v: NOT list_contains(coalesce(y, []), v)), coalesce(y, [])), ',') AS sources FROM a FULL JOIN b USING (user_id)",
     ),
-    "m6_nonempty": (m6_nonempty, "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 AND c_mktsegment <> '' THEN c_mktsegment ELSE c_name END AS text FROM customer"),
+    "m6_nonempty": (m6_nonempty, "SELECT c_custkey AS k, CASE WHEN c_acctbal > 0 AND c_mktsegment <> '' THEN c_mktsegment ELSE c_name END AS text FROM customer"),
     "m7_keyed_edges": (m7_keyed_edges, f"SELECT DISTINCT {sql_id('supplier', ['l_suppkey'])} AS src, {sql_id('part', ['l_partkey'])} AS dst, 'SHIPS' AS rel, l_returnflag AS key FROM lineitem"),
     "m8_guarded_edges": (m8_guarded_edges, "WITH n AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0 UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') SELECT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_custkey IN (SELECT id FROM n) AND o_orderkey IN (SELECT id FROM n)"),
     "m10_coalesce_excluded": (m10_coalesce_excluded, f"WITH {_SLICES} SELECT k, coalesce(new.status, old.status) AS status FROM old FULL JOIN new USING (k)"),

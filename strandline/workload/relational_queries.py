@@ -13,11 +13,11 @@ from .star import t
 def _jobs(spark, d):
     """Events as jobs: users are workstations, types are schedules, the time of day is the start."""
     e = t(spark, d, "events")
-    start = F.when(F.col("event_id") % 10 != 0, F.date_format("ts", "HH:mm"))
+    start = F.when(F.col("event_type") != "signup", F.date_format("ts", "HH:mm"))
     return e.select(F.col("event_id").alias("job_id"), F.col("event_type").alias("schedule_id"), start.alias("start_time"), F.concat(F.lit("/opt/"), "event_type", F.lit("/run_"), (F.col("user_id") % 7).cast("string"), F.lit(".sh")).alias("script_path"), F.concat(F.lit("WS"), (F.col("user_id") % 5).cast("string")).alias("workstation"))
 
 
-_JOBS = "j AS (SELECT event_id AS job_id, event_type AS schedule_id, CASE WHEN event_id % 10 <> 0 THEN strftime(ts, '%H:%M') END AS start_time, '/opt/' || event_type || '/run_' || (user_id % 7) || '.sh' AS script_path, 'WS' || (user_id % 5) AS workstation FROM events)"
+_JOBS = "j AS (SELECT event_id AS job_id, event_type AS schedule_id, CASE WHEN event_type <> 'signup' THEN strftime(ts, '%H:%M') END AS start_time, '/opt/' || event_type || '/run_' || (user_id % 7) || '.sh' AS script_path, 'WS' || (user_id % 5) AS workstation FROM events)"
 
 
 def _schedules(spark, d):
@@ -67,7 +67,7 @@ def q7_get_or_create(spark, d):
 
 def q8_attach_files(spark, d):
     f = _files(spark, d)
-    return s.attach_files(f.filter("file_id % 3 = 0"), f.filter("file_id % 2 = 0").unionByName(f.filter("file_id % 4 = 0"))).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_files"))
+    return s.attach_files(f.filter("source = 'F'"), f.filter("source <> 'P'").unionByName(f.filter("source = 'O'"))).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def q9_delete_project(spark, d):
@@ -89,12 +89,12 @@ def q12_distinct_counts(spark, d):
 
 
 def _cn(spark, d):
-    c = t(spark, d, "customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_name", "c_nationkey")
-    o = t(spark, d, "orders").filter("o_orderkey % 5 = 0").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
+    c = t(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name", "c_nationkey")
+    o = t(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
     return c, o
 
 
-_CN = "c AS (SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 3 = 0), o AS (SELECT o_orderkey, o_custkey AS c_custkey, o_orderstatus FROM orders WHERE o_orderkey % 5 = 0)"
+_CN = "c AS (SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_acctbal > 0), o AS (SELECT o_orderkey, o_custkey AS c_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F')"
 
 
 def _join(how):
@@ -110,10 +110,11 @@ def j1_cross(spark, d):
 
 
 def j1_theta(spark, d):
-    """A banded inequality: sizes in bands of 5 make it an equi-join, then the exact condition holds."""
-    p = t(spark, d, "part").select("p_partkey", "p_size", F.explode(F.array(F.floor(F.col("p_size") / 5), F.floor(F.col("p_size") / 5) + 1)).alias("band"))
-    q = t(spark, d, "part").filter("p_partkey <= 40").select(F.col("p_partkey").alias("other"), F.col("p_size").alias("other_size"), F.floor(F.col("p_size") / 5).alias("band"))
-    return p.join(q, "band").filter((F.col("other_size") > F.col("p_size")) & (F.col("other_size") <= F.col("p_size") + 5)).select("p_partkey", "other")
+    """An inequality over a band: sizes in bands of 5 make it an equi-join, then the exact condition holds."""
+    sizes = t(spark, d, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
+    p = sizes.select("p_size", "n", F.explode(F.array(F.floor(F.col("p_size") / 5), F.floor(F.col("p_size") / 5) + 1)).alias("band"))
+    q = sizes.select(F.col("p_size").alias("other"), F.col("n").alias("m"), F.floor(F.col("p_size") / 5).alias("band"))
+    return p.join(q, "band").filter((F.col("other") > F.col("p_size")) & (F.col("other") <= F.col("p_size") + 5)).select("p_size", "other", (F.col("n") * F.col("m")).alias("pairs"))
 
 
 def j3_broadcast(spark, d):
@@ -148,12 +149,12 @@ def j10_blend(spark, d):
 
 def j11_name_resolution(spark, d):
     n = t(spark, d, "nation").select(F.lower("n_name").alias("name"), "n_nationkey")
-    refs = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, "nowhere").otherwise(F.col("n_name")).alias("ref"))
+    refs = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("c_acctbal") < 0, "nowhere").otherwise(F.col("n_name")).alias("ref"))
     return refs.join(n, F.lower("ref") == F.col("name")).select("c_custkey", "n_nationkey")
 
 
 def j12_scoped_resolve(spark, d):
-    l = t(spark, d, "lineitem").filter("l_orderkey <= 2000")
+    l = t(spark, d, "lineitem")
     text = lambda c: F.col(c).cast("string")
     targets = l.dropDuplicates(["l_suppkey", "l_linenumber", "l_returnflag"]).select(text("l_suppkey").alias("workstation"), text("l_linenumber").alias("stream"), F.col("l_returnflag").alias("job"), F.concat_ws("#", text("l_suppkey"), text("l_linenumber"), F.col("l_returnflag")).alias("target_id"))
     refs = l.select(F.concat_ws("-", text("l_orderkey"), text("l_linenumber")).alias("ref_id"), text("l_suppkey").alias("workstation"), F.when(F.col("l_quantity") > 25, "99").otherwise(text("l_linenumber")).alias("stream"), F.col("l_returnflag").alias("job"), (F.col("l_quantity") > 25).alias("external"))
@@ -162,14 +163,14 @@ def j12_scoped_resolve(spark, d):
 
 
 _SCOPE = """
-WITH l AS (SELECT l_orderkey || '-' || l_linenumber AS ref_id, l_quantity > 25 AS external, l_suppkey || '#' || l_linenumber || '#' || l_returnflag AS x FROM lineitem WHERE l_orderkey <= 2000)
+WITH l AS (SELECT l_orderkey || '-' || l_linenumber AS ref_id, l_quantity > 25 AS external, l_suppkey || '#' || l_linenumber || '#' || l_returnflag AS x FROM lineitem)
 SELECT ref_id, external, CASE WHEN NOT external THEN x END AS target_id FROM l"""
 
 
 def j14_unique_name(spark, d):
     p = t(spark, d, "part")
     targets = p.select(F.concat_ws("|", "p_brand", F.col("p_size").cast("string")).alias("name"), F.col("p_partkey").alias("target_id"))
-    refs = t(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat_ws("|", "p_brand", F.col("p_size").cast("string")).alias("name"), "p_partkey")
+    refs = t(spark, d, "part").select(F.concat_ws("|", "p_brand", F.col("p_size").cast("string")).alias("name"), "p_partkey")
     return r.unique_name_join(refs, targets, "name")
 
 
@@ -276,14 +277,14 @@ def w6_qualify(spark, d):
 
 def w7_lag_diff(spark, d):
     """Schema versions: the set of parts of a supplier's lines, one version a year."""
-    l = t(spark, d, "lineitem").filter("l_suppkey <= 5").select(F.col("l_suppkey").cast("string").alias("table_fqn"), F.year("l_shipdate").alias("version"), F.concat(F.lit("c"), (F.col("l_partkey") % 40).cast("string")).alias("name"), "l_returnflag", "l_linestatus")
+    l = t(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("table_fqn"), F.year("l_shipdate").alias("version"), F.concat(F.lit("c"), (F.col("l_partkey") % 40).cast("string")).alias("name"), "l_returnflag", "l_linestatus")
     cols = l.groupBy("table_fqn", "version", "name").agg(F.max("l_returnflag").alias("type"), (F.max("l_linestatus") == "O").alias("nullable"))
     v = cols.groupBy("table_fqn", "version").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("type", "nullable")))).alias("columns"))
     return r.schema_changes(v)
 
 
 _DIFF = """
-WITH c AS (SELECT l_suppkey::VARCHAR AS table_fqn, year(l_shipdate)::INTEGER AS version, 'c' || (l_partkey % 40) AS name, max(l_returnflag) AS type, max(l_linestatus) = 'O' AS nullable FROM lineitem WHERE l_suppkey <= 5 GROUP BY 1, 2, 3),
+WITH c AS (SELECT l_suppkey::VARCHAR AS table_fqn, year(l_shipdate)::INTEGER AS version, 'c' || (l_partkey % 40) AS name, max(l_returnflag) AS type, max(l_linestatus) = 'O' AS nullable FROM lineitem GROUP BY 1, 2, 3),
 v AS (SELECT DISTINCT table_fqn, version FROM c), p AS (SELECT *, lag(version) OVER (PARTITION BY table_fqn ORDER BY version) AS prev FROM v),
 n AS (SELECT p.table_fqn, p.version, p.prev, c.name FROM p JOIN c ON c.table_fqn = p.table_fqn AND (c.version = p.version OR c.version = p.prev) WHERE p.prev IS NOT NULL GROUP BY ALL),
 x AS (SELECT n.table_fqn, n.version, n.name AS "column", o.type AS from_type, m.type AS to_type, o.nullable AS from_nullable, m.nullable AS to_nullable,
@@ -339,22 +340,22 @@ QUERIES = {
     "q5_filtered_counts": (q5_filtered_counts, "SELECT c_custkey AS project_id, c_name AS project_name, c_nationkey AS created, count(o_orderkey) AS n_files, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"n_F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"n_O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"n_P\" FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3"),
     "q6_project_detail": (q6_project_detail, "SELECT o_custkey AS project_id, o_orderstatus AS source, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS files FROM orders GROUP BY 1, 2"),
     "q7_get_or_create": (q7_get_or_create, "SELECT n_name AS project_name FROM nation WHERE n_regionkey >= 2"),
-    "q8_attach_files": (q8_attach_files, "SELECT o_custkey AS project_id, count(*) AS n_files FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 GROUP BY 1"),
+    "q8_attach_files": (q8_attach_files, "SELECT o_custkey AS project_id, count(*) AS n_files FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1"),
     "q9_delete_project": (q9_delete_project, "SELECT o_custkey AS project_id, o_orderkey AS file_id FROM orders WHERE o_custkey <> 7"),
     "q10_status_rollup": (q10_status_rollup, "SELECT l_orderkey, CASE WHEN bool_and(l_returnflag <> 'R') THEN 'ok' WHEN NOT bool_or(l_returnflag <> 'R') THEN 'failed' ELSE 'partial' END AS status, count(*) AS n FROM lineitem GROUP BY 1"),
     "q11_file_stats": (q11_file_stats, "SELECT o_orderpriority, count(*) AS n_jobs, count(DISTINCT l_orderkey) AS n_schedules, count(DISTINCT l_partkey) AS n_resources FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"),
     "q12_distinct_counts": (q12_distinct_counts, "SELECT l_suppkey, count(DISTINCT l_partkey)::INTEGER AS n_resources, count(DISTINCT l_orderkey)::INTEGER AS n_files FROM lineitem GROUP BY 1"),
     **{f"j1_{how}": (_join(how), f"WITH {_CN} {sql}") for how, sql in _SEL.items()},
     "j1_cross": (j1_cross, "SELECT r_name, n_name FROM region, nation"),
-    "j1_theta": (j1_theta, "SELECT p.p_partkey, q.p_partkey AS other FROM part p JOIN part q ON q.p_partkey <= 40 AND q.p_size > p.p_size AND q.p_size <= p.p_size + 5"),
+    "j1_theta": (j1_theta, "WITH s AS (SELECT p_size, count(*) AS n FROM part GROUP BY 1) SELECT p.p_size, q.p_size AS other, p.n * q.n AS pairs FROM s p JOIN s q ON q.p_size > p.p_size AND q.p_size <= p.p_size + 5"),
     "j3_broadcast": (j3_broadcast, "SELECT n_name, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1"),
     "j6_natural_join": (j6_natural_join, f"WITH {_CN} {_SEL['full']}"),
     "j7_keep": (j7_keep, f"WITH {_CN} SELECT 'c' AS side, c_custkey AS id FROM c WHERE c_custkey IN (SELECT c_custkey FROM o) UNION ALL SELECT 'o', o_orderkey FROM o WHERE c_custkey IN (SELECT c_custkey FROM c)"),
     "j8_shared_fields": (j8_shared_fields, "WITH a AS (SELECT DISTINCT user_id % 50 AS field FROM events WHERE event_type = 'view'), b AS (SELECT DISTINCT user_id % 50 AS field FROM events WHERE event_type = 'purchase') SELECT a.field, CASE WHEN b.field IS NULL THEN 'DERIVES_FROM' ELSE 'REFERENCES_FK' END AS rel, CASE WHEN b.field IS NULL THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence FROM a LEFT JOIN b USING (field)"),
     "j10_blend": (j10_blend, "SELECT c_custkey, c_mktsegment, round(sum(o_totalprice), 2) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2"),
-    "j11_name_resolution": (j11_name_resolution, "SELECT c_custkey, c_nationkey AS n_nationkey FROM customer WHERE c_custkey % 10 <> 0"),
+    "j11_name_resolution": (j11_name_resolution, "SELECT c_custkey, c_nationkey AS n_nationkey FROM customer WHERE c_acctbal >= 0"),
     "j12_scoped_resolve": (j12_scoped_resolve, _SCOPE),
-    "j14_unique_name": (j14_unique_name, "WITH u AS (SELECT p_brand || '|' || p_size AS name, min(p_partkey) AS target_id FROM part GROUP BY 1 HAVING count(*) = 1) SELECT u.name, p_partkey, target_id FROM part JOIN u ON u.name = p_brand || '|' || p_size WHERE p_partkey % 2 = 0"),
+    "j14_unique_name": (j14_unique_name, "WITH u AS (SELECT p_brand || '|' || p_size AS name, min(p_partkey) AS target_id FROM part GROUP BY 1 HAVING count(*) = 1) SELECT u.name, p_partkey, target_id FROM part JOIN u ON u.name = p_brand || '|' || p_size"),
     "j18_order_correlate": (j18_order_correlate, "WITH a AS (SELECT user_id, event_id AS planned, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events WHERE event_type = 'view'), b AS (SELECT user_id, event_id AS ran, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events WHERE event_type = 'click') SELECT user_id, position::INTEGER AS position, planned, ran FROM a JOIN b USING (user_id, position)"),
     "j20_missing_tables": (j20_missing_tables, "SELECT DISTINCT l_partkey AS p_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)"),
     "apply_map": (apply_map, "SELECT c_custkey, c_nationkey, coalesce(CASE WHEN n_regionkey <> 2 THEN n_name END, 'Unknown') AS country FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey"),
