@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, text_batches, written
 from .words import WordHashes, rolling, text_bytes
 
 WINDOW = 35
@@ -168,6 +168,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found: (id, mark, parts array<struct<start, n, at, refs>>): windows start .. start+n-1 repeat as a whole and occur in
     refs[0] if at is null, else the windows start+at[k] do, in refs[k].
     """
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     scanned = written(texts.mapInArrow(_scan, f"id {kind}, mark long, n_words long, whole string, anchors array<long>, times array<int>"), "scan")
@@ -187,7 +188,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reference = reference.groupBy("anchor", "stretch").agg(F.first("windows").alias("windows"), F.first("times").alias("times"), F.first("ref").alias("ref"))
     index = reference.select("anchor", "stretch", "ref", F.least("times", F.lit(2)).alias("times"), F.posexplode("windows").alias("at", "window"))
     index = written(index, "windows")
-    hits = index.groupBy("anchor", "window").agg(F.sum("times").alias("times"), F.min("ref").alias("first")).filter("times > 1").select("anchor", "window", "first")
+    # Written, so that the join below has plain shuffles on both sides and a hot window can be split.
+    hits = written(index.groupBy("anchor", "window").agg(F.sum("times").alias("times"), F.min("ref").alias("first")).filter("times > 1").select("anchor", "window", "first"), "hits")
     partly = index.drop("times", "ref").join(hits, ["anchor", "window"]).groupBy("anchor", "stretch").agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("x"))
     partly = partly.select("anchor", "stretch", F.col("x.at").alias("at"), F.col("x.first").alias("refs"))
     parts = runs.select("id", "mark", "anchor", "stretch", "start", F.size("windows").alias("n")).join(whole.unionByName(partly), ["anchor", "stretch"])
