@@ -29,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, text_batches, written
 from .gru import END, LN10, UNKNOWN, Adam, Gru, score, train
 from .words import text_bytes
 
 COMMON = 150_000
 CLASSES, SIZE, HIDDEN, EMBED = 32, 32, 16, 16
 LENGTH, STRIDE, WARM = 96, 4, 4_096
+#: Documents that are scored side by side, and of which windows are learned at a time.
+SLICE = 3_000
 WARM_EPOCHS, WARM_RATE, RATE = 6, 0.02, 0.004
 
 
@@ -114,6 +116,33 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """The words above the lowest count that leaves at most `most` of them, most frequent first.
+
+    The cut is found in a histogram of counts, 16 steps to a doubling, so that no task has to sort or send more
+    than its share of the words above the cut.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    above, cut = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
+        if above + r["n"] > most:
+            break
+        above, cut = above + r["n"], r["step"]
+    rows = counts.filter(step >= cut).collect() if cut is not None else []
+    return sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))
+
+
+def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _seed(key: str) -> int:
     return zlib.crc32(f"window|{key}".encode())
 
@@ -152,11 +181,14 @@ def fit(training: DataFrame, lexicon: Lexicon) -> Gru:
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, own = shared.value, start.value.same()
         ranks = lex.ranks()
-        adam, tokens = Adam(own, RATE), 0
+        adam, tokens, held = Adam(own, RATE), 0, []
         for batch in batches:
-            for at in range(0, len(batch), 2_000):
-                windows = _windows_of(batch.iloc[at : at + 2_000], lex, ranks, STRIDE)
-                tokens += train(own, windows, RATE, adam=adam)[1]
+            held.append(_windows_of(batch, lex, ranks, STRIDE))
+            if sum(map(len, held)) >= SLICE:
+                tokens += train(own, np.concatenate(held), RATE, adam=adam)[1]
+                held = []
+        if held:
+            tokens += train(own, np.concatenate(held), RATE, adam=adam)[1]
         if tokens:
             flat = own.flat().astype(np.float64)
             yield pd.DataFrame({"at": np.arange(len(flat)), "sum": flat * tokens, "n": np.full(len(flat), tokens)})
@@ -179,12 +211,13 @@ def train_loss(model: Gru, sequences: np.ndarray) -> float:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
     spark = docs.sparkSession
+    text_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     training = rows.filter("NOT held_out").select("id", "text")
     counts = written(count_words(training), "counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    common = counts.orderBy(F.desc("c"), "word").limit(COMMON).collect()
+    common = most_frequent(counts, COMMON)
     size = CLASSES * SIZE
     lexicon = Lexicon([bytes(r["word"]) for r in common], [r["c"] for r in common], training.count(), totals["n"], totals["v"], size)
     model = spark.sparkContext.broadcast(fit(training, lexicon))
@@ -197,7 +230,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         context = TaskContext.get()
         key = (context.partitionId() if context else 0) << 33
         inside = lex.size - 2
-        for batch in batches:
+        # Batches are put together to SLICE documents: the model reads many of them side by side.
+        for batch in _together(batches, SLICE):
             texts, sizes, known, base, outside, unknown, rare_words, rare_times = [], [], [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 words = words_of(text)
