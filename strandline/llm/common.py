@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import shared_dir, written
+from ..plans.storage import discard, shared_dir, written
 
-__all__ = ["WS", "lower_ascii", "shared_dir", "shuffle_parts", "table", "text_batches", "written"]
+__all__ = ["WS", "discard", "lower_ascii", "shared_dir", "shuffle_parts", "table", "text_batches", "written"]
 
 #: White space of the word and text contracts: the six ASCII characters, nothing else.
 WS = r"[\x20\x09-\x0D]"

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, written
+from .common import discard, table, text_batches, written
 from .words import WordHashes, in_chunks, mixed, rolling, text_bytes
 
 SHINGLE = 5
@@ -183,16 +183,19 @@ def verified(pairs: DataFrame, docs: DataFrame, num: int = 75, den: int = 100) -
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) of every id in links (a, b): root is the smallest id reachable. links must be a written table."""
+    """A written table with (id, root) of every id in links (a, b): root is the smallest id reachable.
+
+    links must be a written table.
+    """
     ends = links.select(F.col("a").alias("id"), F.least("a", "b").alias("low")).unionByName(links.select(F.col("b").alias("id"), F.least("a", "b").alias("low")))
     roots = written(ends.groupBy("id").agg(F.min("low").alias("root")), "roots")
     while True:
         # Pointer jumping until every id points to a root of its tree.
         up = roots.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        jumped = roots.join(up, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
-        jumped = written(jumped, "jumped")
+        jumped = written(roots.select("id", "root").join(up, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "jumped")
         moved = jumped.filter("moved").limit(1).count() > 0
-        roots = jumped.drop("moved")
+        discard(roots)
+        roots = jumped
         if moved:
             continue
         # All trees are stars now: hook each root to the smallest root next to it.
@@ -202,8 +205,11 @@ def components(links: DataFrame) -> DataFrame:
         low, high = F.least("ra", "rb"), F.greatest("ra", "rb")
         hooks = written(across.select(high.alias("root"), low.alias("next")).groupBy("root").agg(F.min("next").alias("next")), "hooks")
         if not hooks.limit(1).count():
+            discard(hooks)
             return roots
-        roots = written(roots.join(hooks, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "roots")
+        hooked = written(roots.select("id", "root").join(hooks, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "roots")
+        discard(roots, hooks)
+        roots = hooked
 
 
 _UNIT = ("key", "i", "j", "block", "id", "n", "comp", "centre", "sig", "bands")
@@ -336,10 +342,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(first)
     more = written(exhaust(members.filter("size > 2"), roots, reps, near, num, den), "links")
     if more.limit(1).count():
-        roots = components(written(first.unionByName(more), "links"))
+        every = written(first.unionByName(more), "links")
+        discard(roots)
+        roots = components(every)
+        discard(every)
+    discard(members, near, pairs, first, more)
     # A copy's component is its representative's.
     of_copies = copies.select("id", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
-    if_repeated = of_copies.unionByName(roots).groupBy("id").agg(F.min("root").alias("root"))
+    if_repeated = of_copies.unionByName(roots.select("id", "root")).groupBy("id").agg(F.min("root").alias("root"))
     return sk.select("id", "n").join(if_repeated, "id", "left").select("id", "n", F.coalesce("root", "id").alias("component"))
 
 
