@@ -9,7 +9,8 @@ candidates still alive. Survivors are scored exactly, in double precision, on th
 
 Lists: centroids are fitted on at most SAMPLE vectors (the least hashed ids); every vector is indexed in the
 list of its nearest centroid. The number of lists grows with the root of the number of vectors, and a query
-probes a fixed number of nearest lists, more if these hold too few vectors. Lists are cut into chunks of about
+probes as many of the nearest lists as reach the wanted recall between vectors of the sample, more if these hold
+too few vectors: few lists where vectors form clusters, most of them where they point everywhere. Lists are cut into chunks of about
 CHUNK vectors by a hash of the id, and so are the queries of a list, so a list that holds a third of all vectors
 is many tasks of bounded size.
 
@@ -131,6 +132,23 @@ def best_of(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) ->
     return ids[order], scores[order]
 
 
+def probes_for(vectors: np.ndarray, points: np.ndarray, centres: np.ndarray, turn: np.ndarray, k: int, recall: float, queries: int = 512) -> int:
+    """How many nearest lists hold that share of the k nearest among the sample, on average over some of its vectors."""
+    q = vectors[:queries]
+    scores = q @ vectors.T
+    scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    k = min(k, len(vectors) - 1)
+    if k < 1:
+        return 1
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    turned = np.hstack([q, np.zeros((len(q), 1))]) @ turn
+    order = np.argsort((centres**2).sum(1)[None] - 2 * turned @ centres.T, axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(len(centres))[None], axis=1)
+    depth = np.take_along_axis(rank, _nearest(points, centres)[0][best], axis=1)
+    return int(np.quantile(depth, recall, method="higher")) + 1
+
+
 def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in column], dtype=np.float64)
 
@@ -139,7 +157,7 @@ def nearest_neighbours(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
-    probes: int = 24,
+    recall: float = 0.97,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     eps: float = EPS,
@@ -156,9 +174,11 @@ def nearest_neighbours(
     rows = rows.filter(F.size("v") == dim)
     sample = rows.select("id", "v").orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(SAMPLE).toPandas()
     turn = rotation(dim + 1)
-    points = augmented(_matrix(sample["v"]), top) @ turn
+    originals = _matrix(sample["v"])
+    points = augmented(originals, top) @ turn
     lists = int(min(MAX_LISTS, max(1, round(shape["n"] ** 0.5 / 2)), len(points)))
     centres = fit_centroids(points, lists)
+    probes = probes_for(originals, points, centres, turn, k, recall)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
