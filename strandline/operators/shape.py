@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of a hub's children that are ranked apart.
+SALTS = 64
+
+
 def fold_attributes(nodes: DataFrame, edges: DataFrame, owner_rels: list[str], label: str = "Attribute", keep_labels: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes with col_count and columns, edges): attributes fold into their owners, edges keep two visible ends."""
     fields = nodes.filter(F.col("label") == label)
@@ -27,12 +31,15 @@ def cap_fanout(edges: DataFrame, labels: DataFrame, most: int = 12) -> tuple[Dat
     to the summary; loops and duplicates go.
     """
     kids = edges.join(labels.select(F.col("id").alias("dst"), F.col("label").alias("child_label")), "dst")
-    group = Window.partitionBy("src", "child_label")
-    # Ranks within a group: only groups over the limit matter, and their size is known from a plain count first.
+    # Only groups over the limit matter, and their size is known from a plain count first. The first most - 1 of a hub
+    # are found among the first of each of its SALTS parts, so no task ranks all children of a hub.
     sizes = kids.groupBy("src", "child_label").agg(F.count_distinct("dst").alias("size")).filter(F.col("size") > most)
     over = kids.select("src", "child_label", "dst").distinct().join(sizes, ["src", "child_label"])
-    ranked = over.withColumn("rank", F.row_number().over(group.orderBy("dst")))
-    spill = ranked.filter(F.col("rank") > most - 1).withColumn("summary", F.concat_ws("::", F.lit("summary"), "src", "child_label"))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("dst"))
+    salted = over.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)))
+    first = salted.withColumn("rank", rank("src", "child_label", "salt")).filter(F.col("rank") < most)
+    first = first.withColumn("rank", rank("src", "child_label")).filter(F.col("rank") < most)
+    spill = over.join(first.select("src", "child_label", "dst"), ["src", "child_label", "dst"], "left_anti").withColumn("summary", F.concat_ws("::", F.lit("summary"), "src", "child_label"))
     claims = spill.groupBy("dst").agg(F.count_distinct("summary").alias("claims"), F.min("summary").alias("summary"))
     kept = kids.join(spill.select("src", "dst"), ["src", "dst"], "left_anti").select("dst").distinct()
     hidden = claims.filter("claims = 1").join(kept, "dst", "left_anti").select(F.col("dst").alias("id"), "summary")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How a column of an old and a new row merge.
@@ -38,9 +38,9 @@ def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the first in the order."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+    """One row per key, the first in the (ascending) order: a partial aggregate, so a hot key needs no task of its own."""
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__row"))
+    return first.select("__row.*")
 
 
 def merge_edges(edges: DataFrame, key: str = "key") -> DataFrame:

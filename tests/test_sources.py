@@ -136,3 +136,57 @@ def test_ingest_is_incremental(spark, tmp_path):
         streaming.ingest_artifacts(spark, str(folder), tws.parse_scheduler, str(tmp_path / "out"), str(tmp_path / "cp"))
         assert spark.read.parquet(str(tmp_path / "out")).filter("kind = 'job'").count() == n
         (folder / f"b{n}.txt").write_text(f"SCHEDULE W#T{n}\n:\n B\nEND\n")
+
+
+def test_scripts_inside_an_sqlite_app():
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE props (id INTEGER, content TEXT)")
+    db.execute("INSERT INTO props VALUES (1, ?)", (json.dumps({"qScript": "SET a = 1;\nT: LOAD x FROM [f.csv];"}),))
+    db.execute("INSERT INTO props VALUES (2, 'nothing here')")
+    db.commit()
+    found = qlik.app_scripts(db.serialize())
+    assert len(found) == 1 and found[0].startswith("SET a")
+
+
+def test_connection_store_takes_the_first_kind_that_has_it():
+    stores = {"c/Ops.dconn": "provider=x;server=a", "settings.ini": "[ops]\nserver=b\n[other]\nserver=c\n"}
+    assert qlik.connection_store(stores, "OPS")["string"] == "provider=x;server=a"
+    assert qlik.connection_store(stores, "other")["string"] == "server=c"
+    assert qlik.connection_store(stores, "none") is None
+
+
+def test_compound_file_streams():
+    """A smallest compound file: one FAT sector, one directory sector, one stream of a sector, and no mini stream."""
+    import struct
+
+    script = ("LOAD a FROM b; SQL SELECT c FROM d; STORE t INTO u; SET x = 1; " * 80).encode()
+    script = script[: 512 * (len(script) // 512)]
+    n = len(script) // 512
+    header = bytearray(512)
+    header[:8] = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+    struct.pack_into("<HHHHH", header, 24, 0x3E, 3, 0xFFFE, 9, 6)
+    struct.pack_into("<I", header, 44, 1)
+    struct.pack_into("<I", header, 48, 1)
+    struct.pack_into("<I", header, 56, 4096)
+    struct.pack_into("<II", header, 60, 0xFFFFFFFE, 0)
+    struct.pack_into("<II", header, 68, 0xFFFFFFFE, 0)
+    struct.pack_into("<109I", header, 76, 0, *[0xFFFFFFFF] * 108)
+    fat = [0xFFFFFFFD, 0xFFFFFFFE, *range(3, 2 + n), 0xFFFFFFFE]
+    fat += [0xFFFFFFFF] * (128 - len(fat))
+
+    def entry(name: str, kind: int, start: int, size: int) -> bytes:
+        e = bytearray(128)
+        raw = name.encode("utf-16-le") + b"\0\0"
+        e[: len(raw)] = raw
+        struct.pack_into("<H", e, 64, len(raw))
+        e[66] = kind
+        struct.pack_into("<I", e, 116, start)
+        struct.pack_into("<Q", e, 120, size)
+        return bytes(e)
+
+    directory = entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("Script", 2, 2, len(script)) + bytes(256)
+    content = bytes(header) + struct.pack("<128I", *fat) + directory + script
+    assert qlik.compound_streams(content)["Script"] == script
+    assert qlik.script_of_binary(content).startswith("LOAD a FROM b")
