@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, table
+from .common import shuffle_parts, table, written
 
 BROADCAST_SOURCES = 10_000
 SALTS = 64
@@ -65,12 +65,11 @@ def source_rates(docs: DataFrame, weights: dict[str, float], budget: float | Non
     total = docs.select(F.coalesce(F.col(source_col), F.lit(null_name)).alias("source"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("size"))
     pairs = [x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))]
     weight = F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(float(other_weight))) if pairs else F.lit(float(other_weight))
-    total = total.withColumn("weight", F.when(F.col("size") > 0, weight).otherwise(F.lit(0.0)))
-    sums = total.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"))
-    aim = F.lit(float(budget)) if budget is not None else F.col("all_size").cast("double")
-    rated = total.crossJoin(F.broadcast(sums))  # sums is one row
-    rate = F.when((F.col("weight") > 0) & (F.col("all_weight") > 0), F.col("weight") / F.col("all_weight") * aim / F.col("size")).otherwise(F.lit(0.0))
-    rated = rated.select("source", "size", "weight", rate.alias("rate"))
+    total = written(total.withColumn("weight", F.when(F.col("size") > 0, weight).otherwise(F.lit(0.0))), "sources")
+    sums = total.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    aim = float(budget) if budget is not None else float(sums["size"])
+    rate = F.when(F.col("weight") > 0, F.col("weight") / F.lit(sums["weight"] or 1.0) * F.lit(aim) / F.col("size")).otherwise(F.lit(0.0))
+    rated = total.select("source", "size", "weight", rate.alias("rate"))
     return rated.withColumn("pieces", _pieces(F.col("rate"))).withColumn("cdf", poisson_cdf(F.col("rate") / F.col("pieces")))
 
 
@@ -91,7 +90,7 @@ def mix_sources(
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long") if size is None else size
     rates = source_rates(docs, weights, budget, source_col, size, other_weight, null_name).select(F.col("source").alias("__source"), F.col("rate").alias("mix_rate"), F.col("pieces").alias("__pieces"), F.col("cdf").alias("__cdf"))
     rows = docs.drop("replica", "mix_rate", "shuffle_key").withColumn("__source", F.coalesce(F.col(source_col), F.lit(null_name)))
-    few = docs.select(source_col).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources
+    few = rates.limit(broadcast_sources + 1).count() <= broadcast_sources
     if few:
         rows = rows.join(F.broadcast(rates), "__source")
     else:
