@@ -106,9 +106,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns, once each."""
     found = exact_dedup(docs, id_col, text_col)
-    ids = found.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.bool_or("kept").alias("__kept"))
+    ids = written(found.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.bool_or("kept").alias("__kept")), "kept")
     same = docs[id_col].eqNullSafe(ids["__id"])
     once = docs.join(ids.filter("__kept AND __n = 1"), same, "left_semi")
+    if not ids.filter("__kept AND __n > 1").limit(1).count():
+        return once
     # Ids that several rows carry are rare: those rows are told apart by their digests.
     again = docs.join(ids.filter("__kept AND __n > 1"), same, "left_semi")
     again = again.withColumn("__digest", F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
