@@ -327,7 +327,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sk = written(sketches(docs, id_col, text_col), "sketches")
     usable = sk.filter("n > 0 AND id IS NOT NULL")
     # Fold equal sets: all rows of a digest refer to its smallest id.
-    shared = usable.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("high")).filter("rep < high").select("digest", "rep")
+    # Written, so that the join has plain shuffles on both sides and the digest of a large group can be split.
+    shared = written(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("high")).filter("rep < high").select("digest", "rep"), "shared")
     copies = written(usable.select("id", "digest").join(shared, "digest").filter("id <> rep").select("id", "rep", "digest"), "copies")
     reps = usable.join(copies.select("id", "digest"), ["id", "digest"], "left_anti").dropDuplicates(["id", "digest"])
     banded = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
@@ -346,7 +347,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         discard(roots)
         roots = components(every)
         discard(every)
-    discard(members, near, pairs, first, more)
+    discard(shared, members, near, pairs, first, more)
     # A copy's component is its representative's.
     of_copies = copies.select("id", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     if_repeated = of_copies.unionByName(roots.select("id", "root")).groupBy("id").agg(F.min("root").alias("root"))
