@@ -3,9 +3,9 @@
 The measure is the inner product. One more dimension, sqrt(M^2 - |x|^2) with M the largest norm (0 for queries),
 turns it into Euclidean distance, which a seeded random rotation leaves as it is. After the rotation, the
 distance over the first d of D dimensions, times D / d, estimates the whole; a candidate is abandoned as soon as
-that exceeds the current k-th distance by the factor (1 + eps / sqrt(d))^2, a hypothesis test whose level eps
-sets. Rotated candidates lie in column blocks (dimension-major), and each block is one vector operation over the
-candidates still alive. Survivors are scored exactly, in double precision, on the original vectors.
+that exceeds a bound on the k-th distance by the factor (1 + eps / sqrt(d))^2, a hypothesis test whose level eps
+sets. The bound is the k-th distance among the sample below. Rotated candidates lie in column blocks
+(dimension-major), and each block is one matrix operation over what is still alive. Survivors are scored exactly, in double precision, on the original vectors.
 
 Lists: centroids are fitted on at most SAMPLE vectors (the least hashed ids); every vector is indexed in the
 list of its nearest centroid. The number of lists grows with the root of the number of vectors, and a query
@@ -37,7 +37,9 @@ MAX_LISTS = 4_096
 CHUNK = 4_096
 QUERY_CHUNK = 1_024
 BLOCK = 16
-TILE = 1_024
+#: Candidates and queries whose partial distances are held at a time, and the share of pairs alive from which on
+#: only those are gone on with.
+TILE, Q_TILE, SPARSE = 2_048, 256, 0.1
 EPS = 2.1
 SEED = 7
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -86,50 +88,54 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return near, far
 
 
-def adaptive_scan(query: np.ndarray, blocks: list[np.ndarray], k: int, own: np.ndarray, eps: float = EPS) -> np.ndarray:
-    """Positions of the candidates (columns of the blocks) that may be among the k nearest; own: those left out."""
-    dim = sum(len(b) for b in blocks)
-    n = blocks[0].shape[1]
-    parts = np.split(query, np.cumsum([len(b) for b in blocks])[:-1])
-    kept, far, limit = [], [], np.inf
-    start = 0
-    while start < n:
-        # The first tile is small: it only has to set the first limit.
-        stop = min(n, start + (TILE if start else max(4 * k, 64)))
-        alive = np.arange(start, stop)
-        alive = alive[~own[start:stop]]
-        sums = np.zeros(len(alive), np.float32)
-        done = 0
-        for block, part in zip(blocks, parts):
-            gap = (block[:, start:stop] if len(alive) == stop - start else block[:, alive]) - part[:, None]
-            sums += np.einsum("ij,ij->j", gap, gap)
-            done += len(part)
-            if limit < np.inf and done < dim:
-                ok = sums * np.float32(dim / done) <= limit * (1 + eps / done**0.5) ** 2
-                if not ok.all():
-                    alive, sums = alive[ok], sums[ok]
-                    if not len(alive):
-                        break
-        if len(alive):
-            kept.append(alive)
-            far.append(sums)
-            together = np.concatenate(far)
-            if len(together) >= k:
-                # A little slack, as these distances are in single precision.
-                limit = float(np.partition(together, k - 1)[k - 1]) * 1.0001 + 1e-6
-                at = together <= limit
-                kept, far = [np.concatenate(kept)[at]], [together[at]]
-        start = stop
-    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
-
-
-def best_of(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k largest inner products, ties to the smaller id, each id once."""
-    scores = (vectors * query).sum(axis=1)
-    order = np.lexsort((ids, -scores))
-    _, first = np.unique(ids[order], return_index=True)
-    order = order[np.sort(first)][:k]
-    return ids[order], scores[order]
+def adaptive_scan(queries: np.ndarray, limits: np.ndarray, blocks: list[np.ndarray], eps: float = EPS) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) positions of pairs whose squared distance is within the query's limit.
+
+    queries: (n, D), rotated; blocks: candidates as column blocks (d, m). Partial distances of a tile of queries and
+    candidates grow block by block; after each, pairs that fail the test are abandoned. As long as most are alive the
+    tile goes on as a whole, later only what is alive.
+    """
+    dim, m = sum(len(b) for b in blocks), blocks[0].shape[1]
+    cuts = np.cumsum([len(b) for b in blocks])[:-1]
+    squares = [np.einsum("ij,ij->j", b, b) for b in blocks]
+    found_q, found_c = [], []
+    for q0 in range(0, len(queries), Q_TILE):
+        parts = np.split(queries[q0 : q0 + Q_TILE], cuts, axis=1)
+        limit = limits[q0 : q0 + Q_TILE]
+        for c0 in range(0, m, TILE):
+            sums = np.zeros((len(limit), min(TILE, m - c0)), np.float32)
+            at = None
+            done = 0
+            for block, square, part in zip(blocks, squares, parts):
+                if at is None:
+                    sums += np.einsum("ij,ij->i", part, part)[:, None] + square[None, c0 : c0 + TILE] - 2 * (part @ block[:, c0 : c0 + TILE])
+                else:
+                    gap = block[:, c0 + at[1]] - part[at[0]].T
+                    sums += np.einsum("ij,ij->j", gap, gap)
+                done += len(part[0])
+                bound = limit * (done / dim) * (1 + (eps / done**0.5 if done < dim else 0)) ** 2
+                if at is None:
+                    ok = sums <= bound[:, None]
+                    if done == dim or ok.mean() < SPARSE:
+                        at = np.nonzero(ok)
+                        sums = sums[at]
+                else:
+                    ok = sums <= bound[at[0]]
+                    at, sums = (at[0][ok], at[1][ok]), sums[ok]
+                if at is not None and not len(at[0]):
+                    break
+            found_q.append(q0 + at[0])
+            found_c.append(c0 + at[1])
+    return np.concatenate(found_q), np.concatenate(found_c)
+
+
+def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's k best (query, id) pairs: largest score, ties to the smaller id, each id once."""
+    order = np.lexsort((ids, -scores, query))
+    pairs = np.stack([query[order], ids[order]], axis=1)
+    order = order[np.sort(np.unique(pairs, axis=0, return_index=True)[1])] if len(order) else order
+    starts = np.searchsorted(query[order], query[order], side="left")
+    return order[np.arange(len(order)) - starts < k]
 
 
 def probes_for(vectors: np.ndarray, points: np.ndarray, centres: np.ndarray, turn: np.ndarray, k: int, recall: float, queries: int = 512) -> int:
@@ -149,6 +155,22 @@ def probes_for(vectors: np.ndarray, points: np.ndarray, centres: np.ndarray, tur
     return int(np.quantile(depth, recall, method="higher")) + 1
 
 
+def kth_distance(own: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
+    """Squared distance of each query's k-th nearest point, its own id's left out; infinite where there are fewer."""
+    out = np.full(len(queries), np.inf)
+    if len(points) <= k:
+        return out
+    squares = (points**2).sum(1)
+    for at in range(0, len(queries), 256):
+        part = queries[at : at + 256]
+        d = squares[None] + (part**2).sum(1)[:, None] - 2 * part @ points.T
+        place = np.searchsorted(ids, own[at : at + 256])
+        here = np.flatnonzero((place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == own[at : at + 256]))
+        d[here, place[here]] = np.inf
+        out[at : at + 256] = np.partition(d, k - 1, axis=1)[:, k - 1]
+    return out
+
+
 def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in column], dtype=np.float64)
 
@@ -179,6 +201,9 @@ def nearest_neighbours(
     lists = int(min(MAX_LISTS, max(1, round(shape["n"] ** 0.5 / 2)), len(points)))
     centres = fit_centroids(points, lists)
     probes = probes_for(originals, points, centres, turn, k, recall)
+    # One vector per id of the sample: its k-th distance bounds that of the whole.
+    anchor_ids, first = np.unique(sample["id"].to_numpy(), return_index=True)
+    anchors = points[first].astype(np.float32)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,42 +225,50 @@ def nearest_neighbours(
             # The nearest lists, and more of them until they hold enough vectors to choose from.
             enough = (np.cumsum(counts[order], axis=1) < 4 * k + 1).sum(axis=1) + 1
             take = np.minimum(np.maximum(enough, probes), lists)
-            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), take), "v": [v for v, t in zip(batch["v"], take) for _ in range(t)], "list": np.concatenate([o[:t] for o, t in zip(order, take)])})
-
-    probed = written(indexed.filter("q").select("id", "v").mapInPandas(probe, "id long, v array<double>, list long"), "probes")
-    asked = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cut = [(int(c), int(-(-held[c] // CHUNK)), int(-(-asked[c] // QUERY_CHUNK))) for c in asked if held.get(c)]
-    if not cut:
-        return spark.createDataFrame([], RESULT)
-    cuts = F.broadcast(spark.createDataFrame(cut, "list long, chunks long, query_chunks long"))  # MAX_LISTS rows at most
-    own_chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = indexed.join(cuts, "list").select("list", own_chunk("chunks").alias("chunk"), every("query_chunks").alias("query_chunk"), "id", "v")
-    right = probed.join(cuts, "list").select("list", every("chunks").alias("chunk"), own_chunk("query_chunks").alias("query_chunk"), "id", "v")
+            limit = kth_distance(batch["id"].to_numpy(), q.astype(np.float32), anchor_ids, anchors, 2 * k)
+            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), take), "v": [v for v, t in zip(batch["v"], take) for _ in range(t)], "limit": np.repeat(limit, take), "list": np.concatenate([o[:t] for o, t in zip(order, take)])})
 
+    probed = written(indexed.filter("q").select("id", "v").mapInPandas(probe, "id long, v array<double>, `limit` double, list long"), "probes")
     def scan(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(candidates) and len(queries):
-            ids, c, q = candidates["id"].to_numpy(), _matrix(candidates["v"]), _matrix(queries["v"])
-            if len(np.unique(ids)) < len(ids):
-                first = np.unique(np.hstack([ids[:, None].astype(np.float64), c]), axis=0, return_index=True)[1]
-                ids, c = ids[np.sort(first)], c[np.sort(first)]
-            # Vectors that share an id take one place in the result: look at so many more.
-            wide = k + len(ids) - len(np.unique(ids))
-            columns = np.ascontiguousarray((augmented(c, top) @ turn).T.astype(np.float32))
-            blocks = [columns[at : at + BLOCK] for at in range(0, dim + 1, BLOCK)]
-            turned = (np.hstack([q, np.zeros((len(q), 1))]) @ turn).astype(np.float32)
-            for query_id, vector, t in zip(queries["id"].to_numpy(), q, turned):
-                at = adaptive_scan(t, blocks, wide, ids == query_id, eps)
-                near, scores = best_of(vector, ids[at], c[at], k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": near, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    keys = ["list", "chunk", "query_chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if not len(candidates) or not len(queries):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        ids, c = candidates["id"].to_numpy(), _matrix(candidates["v"])
+        asked, q = queries["id"].to_numpy(), _matrix(queries["v"])
+        columns = np.ascontiguousarray((augmented(c, top) @ turn).T.astype(np.float32))
+        blocks = [columns[at : at + BLOCK] for at in range(0, dim + 1, BLOCK)]
+        turned = (np.hstack([q, np.zeros((len(q), 1))]) @ turn).astype(np.float32)
+        # A little slack, as these distances are in single precision.
+        at_q, at_c = adaptive_scan(turned, (queries["limit"].to_numpy() * 1.0001 + 1e-5).astype(np.float32), blocks, eps)
+        other = asked[at_q] != ids[at_c]
+        at_q, at_c = at_q[other], at_c[other]
+        scores = np.concatenate([(c[at_c[k0 : k0 + 8192]] * q[at_q[k0 : k0 + 8192]]).sum(axis=1) for k0 in range(0, len(at_q), 8192)] or [np.zeros(0)])
+        best = best_of(asked[at_q], ids[at_c], scores, k)
+        return pd.DataFrame({"query_id": asked[at_q][best], "vec_id": ids[at_c][best], "score": scores[best]})
+
+    def search(probed: DataFrame) -> DataFrame:
+        asked = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_LISTS rows at most
+        cut = [(int(c), int(-(-held[c] // CHUNK)), int(-(-asked[c] // QUERY_CHUNK))) for c in asked if held.get(c)]
+        if not cut:
+            return spark.createDataFrame([], RESULT)
+        cuts = F.broadcast(spark.createDataFrame(cut, "list long, chunks long, query_chunks long"))
+        own_chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = indexed.join(cuts, "list").select("list", own_chunk("chunks").alias("chunk"), every("query_chunks").alias("query_chunk"), "id", "v")
+        right = probed.join(cuts, "list").select("list", every("chunks").alias("chunk"), own_chunk("query_chunks").alias("query_chunk"), "id", "v", "limit")
+        keys = ["list", "chunk", "query_chunk"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    result = written(search(probed), "neighbours")
+    # A bound or a test may leave a query with less than k: such queries, few if any, look at every list without either.
+    full = result.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    short = written(indexed.filter("q").select("id", "v").join(full, "id", "left_anti"), "short")
+    if not short.limit(1).count():
+        return result
+    again = short.withColumn("limit", F.lit(float("inf"))).withColumn("list", F.explode(F.array(*[F.lit(int(c)).cast("long") for c in sorted(held)])))
+    return result.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(search(again))
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,10 +63,19 @@ def test_ann_edge_cases(spark):
 
 def test_adaptive_scan_keeps_the_nearest():
     rng = np.random.default_rng(1)
-    x, q = rng.standard_normal((5000, 48)).astype(np.float32), rng.standard_normal(48).astype(np.float32)
-    at = ann.adaptive_scan(q, [np.ascontiguousarray(x.T[k : k + 16]) for k in (0, 16, 32)], 20, np.zeros(5000, bool))
-    best = np.argsort(((x - q) ** 2).sum(1))[:20]
-    assert len(set(best) & set(at)) >= 18 and len(at) < 200
+    x, q = rng.standard_normal((5000, 48)).astype(np.float32), rng.standard_normal((300, 48)).astype(np.float32)
+    d = ((x[None] - q[:, None]) ** 2).sum(2)
+    limits = np.partition(d, 39, axis=1)[:, 39] * np.float32(1.0001)
+    at_q, at_c = ann.adaptive_scan(q, limits, [np.ascontiguousarray(x.T[k : k + 16]) for k in (0, 16, 32)])
+    assert (d[at_q, at_c] <= limits[at_q] * 1.001).all()
+    assert len(at_q) >= 0.98 * 300 * 40
+    assert (np.bincount(at_q, minlength=300) <= 41).all()
+
+
+def test_best_of_takes_each_id_once():
+    query, ids, scores = np.array([1, 1, 1, 1, 2]), np.array([5, 5, 4, 9, 5]), np.array([3.0, 2.0, 2.0, 2.0, 1.0])
+    best = ann.best_of(query, ids, scores, 2)
+    assert [(query[k], ids[k], scores[k]) for k in best] == [(1, 5, 3.0), (1, 4, 2.0), (2, 5, 1.0)]
 
 
 # Language model
