@@ -15,6 +15,7 @@ from ..functions.ids import attribute_id, canonical_id, table_id
 from ..operators.upsert import guarded_edges, merge_edges
 from ..sources import tableau, tws
 from ..sources.artifacts import entities
+from .storage import written
 
 _IO = "frame int, target string, `table` string, location string, format string, connection string, klass string, server string, `database` string, mode string, via string, resolved boolean, has_credentials boolean, line int"
 
@@ -172,10 +173,11 @@ def stitched(nodes: DataFrame) -> DataFrame:
 
 
 def combine(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """One graph of several, stitched; edges need both ends."""
-    nodes = _settled([n for n, _ in graphs])
-    edges = merge_edges(union_all([e for _, e in graphs] + [stitched(nodes)]))
-    return nodes, guarded_edges(edges, nodes).select("src", "dst", "rel", "key")
+    """One graph of several, stitched; edges need both ends. Both are written: questions join the edges many times."""
+    nodes = written(_settled([n for n, _ in graphs]), "nodes")
+    edges = written(union_all([e for _, e in graphs]), "edges")
+    edges = merge_edges(edges.unionByName(stitched(nodes)))
+    return nodes, written(guarded_edges(edges, nodes).select("src", "dst", "rel", "key"), "edges")
 
 
 def answer(nodes: DataFrame, edges: DataFrame) -> DataFrame:

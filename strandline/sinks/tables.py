@@ -54,3 +54,12 @@ def scheduler_mirror(parsed: DataFrame) -> dict[str, DataFrame]:
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def export_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def dump_stages(parsed: DataFrame, path: str) -> None:
+    """Entity rows for inspection: one folder of JSON lines per kind."""
+    parsed.select("kind", "path", "payload").repartition("kind").write.mode("overwrite").partitionBy("kind").json(path)

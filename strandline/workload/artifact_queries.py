@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..plans import estate
 from ..plans.sql_lineage import lineage_frame
+from ..plans.storage import written
 from ..sinks.openlineage import run_events
 from ..sources import logs, notebooks, orchestration, qlik, tableau, tws
 from ..sources.artifacts import artifact_kind, entities, parse
@@ -253,14 +254,11 @@ def s25_connections(spark, d):
 
 
 def _estate(spark):
-    return estate.combine(
-        [
-            estate.spark_graph(_spark_rows(spark)),
-            estate.scheduler_graph(_tws(spark)),
-            estate.workbook_graph(parse(_files(spark, "fleet.twb"), tableau.parse_workbook)),
-            estate.script_graph(parse(_files(spark, "parcels.qvs"), lambda p, x: qlik.parse_load_script(p, x))),
-        ]
-    )
+    # Parsed once: each graph picks many kinds of entities out of its rows.
+    sheets = parse(_files(spark, "fleet.twb"), tableau.parse_workbook)
+    scripts = parse(_files(spark, "parcels.qvs"), lambda p, x: qlik.parse_load_script(p, x))
+    code, jobs, sheets, scripts = (written(x, "parsed") for x in (_spark_rows(spark), _tws(spark), sheets, scripts))
+    return estate.combine([estate.spark_graph(code), estate.scheduler_graph(jobs), estate.workbook_graph(sheets), estate.script_graph(scripts)])
 
 
 def estate_answer(spark, d):

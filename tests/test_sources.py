@@ -190,3 +190,12 @@ def test_compound_file_streams():
     content = bytes(header) + struct.pack("<128I", *fat) + directory + script
     assert qlik.compound_streams(content)["Script"] == script
     assert qlik.script_of_binary(content).startswith("LOAD a FROM b")
+
+
+def test_stage_dump_has_a_folder_per_kind(spark, tmp_path):
+    rows = parse(spark.createDataFrame([("x", "SCHEDULE W#S\n:\n A\nEND\n")], "path string, content string"), tws.parse_scheduler)
+    tables.dump_stages(rows, str(tmp_path / "d"))
+    back = spark.read.json(str(tmp_path / "d"))
+    assert {r.kind for r in back.select("kind").distinct().collect()} == {"workstation", "schedule", "job"}
+    tables.export_json(back, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == back.count()
