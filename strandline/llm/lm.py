@@ -6,8 +6,8 @@ model's own vocabulary is the most frequent of these; any other word is the unkn
 smoothed share of all counts outside the vocabulary, so that the model, too, gives every word a probability.
 
 Training: a warm start on the driver, on WARM windows (the least hashed ones); then each partition trains on
-windows of all its training documents (every STRIDE-th window of LENGTH tokens, from a hashed offset, at least
-one of each document), and the parameters are averaged by tokens, in one distributed sum. The work grows with
+windows of all its training documents (with STRIDE 1 every window of LENGTH tokens, so that every token is learned),
+and the parameters are averaged by tokens, in one distributed sum. The work grows with
 the corpus, what the driver holds does not.
 
 Defined results for the unusual: a null or empty text is one end token; a null id hashes as the empty string
@@ -35,7 +35,7 @@ from .words import text_bytes
 
 COMMON = 150_000
 CLASSES, SIZE, HIDDEN, EMBED = 32, 32, 16, 16
-LENGTH, STRIDE, WARM = 96, 4, 4_096
+LENGTH, STRIDE, WARM = 96, 1, 4_096
 #: Documents that are scored side by side, and of which windows are learned at a time.
 SLICE = 3_000
 WARM_EPOCHS, WARM_RATE, RATE = 6, 0.02, 0.004
@@ -102,7 +102,7 @@ def _model_tokens(rank: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def training_windows(tokens: np.ndarray, seed: int, stride: int = STRIDE, length: int = LENGTH) -> np.ndarray:
+def training_windows(tokens: np.ndarray, seed: int, stride: int = 4, length: int = LENGTH) -> np.ndarray:
     """Rows (1 + length) of a text's windows: the token ahead, then the window; -1 after the end."""
     n = -(-len(tokens) // length)
     padded = np.full(1 + n * length, -1, np.int32)

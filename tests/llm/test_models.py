@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -148,6 +149,13 @@ def test_training_windows_cover_some_of_each_text():
     assert lm.training_windows(np.array([0], np.int32), 7).tolist()[0][:3] == [0, 0, -1]
 
 
+def test_every_token_of_a_training_document_is_learned():
+    rows = {0: "a b c " * 400, 1: "a", 2: None, 9: "b zz " * 96}
+    lexicon = lm.Lexicon([b"a", b"b", b"c"], [9, 8, 7], 4, 24, 3, 5)
+    windows = lm._windows_of(pd.DataFrame({"id": list(rows), "text": list(rows.values())}), lexicon, lexicon.ranks(), lm.STRIDE)
+    assert int((windows[:, 1:] >= 0).sum()) == sum(len(lm.words_of(t)) + 1 for t in rows.values())
+
+
 # BPE
 
 
