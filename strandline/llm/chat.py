@@ -5,9 +5,10 @@ named users', system messages as they are. The mask lists the character ranges o
 is what the rotated speaker wrote, with the end mark.
 
 Conversations are cut into segments of SEGMENT turn numbers, each rendered on its own and for the participants
-who speak in it, so that neither a task nor a row holds an unbounded conversation. Where turn numbers do not
-tell messages apart (a segment with more than twice SEGMENT messages), the segment is cut further by a hash of
-the message.
+who speak in it. Where turn numbers do not tell messages apart (a segment with more than twice SEGMENT messages),
+rotate() cuts the segment further, in the order of its messages, into parts of SEGMENT messages, and renders each part
+for every speaker of the segment; the query joins a segment's parts into one row again. Ranks are counted in ranges
+of the order, so that no task sorts a whole segment.
 
 Defined results for the unusual: rows that repeat a turn's number, role and text are one message; messages of
 one turn number are ordered by role, then text; a null turn comes first, in segment 0; a null or empty role is
@@ -18,10 +19,10 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shuffle_parts, table, written
 
 SEGMENT = 256
 SYSTEM = "system"
@@ -33,29 +34,55 @@ def _header(role: Column, speaker: Column) -> Column:
     return F.concat(F.lit(START), named, F.lit("\n"))
 
 
-def segments(messages: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """(conv_id, segment, part, messages): messages is an ordered array<struct<turn, role, text>> of bounded length."""
+def _distinct(messages: DataFrame, size: int) -> DataFrame:
     m = messages.filter("conv_id IS NOT NULL").select(
         "conv_id",
         "turn",
         F.when(F.coalesce("role", F.lit("")) == "", F.lit("unknown")).otherwise(F.col("role")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    m = m.distinct().withColumn("segment", F.coalesce(F.floor(F.col("turn") / size), F.lit(0)).cast("long"))
-    crowded = m.groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * size)
-    crowded = crowded.select("conv_id", "segment", F.ceil(F.col("n") / size).alias("parts"))
-    m = m.join(crowded, ["conv_id", "segment"], "left")
-    m = m.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("turn", "role", "text"), F.col("parts"))).cast("long"))
+    return m.distinct().withColumn("segment", F.coalesce(F.floor(F.col("turn") / size), F.lit(0)).cast("long"))
+
+
+def _listed(m: DataFrame) -> DataFrame:
     return m.groupBy("conv_id", "segment", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
 
 
-def rotate(messages: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """(conv_id, segment, part, participant, n_messages, n_trained, rendered, mask), a row per speaker of a segment.
+def _ranked(m: DataFrame, size: int) -> DataFrame:
+    """m with column part: a message's rank in its segment by turn, role and text, divided by size."""
+    order = ["turn", "role", "text"]
+    dealt = m.repartitionByRange(shuffle_parts(m.sparkSession), "conv_id", "segment", *order).withColumn("range", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    held = dealt.groupBy("conv_id", "segment", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id", "segment").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("conv_id", "segment", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    rank = F.row_number().over(Window.partitionBy("conv_id", "segment", "range").orderBy(*order))
+    ranked = dealt.withColumn("rank", rank).join(held, ["conv_id", "segment", "range"])
+    return ranked.withColumn("part", F.floor((F.col("ahead") + F.col("rank") - 1) / size).cast("long")).drop("range", "rank", "ahead")
 
-    mask: array<struct<start, end>>, character ranges of rendered.
+
+def segments(messages: DataFrame, size: int = SEGMENT) -> tuple[DataFrame, DataFrame | None]:
+    """(conv_id, segment, part, messages, participant) of the segments that are whole, and of the parts of crowded ones.
+
+    messages is an ordered array<struct<turn, role, text>> of bounded length; None where no segment is crowded.
     """
+    m = _distinct(messages, size)
+    crowded = m.groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * size)
+    crowded = written(crowded.select("conv_id", "segment"), "crowded")
     speakers = F.array_distinct(F.filter(F.transform("messages", lambda x: x["role"]), lambda r: r != SYSTEM))
-    rows = segments(messages, size).withColumn("participant", F.explode(speakers))
+    whole = lambda m: _listed(m.withColumn("part", F.lit(0).cast("long"))).withColumn("participant", F.explode(speakers))
+    if not crowded.limit(1).count():
+        return whole(m), None
+    cut = m.join(crowded, ["conv_id", "segment"], "left_semi")
+    who = cut.filter(F.col("role") != SYSTEM).select("conv_id", "segment", F.col("role").alias("participant")).distinct()
+    return whole(m.join(crowded, ["conv_id", "segment"], "left_anti")), _listed(_ranked(cut, size)).join(who, ["conv_id", "segment"])
+
+
+def render(rows: DataFrame) -> DataFrame:
+    """(conv_id, segment, part, participant, n_messages, n_trained, rendered, mask) per row of segments().
+
+    mask: array<struct<start, end>>, character ranges of rendered.
+    """
     who = F.col("participant")
     pieces = F.transform(
         "messages",
@@ -82,13 +109,39 @@ def rotate(messages: DataFrame, size: int = SEGMENT) -> DataFrame:
     )
 
 
+def rotate(messages: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """The rendering of every part of every segment, a row per speaker of the segment."""
+    whole, cut = segments(messages, size)
+    return render(whole) if cut is None else render(whole).unionByName(render(cut))
+
+
+def _spans(ahead: Column) -> Column:
+    """The ranges of mask as text, `ahead` characters on."""
+    return F.array_join(F.transform("mask", lambda m: F.concat_ws("-", (m["start"] + ahead).cast("string"), (m["end"] + ahead).cast("string"))), ",")
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """One row of the rendered parts of each segment and participant, mask as text."""
+    key = ["conv_id", "segment", "participant"]
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("ahead", F.coalesce(F.sum(F.length("rendered").cast("long")).over(before), F.lit(0)))
+    one = F.struct("part", "rendered", _spans(F.col("ahead")).alias("spans"))
+    rows = parts.groupBy(*key).agg(F.sum("n_messages").cast("int").alias("n_messages"), F.sum("n_trained").cast("int").alias("n_trained"), F.sort_array(F.collect_list(one)).alias("parts"))
+    spans = F.filter(F.transform("parts", lambda p: p["spans"]), lambda x: x != "")
+    return rows.select(*key, "n_messages", "n_trained", F.array_join(F.transform("parts", lambda p: p["rendered"]), "").alias("rendered"), F.array_join(spans, ",").alias("mask"))
+
+
+def by_segment(messages: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """(conv_id, segment, participant, n_messages, n_trained, rendered, mask): segments whole, mask as text."""
+    whole, cut = segments(messages, size)
+    rows = render(whole).withColumn("mask", _spans(F.lit(0))).drop("part")
+    return rows if cut is None else rows.unionByName(_joined(render(cut)))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rotate(table(spark, sf_dir, "conversations"))
-    listed = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
-    return rows.select("conv_id", "segment", "participant", "n_messages", "n_trained", "rendered", listed.alias("mask"))
+    return by_segment(table(spark, sf_dir, "conversations"))
 
 
-#: Segments with more than twice SEGMENT messages, which Spark's own hash would cut, do not occur in the tables.
 SQL = f"""
 WITH m AS (
   SELECT DISTINCT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS role, coalesce(text, '') AS text,

@@ -133,6 +133,21 @@ def test_chat_cuts_long_conversations(spark):
     assert chat.rotate(rows.limit(0)).count() == 0
 
 
+def test_chat_joins_crowded_segments_as_the_sql_does(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    roles = ["system", "ann", "bob", "eve"]
+    rows = [(1, None if i % 3 else i % 7, roles[i % 3], f"m{i * 7919 % 1409}") for i in range(1400)] + [(1, 5, "eve", "once"), (1, 300, "ann", "later"), (2, 0, "bob", "hi"), (2, 1, "ann", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    columns, want = duck_rows(con, chat.SQL)
+    got = chat.op8_chat(spark, str(tmp_path))
+    assert sorted(got.columns) == columns and spark_rows(got) == want
+    parts = chat.rotate(spark.read.parquet(str(tmp_path / "conversations.parquet"))).filter("conv_id = 1 AND segment = 0 AND participant = 'eve'").orderBy("part").collect()
+    assert [p.part for p in parts] == list(range(len(parts))) and len(parts) > 2 and max(p.n_messages for p in parts) <= chat.SEGMENT
+    assert "".join(p.rendered for p in parts) == got.filter("segment = 0 AND participant = 'eve'").first().rendered
+
+
 def test_sha_is_of_the_normalised_text(spark):
     row = exact_dedup.exact_dedup(_docs(spark, (1, "é \t b"))).first()
     assert bytes(row.digest).hex() == hashlib.sha256("é b".encode()).hexdigest()
