@@ -276,9 +276,16 @@ x AS (SELECT path, id, unnest(range(a, b + 1))::INTEGER AS line FROM l)
 SELECT path, line, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM x GROUP BY 1, 2"""
 
 
+def _page_files(spark, d):
+    return t(spark, d, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("url", r"^[^?#]*", 0).alias("path"), F.col("html").alias("text"))
+
+
 def g33_source_view(spark, d):
-    p = t(spark, d, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("url", r"^[^?#]*", 0).alias("path"), F.col("html").alias("text"))
-    return catalog.source_view(p, {"html": "html", "py": "python", "sql": "sql"}, 2000)
+    return catalog.source_view(_page_files(spark, d), {"html": "html", "py": "python", "sql": "sql"}, 2000)
+
+
+def g33_source_view_full(spark, d):
+    return catalog.source_view(_page_files(spark, d), {"html": "html", "py": "python", "sql": "sql"})
 
 
 _VIEW = r"""
@@ -367,6 +374,7 @@ QUERIES = {
     "g31_fanout_cap": (g31_fanout_cap, _FAN),
     "g32_line_index": (g32_line_index, _LINES),
     "g33_source_view": (g33_source_view, _VIEW),
+    "g33_source_view_full": (g33_source_view_full, _VIEW.replace("2000", str(2 * 1024 * 1024))),
     "g34_plain_values": (g34_plain_values, "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"),
     "g_flow_modes": (g_flow_modes, _FLOW),
     "c10_anchor": (c10_anchor, _ANCHOR),

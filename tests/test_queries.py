@@ -22,6 +22,16 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert got == want
 
 
+def test_source_view_cuts_at_two_mebi_characters_only(spark, tmp_path):
+    cap = 2 * 1024 * 1024
+    rows = [(1, "http://a/x.html?q", "y" * 5000 + "\nend"), (2, "http://a/y.sql", "z" * cap), (3, "http://a/z", "z" * cap + "\nlost"), (4, "http://a/n.py", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.id: r for r in QUERIES["g33_source_view_full"](spark, str(tmp_path)).collect()}
+    assert {k: r.truncated for k, r in got.items()} == {1: False, 2: False, 3: True, 4: False}
+    assert got[1].text == rows[0][2] and got[2].text == rows[1][2] and got[3].text == "z" * cap and got[4].text == ""
+    assert [got[k].language for k in (1, 2, 3, 4)] == ["html", "sql", "text", "python"] and got[3].n_lines == 2
+
+
 def test_entry_runs(spark, sf_dir):
     import __spark_entry__ as entry
 
