@@ -1,7 +1,8 @@
 """Exact dedup: a persistent digest index, bucketed and sorted by hash, with sort-merge anti-join and append.
 
 The index is a saved table with one row per distinct normalised text: its SHA-256 digest, the id that stays
-and how many rows have carried it. It is bucketed and sorted by digest, so joining a new batch to it shuffles
+and how many rows of its first batch have carried it; rows of later batches are counted in a second table beside it,
+so that no row of the index is rewritten. It is bucketed and sorted by digest, so joining a new batch to it shuffles
 the batch's digests (40 bytes a row), never the index and never a text.
 
 Defined results for the unusual:
@@ -54,6 +55,21 @@ class DigestIndex:
         writer = groups.select("digest", "keep_id", "n").write.format("parquet").mode("append")
         writer.option("compression", "zstd").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
+    def count_again(self, groups: DataFrame) -> None:
+        """Add the counts of the groups whose digest the index holds already."""
+        held = self.read().select(F.col("digest").alias("held")).hint("merge")
+        again = groups.join(held, groups["digest"] == held["held"], "left_semi").select("digest", "n")
+        writer = again.write.format("parquet").mode("append").option("compression", "zstd")
+        writer.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(f"{self.name}_again")
+
+    def shared(self) -> DataFrame:
+        """(digest, keep_id, n) of the digests that more than one row carries, over all batches."""
+        if not self.spark.catalog.tableExists(f"{self.name}_again"):
+            return self.read().filter("n > 1")
+        again = self.spark.table(f"{self.name}_again").groupBy("digest").agg(F.sum("n").alias("more"))
+        both = self.read().join(again.hint("merge"), "digest", "left")
+        return both.select("digest", "keep_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")).filter("n > 1")
+
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The groups whose digest the index lacks: a sort-merge anti-join; the index side is not shuffled."""
         # The planner would move a plain anti-join below the aggregation, where a hot digest still has all its
@@ -63,6 +79,7 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_again")
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
@@ -71,18 +88,22 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 
 def add_batch(index: DigestIndex, rows: DataFrame) -> None:
-    """Deduplicate a batch of (id, digest) rows against the index and append the digests that are new."""
-    index.append(index.unseen(groups_of(rows)))
+    """Deduplicate a batch of (id, digest) rows against the index: append the digests that are new, count the others."""
+    groups = groups_of(rows)
+    if index.read().limit(1).count():
+        groups = written(groups, "groups")
+        index.count_again(groups)
+    index.append(index.unseen(groups))
 
 
 def resolve(rows: DataFrame, index: DigestIndex) -> DataFrame:
-    """(id, keep_id, group_size, kept, digest) per row, from the index.
+    """(id, keep_id, group_size, kept, digest) per row of a batch that the index has taken.
 
     Only digests that more than one row carries are joined back. Both sides are plain shuffles, so that
     adaptive execution may split the partition of a hot digest.
     """
     # substring() hides the buckets from the planner: without it the rows would have to follow them, hot ones too.
-    shared = index.read().filter("n > 1").select(F.substring("digest", 1, 32).alias("digest"), "keep_id", "n")
+    shared = index.shared().select(F.substring("digest", 1, 32).alias("digest"), "keep_id", "n")
     joined = rows.join(shared.hint("merge"), "digest", "left")
     alone = F.col("n").isNull()
     return joined.select(

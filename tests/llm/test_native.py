@@ -58,6 +58,21 @@ def test_index_takes_batches(spark):
     index.drop()
 
 
+def test_a_second_batch_finds_the_rows_of_the_first(spark):
+    index = exact_dedup.DigestIndex(spark, "digest_index_batches", 4)
+    index.drop()
+    index.create()
+    batches = [exact_dedup.digests(_docs(spark, *rows)) for rows in ([(1, "a"), (2, "b"), (7, "d"), (8, "d")], [(3, "a"), (4, "c"), (5, "c"), (6, "e"), (0, "d")], [(9, "a")])]
+    found = []
+    for rows in batches:
+        exact_dedup.add_batch(index, rows)
+        found.append(_found(exact_dedup.resolve(rows, index)))
+    assert found[0] == {(1, 1, 1, True), (2, 2, 1, True), (7, 7, 2, True), (8, 7, 2, False)}
+    assert found[1] == {(3, 1, 2, False), (4, 4, 2, True), (5, 4, 2, False), (6, 6, 1, True), (0, 7, 3, False)}
+    assert found[2] == {(9, 1, 3, False)}
+    index.drop()
+
+
 def test_poisson_quantiles(spark):
     rates = [0.0, 0.3, 1.0, 7.5, 40.0]
     cdf = spark.createDataFrame([(r,) for r in rates], "rate double").select("rate", mixing.poisson_cdf(F.col("rate")).alias("cdf"))
