@@ -1,20 +1,20 @@
 """Chat formatting by perspective rotation: each participant in turn is the assistant.
 
-A conversation is rendered once per participant: that speaker's messages as the assistant's, those of others as
-named users', system messages as they are. The mask lists the character ranges of the text to train on, which
-is what the rotated speaker wrote, with the end mark.
+A conversation is rendered once per participant, whole: that speaker's messages as the assistant's, those of others
+as named users', system messages as they are. The mask lists the character ranges of the rendering to train on,
+which is what the rotated speaker wrote, with the end mark.
 
-Conversations are cut into segments of SEGMENT turn numbers, each rendered on its own and for the participants
-who speak in it. Where turn numbers do not tell messages apart (a segment with more than twice SEGMENT messages),
-rotate() cuts the segment further, in the order of its messages, into parts of SEGMENT messages, and renders each part
-for every speaker of the segment; the query joins a segment's parts into one row again. Ranks are counted in ranges
-of the order, so that no task sorts a whole segment.
+A rendering is handed out in blocks of BLOCK messages, in the order of the dialogue, so that no row grows without
+bound. Every participant has every block, those in which they are silent too; a participant's blocks, one behind
+another, are the whole rendering, and `start` and the mask count characters from its beginning. Nearly all
+conversations are one block. Of longer ones messages are ranked in ranges of the order and the blocks' starts are
+prefix sums over lengths, so that no task holds a whole conversation.
 
 Defined results for the unusual: rows that repeat a turn's number, role and text are one message; messages of
-one turn number are ordered by role, then text; a null turn comes first, in segment 0; a null or empty role is
-the participant `unknown`; a null text is empty; rows with a null conv_id belong to no conversation and are left
-out; a segment in which only the system speaks gives no row; an empty table gives an empty result; other
-columns are ignored.
+one turn number are ordered by role, then text; a null turn comes first; a null or empty role is the participant
+`unknown`; a null text is empty; rows with a null conv_id belong to no conversation and are left out; a
+conversation in which only the system speaks gives no row; texts of any length are rendered whole; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,72 +24,90 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_parts, table, written
 
-SEGMENT = 256
+#: Messages of one row.
+BLOCK = 256
 SYSTEM = "system"
 START, END = "<|im_start|>", "<|im_end|>"
+ASSISTANT, USER = "assistant", "user name="
+_ORDER = ("turn", "role", "text")
 
 
 def _header(role: Column, speaker: Column) -> Column:
-    named = F.when(role == SYSTEM, F.lit(SYSTEM)).when(role == speaker, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), role))
+    named = F.when(role == SYSTEM, F.lit(SYSTEM)).when(role == speaker, F.lit(ASSISTANT)).otherwise(F.concat(F.lit(USER), role))
     return F.concat(F.lit(START), named, F.lit("\n"))
 
 
-def _distinct(messages: DataFrame, size: int) -> DataFrame:
-    m = messages.filter("conv_id IS NOT NULL").select(
+def _distinct(messages: DataFrame) -> DataFrame:
+    return messages.filter("conv_id IS NOT NULL").select(
         "conv_id",
         "turn",
         F.when(F.coalesce("role", F.lit("")) == "", F.lit("unknown")).otherwise(F.col("role")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    )
-    return m.distinct().withColumn("segment", F.coalesce(F.floor(F.col("turn") / size), F.lit(0)).cast("long"))
+    ).distinct()
 
 
 def _listed(m: DataFrame) -> DataFrame:
-    return m.groupBy("conv_id", "segment", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    return m.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct(*_ORDER))).alias("messages"))
 
 
 def _ranked(m: DataFrame, size: int) -> DataFrame:
-    """m with column part: a message's rank in its segment by turn, role and text, divided by size."""
-    order = ["turn", "role", "text"]
-    dealt = m.repartitionByRange(shuffle_parts(m.sparkSession), "conv_id", "segment", *order).withColumn("range", F.spark_partition_id())
+    """m with column block: a message's rank in its conversation by turn, role and text, divided by size."""
+    dealt = m.repartitionByRange(shuffle_parts(m.sparkSession), "conv_id", *_ORDER).withColumn("range", F.spark_partition_id())
     dealt = written(dealt, "ranges")
-    held = dealt.groupBy("conv_id", "segment", "range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("conv_id", "segment").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select("conv_id", "segment", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("conv_id", "segment", "range").orderBy(*order))
-    ranked = dealt.withColumn("rank", rank).join(held, ["conv_id", "segment", "range"])
-    return ranked.withColumn("part", F.floor((F.col("ahead") + F.col("rank") - 1) / size).cast("long")).drop("range", "rank", "ahead")
+    held = dealt.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("conv_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    rank = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*_ORDER))
+    ranked = dealt.withColumn("rank", rank).join(held, ["conv_id", "range"])
+    return ranked.withColumn("block", F.floor((F.col("ahead") + F.col("rank") - 1) / size).cast("long")).drop("range", "rank", "ahead")
 
 
-def segments(messages: DataFrame, size: int = SEGMENT) -> tuple[DataFrame, DataFrame | None]:
-    """(conv_id, segment, part, messages, participant) of the segments that are whole, and of the parts of crowded ones.
+def _starts(blocked: DataFrame) -> DataFrame:
+    """(conv_id, block, participant, start) of every block and every participant of its conversation.
 
-    messages is an ordered array<struct<turn, role, text>> of bounded length; None where no segment is crowded.
+    Only lengths are summed: those of a block as all others read it, and what the headers of a participant's own
+    messages differ by.
     """
-    m = _distinct(messages, size)
-    crowded = m.groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * size)
-    crowded = written(crowded.select("conv_id", "segment"), "crowded")
+    spoken = blocked.groupBy("conv_id", "block", "role").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.length("text") + (len(START) + len(END) + 2)).cast("long")).alias("size")
+    )
+    spoken = written(spoken, "lengths")
+    name = F.when(F.col("role") == SYSTEM, F.lit(len(SYSTEM))).otherwise(F.length("role") + len(USER))
+    whole = spoken.groupBy("conv_id", "block").agg(F.sum(F.col("size") + F.col("n") * name).alias("size"))
+    own = spoken.filter(F.col("role") != SYSTEM).select("conv_id", "block", F.col("role").alias("participant"), (F.col("n") * (len(ASSISTANT) - len(USER) - F.length("role"))).alias("more"))
+    each = whole.join(own.select("conv_id", "participant").distinct(), "conv_id").join(own, ["conv_id", "block", "participant"], "left")
+    before = Window.partitionBy("conv_id", "participant").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.sum(F.col("size") + F.coalesce("more", F.lit(0))).over(before)
+    return each.select("conv_id", "block", "participant", F.coalesce(ahead, F.lit(0)).cast("long").alias("start"))
+
+
+def blocks(messages: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(conv_id, block, participant, start, messages): messages is an ordered array<struct<turn, role, text>> of at most size."""
+    m = written(_distinct(messages), "messages")
+    long = m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size).select("conv_id")
+    long = written(long, "long")
     speakers = F.array_distinct(F.filter(F.transform("messages", lambda x: x["role"]), lambda r: r != SYSTEM))
-    whole = lambda m: _listed(m.withColumn("part", F.lit(0).cast("long"))).withColumn("participant", F.explode(speakers))
-    if not crowded.limit(1).count():
-        return whole(m), None
-    cut = m.join(crowded, ["conv_id", "segment"], "left_semi")
-    who = cut.filter(F.col("role") != SYSTEM).select("conv_id", "segment", F.col("role").alias("participant")).distinct()
-    return whole(m.join(crowded, ["conv_id", "segment"], "left_anti")), _listed(_ranked(cut, size)).join(who, ["conv_id", "segment"])
+    zero = F.lit(0).cast("long")
+    short = _listed(m.join(long.hint("merge"), "conv_id", "left_anti").withColumn("block", zero))
+    short = short.select("conv_id", "block", F.explode(speakers).alias("participant"), zero.alias("start"), "messages")
+    if not long.limit(1).count():
+        return short
+    blocked = written(_ranked(m.join(long.hint("merge"), "conv_id", "left_semi"), size), "blocks")
+    return short.unionByName(_listed(blocked).join(_starts(blocked).hint("merge"), ["conv_id", "block"]))
 
 
-def render(rows: DataFrame) -> DataFrame:
-    """(conv_id, segment, part, participant, n_messages, n_trained, rendered, mask) per row of segments().
+def rotate(messages: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(conv_id, participant, block, start, n_messages, n_trained, rendered, mask): every block for every participant.
 
-    mask: array<struct<start, end>>, character ranges of rendered.
+    mask: array<struct<start, end>>, character ranges of the whole rendering, as start is.
     """
     who = F.col("participant")
     pieces = F.transform(
         "messages",
         lambda x: F.struct(_header(x["role"], who).alias("head"), F.concat(x["text"], F.lit(END)).alias("body"), (x["role"] == who).alias("own")),
     )
-    rows = rows.withColumn("pieces", pieces)
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("mask"))
+    rows = blocks(messages, size).withColumn("pieces", pieces)
+    empty = F.struct(F.col("start").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("mask"))
 
     def step(s: Column, p: Column) -> Column:
         begin = s["at"] + F.length(p["head"])
@@ -99,9 +117,9 @@ def render(rows: DataFrame) -> DataFrame:
 
     return rows.select(
         "conv_id",
-        "segment",
-        "part",
         "participant",
+        "block",
+        "start",
         F.size("messages").alias("n_messages"),
         F.size(F.filter("pieces", lambda p: p["own"])).alias("n_trained"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("rendered"),
@@ -109,56 +127,30 @@ def render(rows: DataFrame) -> DataFrame:
     )
 
 
-def rotate(messages: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """The rendering of every part of every segment, a row per speaker of the segment."""
-    whole, cut = segments(messages, size)
-    return render(whole) if cut is None else render(whole).unionByName(render(cut))
-
-
-def _spans(ahead: Column) -> Column:
-    """The ranges of mask as text, `ahead` characters on."""
-    return F.array_join(F.transform("mask", lambda m: F.concat_ws("-", (m["start"] + ahead).cast("string"), (m["end"] + ahead).cast("string"))), ",")
-
-
-def _joined(parts: DataFrame) -> DataFrame:
-    """One row of the rendered parts of each segment and participant, mask as text."""
-    key = ["conv_id", "segment", "participant"]
-    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("ahead", F.coalesce(F.sum(F.length("rendered").cast("long")).over(before), F.lit(0)))
-    one = F.struct("part", "rendered", _spans(F.col("ahead")).alias("spans"))
-    rows = parts.groupBy(*key).agg(F.sum("n_messages").cast("int").alias("n_messages"), F.sum("n_trained").cast("int").alias("n_trained"), F.sort_array(F.collect_list(one)).alias("parts"))
-    spans = F.filter(F.transform("parts", lambda p: p["spans"]), lambda x: x != "")
-    return rows.select(*key, "n_messages", "n_trained", F.array_join(F.transform("parts", lambda p: p["rendered"]), "").alias("rendered"), F.array_join(spans, ",").alias("mask"))
-
-
-def by_segment(messages: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """(conv_id, segment, participant, n_messages, n_trained, rendered, mask): segments whole, mask as text."""
-    whole, cut = segments(messages, size)
-    rows = render(whole).withColumn("mask", _spans(F.lit(0))).drop("part")
-    return rows if cut is None else rows.unionByName(_joined(render(cut)))
-
-
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_segment(table(spark, sf_dir, "conversations"))
+    """Every conversation, whole, for each of its participants; the mask as text."""
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    return rotate(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(spans, ","))
 
 
 SQL = f"""
 WITH m AS (
-  SELECT DISTINCT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS role, coalesce(text, '') AS text,
-         coalesce(floor(turn / {SEGMENT}.0), 0)::BIGINT AS segment
+  SELECT DISTINCT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
-), p AS (SELECT DISTINCT conv_id, segment, role AS participant FROM m WHERE role <> '{SYSTEM}'),
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1) // {BLOCK} AS block FROM m
+), p AS (SELECT DISTINCT conv_id, role AS participant FROM m WHERE role <> '{SYSTEM}'),
 x AS (
-  SELECT m.*, p.participant, m.role = p.participant AS own,
-         '{START}' || CASE WHEN m.role = '{SYSTEM}' THEN '{SYSTEM}' WHEN m.role = p.participant THEN 'assistant' ELSE 'user name=' || m.role END || chr(10) AS head,
-         m.text || '{END}' AS body
-  FROM m JOIN p USING (conv_id, segment)
+  SELECT r.*, p.participant, r.role = p.participant AS own,
+         '{START}' || CASE WHEN r.role = '{SYSTEM}' THEN '{SYSTEM}' WHEN r.role = p.participant THEN '{ASSISTANT}' ELSE '{USER}' || r.role END || chr(10) AS head,
+         r.text || '{END}' AS body
+  FROM r JOIN p USING (conv_id)
 ), o AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER w, 0)::BIGINT AS pos
-  FROM x WINDOW w AS (PARTITION BY conv_id, segment, participant ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  FROM x WINDOW w AS (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 )
-SELECT conv_id, segment, participant, count(*)::INTEGER AS n_messages, (count(*) FILTER (WHERE own))::INTEGER AS n_trained,
+SELECT conv_id, participant, block::BIGINT AS block, min(pos) AS start, count(*)::INTEGER AS n_messages, (count(*) FILTER (WHERE own))::INTEGER AS n_trained,
        string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-       string_agg(CASE WHEN own THEN (pos + length(head)) || '-' || (pos + length(head) + length(body)) END, ',' ORDER BY turn NULLS FIRST, role, text) AS mask
+       coalesce(string_agg(CASE WHEN own THEN (pos + length(head)) || '-' || (pos + length(head) + length(body)) END, ',' ORDER BY turn NULLS FIRST, role, text), '') AS mask
 FROM o GROUP BY 1, 2, 3
 """

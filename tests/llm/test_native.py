@@ -139,28 +139,53 @@ def test_chat_masks_cover_the_speaker(spark):
     assert "user name=ann" in out["bob"].rendered
 
 
-def test_chat_cuts_long_conversations(spark):
-    rows = spark.range(3000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.lit("x").alias("text"))
-    out = chat.rotate(rows, 100)
-    assert out.agg(F.max("n_messages"), F.sum("n_trained")).first() == (100, 3000)
-    tied = chat.rotate(rows.withColumn("turn", F.lit(None).cast("long")).withColumn("text", F.sha2(F.rand(3).cast("string"), 256)), 100)
-    assert tied.agg(F.max("n_messages")).first()[0] <= 200
-    assert chat.rotate(rows.limit(0)).count() == 0
-
-
-def test_chat_joins_crowded_segments_as_the_sql_does(spark, tmp_path):
-    duckdb = pytest.importorskip("duckdb")
-    roles = ["system", "ann", "bob", "eve"]
-    rows = [(1, None if i % 3 else i % 7, roles[i % 3], f"m{i * 7919 % 1409}") for i in range(1400)] + [(1, 5, "eve", "once"), (1, 300, "ann", "later"), (2, 0, "bob", "hi"), (2, 1, "ann", None)]
+def _dialogue(spark, tmp_path, rows):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    con = duckdb.connect()
+    con = pytest.importorskip("duckdb").connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    return con
+
+
+def _brute_rendering(messages, who):
+    """Text and trained pieces of a whole dialogue, straight from its messages."""
+    text, trained = "", []
+    for _, role, body in messages:
+        name = "system" if role == "system" else "assistant" if role == who else f"user name={role}"
+        text += f"<|im_start|>{name}\n"
+        if role == who:
+            trained.append((len(text), len(text) + len(body) + 10))
+        text += f"{body}<|im_end|>\n"
+    return text, trained
+
+
+def test_chat_renders_a_thousand_turns_whole_for_every_participant(spark):
+    # a speaks at first only, b later only, and the system once, at the start.
+    rows = [(1, 0, "system", "be kind")] + [(1, t, "a" if t < 400 else "b", f"t{t}é" * (t % 5)) for t in range(1, 1000)]
+    out = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("block").collect()
+    for who in ("a", "b"):
+        own = [r for r in out if r.participant == who]
+        text, trained = _brute_rendering([r[1:] for r in rows], who)
+        assert [r.block for r in own] == [0, 1, 2, 3] and [r.n_messages for r in own] == [256, 256, 256, 232]
+        assert "".join(r.rendered for r in own) == text
+        assert [(m.start, m.end) for r in own for m in r.mask] == trained
+        assert [text[r.start : r.start + len(r.rendered)] for r in own] == [r.rendered for r in own]
+
+
+def test_chat_of_ties_and_long_conversations_equals_the_sql(spark, tmp_path):
+    roles = ["system", "ann", "bob", "eve"]
+    rows = [(1, None if i % 3 else i % 7, roles[i % 3], f"m{i * 7919 % 1409}") for i in range(1400)] + [(1, 5, "eve", "once"), (1, 300, "ann", "later"), (2, 0, "bob", "hi"), (2, 1, "ann", None), (3, 0, "ann", "long " * 200_000), (3, 1, "bob", "short")]
+    con = _dialogue(spark, tmp_path, rows)
     columns, want = duck_rows(con, chat.SQL)
     got = chat.op8_chat(spark, str(tmp_path))
     assert sorted(got.columns) == columns and spark_rows(got) == want
-    parts = chat.rotate(spark.read.parquet(str(tmp_path / "conversations.parquet"))).filter("conv_id = 1 AND segment = 0 AND participant = 'eve'").orderBy("part").collect()
-    assert [p.part for p in parts] == list(range(len(parts))) and len(parts) > 2 and max(p.n_messages for p in parts) <= chat.SEGMENT
-    assert "".join(p.rendered for p in parts) == got.filter("segment = 0 AND participant = 'eve'").first().rendered
+    assert got.filter("conv_id = 1 AND participant = 'eve'").agg(F.max("block"), F.sum("n_messages")).first() == (5, len({r[1:] for r in rows if r[0] == 1}))
+
+
+def test_chat_does_not_depend_on_partitions_and_takes_nothing(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.concat(F.lit("r"), F.col("id") % 3).alias("role"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    assert spark_rows(chat.rotate(rows.repartition(1), 100)) == spark_rows(chat.rotate(rows.repartition(7), 100))
+    assert chat.rotate(rows, 100).agg(F.max("n_messages"), F.sum("n_trained")).first() == (100, 3000)
+    assert chat.rotate(rows.limit(0)).count() == 0
 
 
 def test_sha_is_of_the_normalised_text(spark):
