@@ -11,11 +11,12 @@ lost executors give the same copies.
 Defined results for the unusual:
 
 * a null source is a source of its own, named by `null_name` in the weights;
-* a source that the weights lack gets `other_weight`; a source without any size, or with weight 0, gets rate 0;
+* a source that the weights lack gets `other_weight`, which the caller has to choose; a source without any size, or
+  with weight 0, gets rate 0, and left_out() lists such sources with what they hold;
 * a null text has size 0 and may still be replicated; a null id hashes as the empty string;
 * rows that repeat an id get equal counts, and each is replicated;
-* an empty table gives an empty result; other columns are carried along, whatever their names, except that
-  columns named as the added ones are replaced.
+* texts of any length are carried whole; an empty table gives an empty result; other columns are carried along,
+  whatever their names, except that columns named as the added ones are replaced.
 
 Sources are joined by broadcast only up to `broadcast_sources` of them (counted first); beyond that by a
 shuffle join whose small side is salted, so that a source that holds a third of all rows is spread.
@@ -73,40 +74,58 @@ def source_rates(docs: DataFrame, weights: dict[str, float], budget: float | Non
     return rated.withColumn("pieces", _pieces(F.col("rate"))).withColumn("cdf", poisson_cdf(F.col("rate") / F.col("pieces")))
 
 
+def left_out(docs: DataFrame, weights: dict[str, float], *, other_weight: float, source_col: str = "source", size: Column | None = None, null_name: str = "") -> DataFrame:
+    """(source, documents, size) of the sources that mix_sources() gives rate 0: what a mix with these weights loses."""
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long") if size is None else size
+    rates = source_rates(docs, weights, None, source_col, size, other_weight, null_name).filter("rate = 0").select("source", "size")
+    held = docs.groupBy(F.coalesce(F.col(source_col), F.lit(null_name)).alias("source")).agg(F.count(F.lit(1)).alias("documents"))
+    return held.join(rates, "source").select("source", "documents", "size")
+
+
+#: Columns that a mix adds.
+ADDED = ("replica", "mix_rate", "shuffle_key")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float],
     seed: int = 0,
     budget: float | None = None,
+    *,
+    other_weight: float,
     id_col: str = "doc_id",
     source_col: str = "source",
     size: Column | None = None,
-    other_weight: float = 0.0,
     null_name: str = "",
     broadcast_sources: int = BROADCAST_SOURCES,
 ) -> DataFrame:
     """docs with columns replica (from 0), mix_rate, shuffle_key; one row per copy, dealt out in a global random order."""
     spark = docs.sparkSession
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long") if size is None else size
-    rates = source_rates(docs, weights, budget, source_col, size, other_weight, null_name).select(F.col("source").alias("__source"), F.col("rate").alias("mix_rate"), F.col("pieces").alias("__pieces"), F.col("cdf").alias("__cdf"))
-    rows = docs.drop("replica", "mix_rate", "shuffle_key").withColumn("__source", F.coalesce(F.col(source_col), F.lit(null_name)))
+    rates = source_rates(docs, weights, budget, source_col, size, other_weight, null_name).select("source", F.col("rate").alias("mix_rate"), "pieces", "cdf")
+    carried = [c for c in docs.columns if c not in ADDED]
+    # The caller's columns travel as doc_0, doc_1, ..., so that none clashes with those of the mix.
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"doc_{k}") for k, c in enumerate(carried)])
+    own = {c: f"doc_{k}" for k, c in enumerate(carried)}
+    ids = F.col(own[id_col])
+    rows = rows.withColumn("source", F.coalesce(F.col(own[source_col]), F.lit(null_name)))
     few = rates.limit(broadcast_sources + 1).count() <= broadcast_sources
     if few:
-        rows = rows.join(F.broadcast(rates), "__source")
+        rows = rows.join(F.broadcast(rates), "source")
     else:
-        salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")
-        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__salt", salt).join(salted.hint("merge"), ["__source", "__salt"]).drop("__salt")
-    below = lambda piece: F.size(F.filter("__cdf", lambda c: c <= unit_hash(F.lit(seed), F.col(id_col), piece)))
+        salt = F.pmod(F.xxhash64(ids), F.lit(SALTS)).cast("int")
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", salt).join(salted.hint("merge"), ["source", "salt"])
+    below = lambda piece: F.size(F.filter("cdf", lambda c: c <= unit_hash(F.lit(seed), ids, piece)))
     # One uniform number per piece of the rate; nearly always there is one piece.
-    count = F.when(F.col("__pieces") == 1, F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.col("__pieces")), F.lit(0), lambda n, k: n + below(k))
+    count = F.when(F.col("pieces") == 1, F.size(F.filter("cdf", lambda c: c <= F.col("unit")))).otherwise(
+        F.aggregate(F.sequence(F.lit(1), F.col("pieces")), F.lit(0), lambda n, k: n + below(k))
     )
-    rows = rows.withColumn("__u", unit_hash(F.lit(seed), F.col(id_col), F.lit(1))).withColumn("__count", count)
-    rows = rows.filter("__count > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
-    rows = rows.drop("__source", "__pieces", "__cdf", "__u", "__count")
-    rows = rows.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("replica")))
-    return rows.repartition(shuffle_parts(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
+    rows = rows.withColumn("unit", unit_hash(F.lit(seed), ids, F.lit(1))).withColumn("copies", count)
+    rows = rows.filter("copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    rows = rows.withColumn("shuffle_key", F.xxhash64(F.lit(seed), ids, F.col("replica"))).select(*own.values(), *ADDED)
+    rows = rows.repartition(shuffle_parts(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
+    return rows.select(*[F.col(own[c]).alias(c) for c in carried], *ADDED)
 
 
 #: Production weights: source number i of the corpus is wanted in proportion to 1 + i mod 5.
@@ -115,10 +134,12 @@ def production_weights(n_sources: int = 20) -> dict[str, float]:
 
 
 SEED = 17
+#: Production weight of every source that is not in the list, of a null one too, so that no document's source is lost.
+OTHER_WEIGHT = 1.0
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"), production_weights(), SEED)
+    mixed = mix_sources(table(spark, sf_dir, "documents"), production_weights(), SEED, other_weight=OTHER_WEIGHT)
     return mixed.select("doc_id", "source", "replica", F.round("mix_rate", 9).alias("mix_rate"), "n_chars", "text")
 
 
@@ -128,7 +149,7 @@ def _sql() -> str:
     return f"""
 WITH RECURSIVE w(source, weight) AS (VALUES {values}),
 s AS (SELECT coalesce(source, '') AS source, sum(coalesce(length(text), 0)) AS size FROM documents GROUP BY 1),
-t AS (SELECT s.source, s.size, CASE WHEN s.size > 0 THEN coalesce(w.weight, 0) ELSE 0 END::DOUBLE AS weight FROM s LEFT JOIN w USING (source)),
+t AS (SELECT s.source, s.size, CASE WHEN s.size > 0 THEN coalesce(w.weight, {OTHER_WEIGHT}) ELSE 0 END::DOUBLE AS weight FROM s LEFT JOIN w USING (source)),
 r AS (SELECT source, CASE WHEN weight > 0 THEN weight / (SELECT sum(weight) FROM t) * (SELECT sum(size) FROM t)::DOUBLE / size ELSE 0 END::DOUBLE AS rate FROM t),
 c(source, rate, k, p, cdf) AS (
   SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r

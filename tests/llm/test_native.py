@@ -83,21 +83,47 @@ def test_poisson_quantiles(spark):
 @pytest.mark.parametrize("limit", [10, 0])
 def test_mixing_meets_weights_and_does_not_depend_on_the_join(spark, limit):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 3 == 1, "y").alias("source"))
-    mixed = mixing.mix_sources(docs, {"x": 3.0, "y": 1.0}, seed=5, broadcast_sources=limit)
+    mixed = mixing.mix_sources(docs, {"x": 3.0, "y": 1.0}, seed=5, other_weight=0.0, broadcast_sources=limit)
     counts = {r.source: r["count"] for r in mixed.groupBy("source").count().collect()}
     assert set(counts) == {"x", "y"}
     assert counts["x"] == pytest.approx(4500, rel=0.06) and counts["y"] == pytest.approx(1500, rel=0.08)
     assert mixed.groupBy("doc_id", "replica").count().filter("count > 1").count() == 0
-    other = mixing.mix_sources(docs.repartition(7), {"x": 3.0, "y": 1.0}, seed=5)
+    other = mixing.mix_sources(docs.repartition(7), {"x": 3.0, "y": 1.0}, seed=5, other_weight=0.0)
     assert sorted(map(tuple, mixed.select("doc_id", "replica").collect())) == sorted(map(tuple, other.select("doc_id", "replica").collect()))
 
 
 def test_mixing_large_rates_nulls_and_nothing(spark):
     docs = spark.createDataFrame([(1, "ab", "rare"), (None, None, None), (3, "a" * 3000, "big")], "doc_id long, text string, source string")
-    mixed = mixing.mix_sources(docs, {"rare": 1.0}, seed=1).groupBy("source").count().collect()
+    mixed = mixing.mix_sources(docs, {"rare": 1.0}, seed=1, other_weight=0.0).groupBy("source").count().collect()
     assert [r.source for r in mixed] == ["rare"] and mixed[0]["count"] == pytest.approx(1501, rel=0.15)
-    assert mixing.mix_sources(docs.limit(0), {"rare": 1.0}).count() == 0
-    assert set(mixing.mix_sources(docs, {}, null_name="none", other_weight=1.0).columns) == {*docs.columns, "mix_rate", "replica", "shuffle_key"}
+    assert mixing.mix_sources(docs.limit(0), {"rare": 1.0}, other_weight=0.0).count() == 0
+    assert set(mixing.mix_sources(docs, {}, other_weight=1.0, null_name="none").columns) == {*docs.columns, "mix_rate", "replica", "shuffle_key"}
+
+
+def test_mixing_carries_clashing_names_and_repeated_rows(spark):
+    clash = ["source_", "salt", "cdf", "pieces", "unit", "copies", "doc_0", "__u", "__source", "a.b"]
+    docs = spark.createDataFrame([(i // 2, "abc", None if i % 3 == 0 else "x") for i in range(40)], "doc_id long, text string, source string")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in clash if "." not in c}).withColumn("a.b", F.lit(1)).withColumn("replica", F.lit("gone"))
+    for limit in (10, 0):
+        mixed = mixing.mix_sources(docs, {"x": 1.0}, seed=3, budget=1200.0, other_weight=1.0, broadcast_sources=limit)
+        assert mixed.columns == [*[c for c in docs.columns if c != "replica"], "replica", "mix_rate", "shuffle_key"]
+        rows = mixed.collect()
+        assert all(r["__u"] == f"__u{r.doc_id}" and r["pieces"] == f"pieces{r.doc_id}" for r in rows)
+        # Rows that repeat an id get one count each, and each is replicated.
+        per_id = {}
+        for r in rows:
+            per_id.setdefault((r.doc_id, r.source), []).append(r.replica)
+        assert all(sorted(v) == sorted([*range(max(v) + 1)] * (len(v) // (max(v) + 1))) for v in per_id.values())
+
+
+def test_mixing_says_what_it_leaves_out(spark):
+    docs = spark.createDataFrame([(1, "ab", "x"), (2, "abc", None), (3, None, "z"), (4, "a", "elsewhere"), (5, "aa", "elsewhere")], "doc_id long, text string, source string")
+    lost = {(r.source, r.documents, r.size) for r in mixing.left_out(docs, {"x": 1.0}, other_weight=0.0).collect()}
+    assert lost == {("", 1, 3), ("z", 1, 0), ("elsewhere", 2, 3)}
+    assert {r.source for r in mixing.left_out(docs, {"x": 1.0}, other_weight=1.0).collect()} == {"z"}
+    assert {r.source for r in mixing.mix_sources(docs, {"x": 1.0}, budget=1000.0, other_weight=1.0).select("source").distinct().collect()} == {"x", None, "elsewhere"}
+    with pytest.raises(TypeError):
+        mixing.mix_sources(docs, {"x": 1.0})
 
 
 def _judged(spark, urls, rules, **more):
@@ -120,6 +146,18 @@ def test_url_rules_longest_wins(spark, limit):
     assert got[8] == ("a.b.com:80", "/x", None, "allow")
 
 
+def test_url_of_great_length(spark):
+    deep = "http://" + "s." * 3000 + "b.com/x" + "/y" * 200_000
+    got = _judged(spark, [deep, "http://" + "p" * 1_000_000], [("b.com", "/x", "block"), ("b.com", "/x" + "/y" * 9, "allow")], default="block")
+    assert got[0][2:] == ("b.com/x" + "/y" * 9, "allow") and got[1][2:] == (None, "block")
+
+
+def test_exact_dedup_of_very_long_texts(spark):
+    long = "word \t " * 400_000
+    docs = _docs(spark, (2, long), (1, long.replace("\t", "\n")), (3, long + "x"))
+    assert _found(exact_dedup.exact_dedup(docs)) == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True)}
+
+
 def test_url_rules_repeats_and_nothing(spark):
     pages = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/"), (None, None)], "page_id int, url string")
     rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string")
