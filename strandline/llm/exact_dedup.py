@@ -1,16 +1,18 @@
 """Exact dedup: a persistent digest index, bucketed and sorted by hash, with sort-merge anti-join and append.
 
-The index is a saved table with one row per distinct normalised text: its SHA-256 digest, the id that stays
-and how many rows of its first batch have carried it; rows of later batches are counted in a second table beside it,
-so that no row of the index is rewritten. It is bucketed and sorted by digest, so joining a new batch to it shuffles
-the batch's digests (40 bytes a row), never the index and never a text.
+The index is a saved table with one row per distinct normalised text: its SHA-256 digest, the smallest id of the
+batch that brought it, and how many rows of that batch carried it. A batch is deduplicated by a sort-merge anti-join:
+digests that the index lacks are appended to it; of those it holds, the batch's smallest id and count are appended to a
+second table beside it, so that no row of the index is ever rewritten. Both are bucketed and sorted by digest, so
+taking a new batch shuffles that batch's digests (40 bytes a row), never the index and never a text. Any number of
+batches, in any order, gives what one batch of all their rows gives.
 
 Defined results for the unusual:
 
 * a null text counts as the empty text; texts of only white space normalise to one space;
 * of equal texts the row with the smallest id stays; null ids sort last, and where all ids are null, null stays;
 * rows that repeat both id and text all refer to the same id; keep_rows() returns such a row once;
-* an empty table gives an empty result, and other columns (whatever their names) are ignored.
+* texts of any length are read whole; an empty table gives an empty result, and other columns (whatever their names) are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, table, written
+from .common import discard, shuffle_parts, table, written
 
 #: Each run of white space becomes one space. A lone space already is one, so only other matches are rewritten.
 _RUN = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
@@ -36,39 +38,35 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A saved table (digest binary, keep_id, n, batch) bucketed and sorted by digest."""
+    """A saved table (digest binary, keep_id, n) bucketed and sorted by digest, and one of what later batches repeat."""
 
     def __init__(self, spark: SparkSession, name: str, buckets: int):
-        self.spark, self.name, self.buckets = spark, name, buckets
+        self.spark, self.name, self.repeats, self.buckets = spark, name, f"{name}_repeats", buckets
 
     def create(self) -> DigestIndex:
-        """Make the table where there is none yet."""
-        if not self.spark.catalog.tableExists(self.name):
-            self.append(self.spark.createDataFrame([], "digest binary, keep_id long, n long"))
+        """Make the tables where there are none yet."""
+        for name in (self.name, self.repeats):
+            if not self.spark.catalog.tableExists(name):
+                self._append(self.spark.createDataFrame([], "digest binary, keep_id long, n long"), name)
         return self
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame) -> None:
-        """Add groups of digests that the index lacks. The caller has anti-joined them."""
+    def _append(self, groups: DataFrame, name: str) -> None:
         writer = groups.select("digest", "keep_id", "n").write.format("parquet").mode("append")
-        writer.option("compression", "zstd").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        writer.option("compression", "zstd").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
 
-    def count_again(self, groups: DataFrame) -> None:
-        """Add the counts of the groups whose digest the index holds already."""
-        held = self.read().select(F.col("digest").alias("held")).hint("merge")
-        again = groups.join(held, groups["digest"] == held["held"], "left_semi").select("digest", "n")
-        writer = again.write.format("parquet").mode("append").option("compression", "zstd")
-        writer.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(f"{self.name}_again")
+    def take(self, groups: DataFrame) -> None:
+        """Append a batch's groups (a written table, one row per digest): new digests to the index, the others beside it."""
+        again = written(self._held(groups), "repeats")
+        self._append(self.unseen(groups), self.name)
+        self._append(again, self.repeats)
+        discard(again)
 
-    def shared(self) -> DataFrame:
-        """(digest, keep_id, n) of the digests that more than one row carries, over all batches."""
-        if not self.spark.catalog.tableExists(f"{self.name}_again"):
-            return self.read().filter("n > 1")
-        again = self.spark.table(f"{self.name}_again").groupBy("digest").agg(F.sum("n").alias("more"))
-        both = self.read().join(again.hint("merge"), "digest", "left")
-        return both.select("digest", "keep_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")).filter("n > 1")
+    def _held(self, groups: DataFrame) -> DataFrame:
+        held = self.read().select(F.col("digest").alias("held")).hint("merge")
+        return groups.join(held, groups["digest"] == held["held"], "left_semi")
 
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The groups whose digest the index lacks: a sort-merge anti-join; the index side is not shuffled."""
@@ -77,9 +75,16 @@ class DigestIndex:
         seen = self.read().select(F.col("digest").alias("seen")).hint("merge")
         return groups.join(seen, (groups["digest"] == seen["seen"]) & (groups["n"] > 0), "left_anti")
 
+    def shared(self) -> DataFrame:
+        """(digest, keep_id, n) of the digests that more than one row carries, over all batches taken."""
+        more = self.spark.table(self.repeats).groupBy("digest").agg(F.min("keep_id").alias("low"), F.sum("n").alias("more"))
+        both = self.read().join(more.hint("merge"), "digest", "left")
+        # least() skips nulls, as the smallest id does.
+        return both.select("digest", F.least("keep_id", "low").alias("keep_id"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")).filter("n > 1")
+
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_again")
+        for name in (self.name, self.repeats):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
@@ -88,16 +93,14 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 
 def add_batch(index: DigestIndex, rows: DataFrame) -> None:
-    """Deduplicate a batch of (id, digest) rows against the index: append the digests that are new, count the others."""
-    groups = groups_of(rows)
-    if index.read().limit(1).count():
-        groups = written(groups, "groups")
-        index.count_again(groups)
-    index.append(index.unseen(groups))
+    """Deduplicate a batch of (id, digest) rows against the index and append what it brings."""
+    groups = written(groups_of(rows), "groups")
+    index.take(groups)
+    discard(groups)
 
 
 def resolve(rows: DataFrame, index: DigestIndex) -> DataFrame:
-    """(id, keep_id, group_size, kept, digest) per row of a batch that the index has taken.
+    """(id, keep_id, group_size, kept, digest) per row that the index has taken, over all batches taken so far.
 
     Only digests that more than one row carries are joined back. Both sides are plain shuffles, so that
     adaptive execution may split the partition of a hot digest.
@@ -115,13 +118,25 @@ def resolve(rows: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows of docs as one batch against a fresh index: (id, keep_id, group_size, kept, digest) per row."""
+#: Batches that exact_dedup() hands to its index, one after another.
+BATCHES = 2
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+    """(id, keep_id, group_size, kept, digest) per row of docs, taken by an index of its own in batches by hash of the id.
+
+    The index is dropped once its answer is written; keep one with DigestIndex, add_batch() and resolve().
+    """
     spark = docs.sparkSession
     rows = written(digests(docs, id_col, text_col), "digests")
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", shuffle_parts(spark)).create()
-    add_batch(index, rows)
-    return resolve(rows, index)
+    try:
+        for k in range(batches):
+            add_batch(index, rows.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == k))
+        return written(resolve(rows, index), "resolved")
+    finally:
+        index.drop()
+        discard(rows)
 
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -47,30 +47,28 @@ def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.exact_dedup(_docs(spark).limit(0)).count() == 0
 
 
-def test_index_takes_batches(spark):
-    index = exact_dedup.DigestIndex(spark, "digest_index_test", 4)
+def test_batches_of_an_index_equal_one_batch(spark):
+    index = exact_dedup.DigestIndex(spark, "digest_index_batches", 4)
     index.drop()
     index.create()
-    exact_dedup.add_batch(index, exact_dedup.digests(_docs(spark, (1, "a"), (2, "b"))))
-    exact_dedup.add_batch(index, exact_dedup.digests(_docs(spark, (3, "a"), (4, "c"), (5, "c"))))
-    assert {(r.keep_id, r.n) for r in index.read().collect()} == {(1, 1), (2, 1), (4, 2)}
+    rows = [[(5, "a"), (2, "b"), (7, "d"), (8, "d")], [(3, "a"), (4, "c"), (1, "a"), (6, "e"), (0, "d"), (9, "c")], [(None, "a"), (None, "f")], [(11, "f"), (12, "c"), (12, "c")]]
+    batches = [exact_dedup.digests(_docs(spark, *r)) for r in rows]
+    for batch in batches:
+        exact_dedup.add_batch(index, batch)
+    assert sorted(str((r.keep_id, r.n)) for r in index.read().collect()) == ["(2, 1)", "(4, 2)", "(5, 1)", "(6, 1)", "(7, 2)", "(None, 1)"]
+    together = [r for one in rows for r in one]
+    want = _found(exact_dedup.exact_dedup(_docs(spark, *together), batches=1))
+    got = set().union(*[_found(exact_dedup.resolve(batch, index)) for batch in batches])
+    assert got == want == _found(exact_dedup.exact_dedup(_docs(spark, *together), batches=3))
+    assert {(3, 1, 4, False), (1, 1, 4, True), (0, 0, 3, True), (7, 0, 3, False), (None, 11, 2, False), (4, 4, 4, True)} <= got
     assert "SortMergeJoin" in index.unseen(exact_dedup.groups_of(exact_dedup.digests(_docs(spark, (6, "z")))))._jdf.queryExecution().toString()
     index.drop()
 
 
-def test_a_second_batch_finds_the_rows_of_the_first(spark):
-    index = exact_dedup.DigestIndex(spark, "digest_index_batches", 4)
-    index.drop()
-    index.create()
-    batches = [exact_dedup.digests(_docs(spark, *rows)) for rows in ([(1, "a"), (2, "b"), (7, "d"), (8, "d")], [(3, "a"), (4, "c"), (5, "c"), (6, "e"), (0, "d")], [(9, "a")])]
-    found = []
-    for rows in batches:
-        exact_dedup.add_batch(index, rows)
-        found.append(_found(exact_dedup.resolve(rows, index)))
-    assert found[0] == {(1, 1, 1, True), (2, 2, 1, True), (7, 7, 2, True), (8, 7, 2, False)}
-    assert found[1] == {(3, 1, 2, False), (4, 4, 2, True), (5, 4, 2, False), (6, 6, 1, True), (0, 7, 3, False)}
-    assert found[2] == {(9, 1, 3, False)}
-    index.drop()
+def test_exact_dedup_leaves_no_index_behind(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.exact_dedup(_docs(spark, (1, "a"), (2, "a"))).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 def test_poisson_quantiles(spark):
