@@ -2,6 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet in the
 shared folder and hands the next stage what it reads back.
+
+Defined results for the unusual, of every stage but the last the columns of documents and no others:
+
+* an empty table stays empty through all stages; texts of any length are read whole;
+* a null, empty or letterless text is rejected by language_id, as no language can be found in it;
+* rows with a null id: exact_dedup keeps the one of an equal text only where no row with an id has that text;
+  near_dedup links them with nothing, so they stay; mix_sources hashes their id as the empty string;
+* a null source is a source of its own with the weight of unlisted sources; a null lang is learned from by none;
+* rows that repeat id and text are one row after exact_dedup; rows that repeat an id with different texts all stay
+  until near_dedup, where they are one document of that id;
+* columns beyond those of documents, whatever their names, are carried through all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,12 +25,12 @@ from strandline.llm.common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found with a probability of a half or more."""
+    """Documents whose language is found with a probability of a half or more; what fits no labelled language goes."""
     return langid.accepted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id."""
+    """Of texts equal but for white space, the document with the smallest id."""
     return exact_dedup.keep_rows(docs)
 
 
@@ -29,8 +40,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated to the target weights of their sources, in a global random order."""
-    return mixing.mix_sources(docs, mixing.production_weights(), mixing.SEED).select(*docs.columns)
+    """Documents replicated to the target weights of their sources, in a global random order; no source is left out."""
+    mixed = mixing.mix_sources(docs, mixing.production_weights(), mixing.SEED, other_weight=mixing.OTHER_WEIGHT)
+    return mixed.select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
