@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +34,18 @@ def lower_ascii(col):
 BATCH = 512
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to BATCH rows in this session: Spark's 10,000 are too many where a row holds a whole text."""
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Hold Arrow batches to BATCH rows for the jobs run inside, and give the session its own setting back.
+
+    Spark's 10,000 rows are many where a row holds a whole text. What is evaluated later, by the caller, has the
+    session's batches, which Spark bounds by their bytes.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH:
         spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -322,7 +322,11 @@ def exhaust(members: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFr
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
     """(id, n, component) per row of docs."""
-    text_batches(docs.sparkSession)
+    with text_batches(docs.sparkSession):
+        return _near_groups(docs, id_col, text_col, num, den)
+
+
+def _near_groups(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sk = written(sketches(docs, id_col, text_col), "sketches")
     usable = sk.filter("n > 0 AND id IS NOT NULL")

@@ -168,7 +168,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found: (id, mark, parts array<struct<start, n, at, refs>>): windows start .. start+n-1 repeat as a whole and occur in
     refs[0] if at is null, else the windows start+at[k] do, in refs[k].
     """
-    text_batches(docs.sparkSession)
+    with text_batches(docs.sparkSession):
+        return _repeated_windows(docs, id_col, text_col)
+
+
+def _repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     scanned = written(texts.mapInArrow(_scan, f"id {kind}, mark long, n_words long, whole string, anchors array<long>, times array<int>"), "scan")
