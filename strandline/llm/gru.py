@@ -12,6 +12,8 @@ import numpy as np
 
 END, UNKNOWN = 0, 1
 LN10 = float(np.log(10.0))
+#: Texts that are learned side by side.
+LANES = 384
 
 
 class Gru:
@@ -72,47 +74,61 @@ class Gru:
     def log_probs(self, h: np.ndarray, targets: np.ndarray, grad: bool = False):
         """ln P(target | state) per row; with grad also the gradient of its negative sum."""
         size = self.size
-        cls = targets // size
-        word = targets - cls * size
-        logits = h @ self.p["wc"] + self.p["bc"]
-        e = np.exp(logits)
-        total = e.sum(1)
-        rows = np.arange(len(h))
-        out = logits[rows, cls] - np.log(total)
+        cls = (targets // size).astype(np.uint16)
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        h, cls = h[order], cls[order]
+        word = targets[order] - cls * size
+        edges = np.searchsorted(cls, np.arange(self.classes + 1))
+        rows = np.arange(len(h))
+        e = h @ self.p["wc"]
+        e += self.p["bc"]
+        out = e[rows, cls]
+        np.exp(e, out=e)
+        total = e.sum(1)
         if grad:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            g = {"wc": h.T @ d, "bc": d.sum(0), "ww": np.zeros_like(self.p["ww"]), "bw": np.zeros_like(self.p["bw"])}
-            dh = d @ self.p["wc"].T
+            e /= total[:, None]
+            e[rows, cls] -= 1
+            g = {"wc": h.T @ e, "bc": e.sum(0), "ww": np.zeros_like(self.p["ww"]), "bw": np.zeros_like(self.p["bw"])}
+            dh = e @ self.p["wc"].T
+        # Rows of a class lie together now.
         for c in range(self.classes):
-            at = order[edges[c] : edges[c + 1]]
-            if not len(at):
+            a, b = edges[c], edges[c + 1]
+            if a == b:
                 continue
-            part, w = h[at], word[at]
-            logits = part @ self.p["ww"][c] + self.p["bw"][c]
-            e = np.exp(logits)
-            total = e.sum(1)
-            some = np.arange(len(at))
-            out[at] += logits[some, w] - np.log(total)
+            part, w, some = h[a:b], word[a:b], rows[: b - a]
+            e = part @ self.p["ww"][c]
+            e += self.p["bw"][c]
+            out[a:b] += e[some, w]
+            np.exp(e, out=e)
+            inner = e.sum(1)
+            total[a:b] *= inner
             if grad:
-                d = e / total[:, None]
-                d[some, w] -= 1
-                g["ww"][c], g["bw"][c] = part.T @ d, d.sum(0)
-                dh[at] += d @ self.p["ww"][c].T
-        return (out, g, dh) if grad else out
+                e /= inner[:, None]
+                e[some, w] -= 1
+                g["ww"][c], g["bw"][c] = part.T @ e, e.sum(0)
+                dh[a:b] += e @ self.p["ww"][c].T
+        out -= np.log(total)
+        back = np.empty_like(out)
+        back[order] = out
+        if not grad:
+            return back
+        dback = np.empty_like(dh)
+        dback[order] = dh
+        return back, g, dback
 
-    def window(self, before: np.ndarray, targets: np.ndarray, h0: np.ndarray) -> tuple[float, int, dict[str, np.ndarray], np.ndarray]:
+    def window(self, before: np.ndarray, targets: np.ndarray, h0: np.ndarray, fresh: np.ndarray | None = None) -> tuple[float, int, dict[str, np.ndarray], np.ndarray]:
         """Truncated backpropagation through one window (time, batch); targets of -1 count for nothing.
 
-        before: the token ahead of each target. Returns (negative log likelihood, targets, gradient, last state).
+        before: the token ahead of each target; fresh: where a text starts, from the state of nought (after an END, if
+        not given). Returns (negative log likelihood, targets, gradient, last state).
         """
         time, batch = targets.shape
         n = self.hidden
         x = self.inputs()[before.ravel()].reshape(time, batch, 3 * n)
+        goes_on = (before != END if fresh is None else ~fresh)[:, :, None].astype(h0.dtype)
         states, gates, h = [], [], h0
         for t in range(time):
+            h = h * goes_on[t]
             new, z, r, c, a = self.step(x[t], h)
             gates.append((h, z, r, c, a))
             states.append(new)
@@ -135,7 +151,7 @@ class Gru:
             dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dc
             da = np.concatenate([dz, dr, dc * r], axis=1)
             du += prev.T @ da
-            dh = d * z + da @ self.p["u"].T
+            dh = (d * z + da @ self.p["u"].T) * goes_on[t]
         dx = dx.reshape(-1, 3 * n)
         tokens = before.ravel()
         emb = self.p["emb"][tokens]
@@ -164,27 +180,40 @@ class Adam:
             self.model.p[k] -= self.rate * m / (np.sqrt(v) + 1e-6)
 
 
-def train(model: Gru, sequences: np.ndarray, rate: float, epochs: int = 1, batch: int = 256, steps: int = 32, seed: int = 0, adam: Adam | None = None) -> tuple[float, int]:
-    """Train on token sequences (n, 1 + length; -1 after a text's end), the state carried from window to window.
+def stream(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(before, targets, fresh) of pieces of texts, one behind another; a piece is the token ahead of it and its tokens."""
+    before = np.concatenate([p[:-1] for p in pieces])
+    targets = np.concatenate([p[1:] for p in pieces])
+    fresh = np.zeros(len(targets), bool)
+    fresh[np.cumsum([0, *[len(p) - 1 for p in pieces[:-1]]])] = True
+    return before, targets, fresh
 
-    Returns the last epoch's (negative log likelihood in nats, targets).
+
+def train(model: Gru, pieces: list[np.ndarray], rate: float, epochs: int = 1, lanes: int = LANES, steps: int = 32, adam: Adam | None = None) -> tuple[float, int]:
+    """Train on every token of the pieces, laid out one behind another and cut into lanes of equal length.
+
+    The state is carried from window to window along a lane and set back where a piece starts, so a text that does not
+    straddle two lanes is learned as scoring reads it. Returns the last epoch's (negative log likelihood in nats, targets).
     """
     adam = adam or Adam(model, rate)
-    rng = np.random.default_rng(seed)
+    before, targets, fresh = stream(pieces)
+    lanes = max(1, min(lanes, len(targets) // steps))
+    height = -(-len(targets) // lanes)
+
+    def laid(x: np.ndarray, filler: int) -> np.ndarray:
+        out = np.full(lanes * height, filler, x.dtype)
+        out[: len(x)] = x
+        return np.ascontiguousarray(out.reshape(lanes, height).T)
+
+    before, targets, fresh = laid(before, END), laid(targets, -1), laid(fresh, True)
     loss, total = 0.0, 0
     for _ in range(epochs):
         loss, total = 0.0, 0
-        order = rng.permutation(len(sequences))
-        for at in range(0, len(order), batch):
-            part = sequences[order[at : at + batch]].T
-            h = np.zeros((part.shape[1], model.hidden), np.float32)
-            for t in range(0, len(part) - 1, steps):
-                targets = part[t + 1 : t + 1 + steps]
-                if not (targets >= 0).any():
-                    break
-                nll, n, grad, h = model.window(np.maximum(part[t : t + len(targets)], 0), targets, h)
-                loss, total = loss + nll, total + n
-                adam.update(grad, n)
+        h = np.zeros((lanes, model.hidden), np.float32)
+        for at in range(0, height, steps):
+            nll, n, grad, h = model.window(before[at : at + steps], targets[at : at + steps], h, fresh[at : at + steps])
+            loss, total = loss + nll, total + n
+            adam.update(grad, n)
     return loss, total
 
 

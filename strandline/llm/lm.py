@@ -5,15 +5,17 @@ the documents' words. Only the COMMON most frequent words reach the driver and t
 model's own vocabulary is the most frequent of these; any other word is the unknown token, times the word's
 smoothed share of all counts outside the vocabulary, so that the model, too, gives every word a probability.
 
-Training: a warm start on the driver, on WARM windows (the least hashed ones); then each partition trains on
-windows of all its training documents (with STRIDE 1 every window of LENGTH tokens, so that every token is learned),
-and the parameters are averaged by tokens, in one distributed sum. The work grows with
-the corpus, what the driver holds does not.
+Training: a warm start on the driver, on WARM windows (of the least hashed documents); then every token of every
+training document is learned, in shards. Documents (of PIECE tokens or more: their pieces) are dealt to shards by a
+hash of id and text, and learned in the order of another, one behind another, the state carried from window to window
+along a text as in scoring. A shard has about SHARD tokens; beyond MAX_SHARDS shards they grow instead. The shards'
+parameters are averaged by tokens, as a sum of whole numbers, which comes out the same in any order. So shards, their
+order and the average depend on the corpus alone: other partitions, retries and lost executors give the same model.
 
 Defined results for the unusual: a null or empty text is one end token; a null id hashes as the empty string
-(and so trains); repeated rows count and are returned each; without any training document all counts are 0, the
-base is that of the formula, and the model stays at its start; an empty table gives an empty result; other
-columns are ignored.
+(and so trains); texts of any length are learned and scored whole; repeated rows count and are returned each; without
+any training document all counts are 0, the base is that of the formula, and the model stays at its start; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +27,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, written
+from .common import discard, shuffle_parts, table, text_batches, written
 from .gru import END, LN10, UNKNOWN, Adam, Gru, score, train
 from .words import text_bytes
 
 COMMON = 150_000
-CLASSES, SIZE, HIDDEN, EMBED = 32, 32, 16, 16
-LENGTH, STRIDE, WARM = 96, 1, 4_096
-#: Documents that are scored side by side, and of which windows are learned at a time.
+CLASSES, SIZE, HIDDEN, EMBED = 48, 48, 24, 16
+WARM, WARM_WINDOW, WARM_EPOCHS = 2_048, 96, 4
+WARM_RATE, RATE = 0.02, 0.004
+#: Tokens of a shard, how many shards there are at most, and tokens that are learned at a time.
+SHARD, MAX_SHARDS, AT_ONCE = 1 << 20, 4_096, 1 << 20
+#: Tokens of a document that are learned as one sequence.
+PIECE = 1 << 14
+#: Documents that are scored side by side.
 SLICE = 3_000
-WARM_EPOCHS, WARM_RATE, RATE = 6, 0.02, 0.004
+#: Averaged parameters are whole multiples of 2^-SCALE, below 2^6.
+SCALE, LARGEST = 20, 63.0
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -102,13 +111,16 @@ def _model_tokens(rank: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def training_windows(tokens: np.ndarray, seed: int, stride: int = 4, length: int = LENGTH) -> np.ndarray:
-    """Rows (1 + length) of a text's windows: the token ahead, then the window; -1 after the end."""
-    n = -(-len(tokens) // length)
-    padded = np.full(1 + n * length, -1, np.int32)
-    padded[0], padded[1 : 1 + len(tokens)] = END, tokens
-    chosen = np.arange(seed % min(stride, n), n, stride)
-    return padded[chosen[:, None] * length + np.arange(length + 1)[None, :]]
+def pieces_of(tokens: np.ndarray) -> list[np.ndarray]:
+    """A text's tokens in pieces of PIECE, each with the token ahead of it (END ahead of the first)."""
+    led = np.concatenate([[END], tokens]).astype(np.int32)
+    return [led[at : at + PIECE + 1] for at in range(0, len(tokens), PIECE)]
+
+
+def warm_window(tokens: np.ndarray, seed: int) -> np.ndarray:
+    """One window of a text, by its seed, with the token ahead of it."""
+    at = seed % -(-len(tokens) // WARM_WINDOW) * WARM_WINDOW
+    return np.concatenate([[END], tokens]).astype(np.int32)[at : at + WARM_WINDOW + 1]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -117,19 +129,26 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, most: int) -> list:
-    """The words above the lowest count that leaves at most `most` of them, most frequent first.
+    """Of (word, c), about the `most` most frequent words and never more, most frequent first, ties by word.
 
     The cut is found in a histogram of counts, 16 steps to a doubling, so that no task has to sort or send more
-    than its share of the words above the cut.
+    than its share of the words above the cut. Of the step at the cut, words are taken by hash, as many as there is room for.
     """
     step = F.floor(F.log2("c") * 16).cast("int")
-    above, cut = 0, None
+    part = F.pmod(F.xxhash64("word"), F.lit(4096)).cast("int")
+    room, wanted = most, F.lit(False)
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
-        if above + r["n"] > most:
-            break
-        above, cut = above + r["n"], r["step"]
-    rows = counts.filter(step >= cut).collect() if cut is not None else []
-    return sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))
+        if r["n"] <= room:
+            room, wanted = room - r["n"], wanted | (step == r["step"])
+            continue
+        last = -1
+        for p in sorted(counts.filter(step == r["step"]).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda p: p["part"]):
+            if p["n"] > room:
+                break
+            room, last = room - p["n"], p["part"]
+        wanted = wanted | ((step == r["step"]) & (part <= last))
+        break
+    return sorted(counts.filter(wanted).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
 
 
 def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -143,85 +162,119 @@ def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
         yield pa.concat_batches(held)
 
 
-def _seed(key: str) -> int:
-    return zlib.crc32(f"window|{key}".encode())
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _dealt(lexicon: Lexicon, shards: int, key: str | None, text: str | None, ranks: dict) -> list[tuple[int, int, int, bytes]]:
+    """(shard, order, piece, tokens as 16-bit numbers) of each piece of a text."""
+    order = xxhash.xxh3_64_intdigest(text_bytes(text), seed=zlib.crc32((key or "").encode()))
+    found = pieces_of(_model_tokens(_ranks(words_of(text), ranks), lexicon.size))
+    return [(xxhash.xxh3_64_intdigest(order.to_bytes(8, "little"), seed=k) % shards, _signed(order), k, p.astype(np.uint16).tobytes()) for k, p in enumerate(found)]
+
+
+def _learned(start: Gru, pieces: Iterator[tuple[int, bytes]]) -> Iterator[tuple[Gru, int]]:
+    """(parameters, tokens) of each shard that (shard, tokens) rows, sorted, make up, from the start's parameters."""
+    shard, own, adam, tokens, held, size = None, None, None, 0, [], 0
 
+    def learn() -> int:
+        return train(own, held, RATE, adam=adam)[1] if held else 0
 
-def _windows_of(batch: pd.DataFrame, lexicon: Lexicon, ranks: dict, stride: int) -> np.ndarray:
-    found = [training_windows(_model_tokens(_ranks(words_of(t), ranks), lexicon.size), _seed(str(i)), stride) for i, t in zip(batch["id"].array, batch["text"].array)]
-    return np.concatenate(found) if found else np.zeros((0, LENGTH + 1), np.int32)
+    for now, raw in pieces:
+        if now != shard:
+            if shard is not None:
+                tokens += learn()
+                yield own, tokens
+            shard, own, tokens, held, size = now, start.same(), 0, [], 0
+            adam = Adam(own, RATE)
+        held.append(np.frombuffer(raw, np.uint16).astype(np.int32))
+        size += len(held[-1]) - 1
+        if size >= AT_ONCE:
+            tokens += learn()
+            held, size = [], 0
+    if shard is not None:
+        tokens += learn()
+        yield own, tokens
 
 
 def fit(training: DataFrame, lexicon: Lexicon) -> Gru:
-    """Warm start on the driver, then one round of local training everywhere, averaged."""
+    """The model of training (id, text): a warm start on the driver, then every token, by shards, averaged."""
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(lexicon)
+    keyed = training.select(F.col("id").cast("string").alias("id"), "text")
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         ranks = lex.ranks()
         for batch in batches:
-            # One window of each document, the one that its hash points at.
-            rows = [training_windows(_model_tokens(_ranks(words_of(t), ranks), lex.size), _seed(str(i)), 1 << 30) for i, t in zip(batch["id"].array, batch["text"].array)]
-            yield pd.DataFrame({"key": [zlib.crc32(f"warm|{i}".encode()) for i in batch["id"].array], "tokens": [r[0] for r in rows]})
+            rows = [(zlib.crc32(f"warm|{i}".encode()), warm_window(_model_tokens(_ranks(words_of(t), ranks), lex.size), zlib.crc32(f"window|{i}".encode()))) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([w.astype(np.uint16).tobytes() for _, w in rows], pa.binary())], names=["key", "tokens"])
 
     # Only documents whose hash is low can be among the WARM least: the rest are not even split into words.
-    total = max(1, lexicon.ends)
-    below = min(1.0, 2.0 * WARM / total)
-    near = training.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(int(below * 1_000_003) + 1))
-    warm = near.mapInPandas(sample, "key long, tokens array<int>").orderBy("key", "tokens").limit(WARM).toPandas()
+    below = min(1.0, 2.0 * WARM / max(1, lexicon.ends))
+    near = keyed.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(int(below * 1_000_003) + 1))
+    warm = near.mapInArrow(sample, "key long, tokens binary").orderBy("key", "tokens").limit(WARM).collect()
     model = Gru(CLASSES, SIZE, HIDDEN, EMBED).start(np.concatenate([lexicon.model_counts, np.zeros(max(0, lexicon.size - len(lexicon.model_counts)))]))
-    if not len(warm):
+    if not warm:
         return model
-    sequences = np.array([np.asarray(x, np.int32) for x in warm["tokens"]], dtype=np.int32)
-    kept, learn = sequences[: len(sequences) // 8], sequences[len(sequences) // 8 :]
-    train(model, learn, WARM_RATE, epochs=WARM_EPOCHS)
+    train(model, [np.frombuffer(r["tokens"], np.uint16).astype(np.int32) for r in warm], WARM_RATE, epochs=WARM_EPOCHS)
     start = spark.sparkContext.broadcast(model)
+    shards = min(MAX_SHARDS, -(-lexicon.n // SHARD))
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, own = shared.value, start.value.same()
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
         ranks = lex.ranks()
-        adam, tokens, held = Adam(own, RATE), 0, []
         for batch in batches:
-            held.append(_windows_of(batch, lex, ranks, STRIDE))
-            if sum(map(len, held)) >= SLICE:
-                tokens += train(own, np.concatenate(held), RATE, adam=adam)[1]
-                held = []
-        if held:
-            tokens += train(own, np.concatenate(held), RATE, adam=adam)[1]
+            rows = [r for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in _dealt(lex, shards, i, t, ranks)]
+            columns = zip(*rows) if rows else ([], [], [], [])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["shard", "order", "piece", "tokens"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, tokens = None, 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), tokens))], names=["at", "sum", "n"])
+
+        rows = ((s, x) for b in batches for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for own, n in _learned(start.value, rows):
+            if tokens + n >= 1 << 36:
+                yield out()
+                total, tokens = None, 0
+            share = np.rint(np.clip(own.flat().astype(np.float64), -LARGEST, LARGEST) * 2.0**SCALE).astype(np.int64) * n
+            total, tokens = share if total is None else total + share, tokens + n
         if tokens:
-            flat = own.flat().astype(np.float64)
-            yield pd.DataFrame({"at": np.arange(len(flat)), "sum": flat * tokens, "n": np.full(len(flat), tokens)})
+            yield out()
 
-    sums = training.mapInPandas(local, "at int, sum double, n long").groupBy("at").agg((F.sum("sum") / F.sum("n")).alias("x")).toPandas()
-    if not len(sums):
-        return model
-    mean = model.same().load(sums.sort_values("at")["x"].to_numpy())
-    # The average has to be better than the start on windows that the start did not see.
-    judge = lambda m: train_loss(m, kept)
-    return mean if not len(kept) or judge(mean) < judge(model) else model
+    dealt = keyed.mapInArrow(deal, "shard int, order long, piece int, tokens binary")
+    dealt = dealt.repartition(min(shards, shuffle_parts(spark) * 8), "shard").sortWithinPartitions("shard", "order", "piece", "tokens")
+    sums = dealt.select("shard", "tokens").mapInArrow(learn, "at long, sum long, n long")
+    sums = sums.groupBy("at").agg(F.sum(F.col("sum").cast("decimal(38,0)")).cast("double").alias("sum"), F.sum("n").alias("n"))
+    mean = sums.select("at", (F.col("sum") / F.col("n") / F.lit(2.0**SCALE)).alias("x")).toPandas()
+    return model.same().load(mean.sort_values("at")["x"].to_numpy())
 
 
-def train_loss(model: Gru, sequences: np.ndarray) -> float:
-    """Nats per token over sequences, without learning."""
-    texts = [row[1:][row[1:] >= 0] for row in sequences]
-    return -float(score(model, [np.append(t, END) if t[-1] != END else t for t in texts]).sum()) / sum(map(len, texts))
+def fit_corpus(training: DataFrame) -> tuple[Lexicon, Gru, DataFrame]:
+    """Lexicon, model and the written table (word, c) of training (id, text)."""
+    counts = written(count_words(training), "counts")
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    common = most_frequent(counts, COMMON)
+    lexicon = Lexicon([bytes(r["word"]) for r in common], [r["c"] for r in common], training.count(), totals["n"], totals["v"], CLASSES * SIZE)
+    return lexicon, fit(training, lexicon), counts
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    training = rows.filter("NOT held_out").select("id", "text")
-    counts = written(count_words(training), "counts")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    common = most_frequent(counts, COMMON)
-    size = CLASSES * SIZE
-    lexicon = Lexicon([bytes(r["word"]) for r in common], [r["c"] for r in common], training.count(), totals["n"], totals["v"], size)
-    model = spark.sparkContext.broadcast(fit(training, lexicon))
-    shared = spark.sparkContext.broadcast(lexicon)
+    with text_batches(docs.sparkSession):
+        lexicon, gru, counts = fit_corpus(rows.filter("NOT held_out").select("id", "text"))
+        return score_rows(rows, lexicon, gru, counts)
+
+
+def score_rows(rows: DataFrame, lexicon: Lexicon, gru: Gru, counts: DataFrame) -> DataFrame:
+    """score_documents() of rows (id, held_out, text) with a fitted model."""
+    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+    model, shared = spark.sparkContext.broadcast(gru), spark.sparkContext.broadcast(lexicon)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, gru = shared.value, model.value
@@ -261,6 +314,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     rare = rare.join(counts.hint("merge"), "word", "left").groupBy("key").agg(F.sum(F.log10(c + 0.5) * F.col("times")).alias("rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    rare = written(rare, "rare")
+    discard(counts)
     joined = scored.drop("words", "times").join(rare, "key", "left")
     more = F.coalesce("rare", F.lit(0.0))
     return joined.select(

@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,17 +142,73 @@ def test_lm_edge_cases(spark, monkeypatch):
     assert lm.score_documents(docs.limit(0)).count() == 0
 
 
-def test_training_windows_cover_some_of_each_text():
-    w = lm.training_windows(np.append(np.arange(2, 300), 0).astype(np.int32), 3)
-    assert w.shape[1] == lm.LENGTH + 1 and len(w) == 1
-    assert lm.training_windows(np.array([0], np.int32), 7).tolist()[0][:3] == [0, 0, -1]
+def _plain_score(model, lexicon, ranks, counts, text):
+    """log10 probability of a text, token by token, from the model's parameters only."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    words = lm.words_of(text)
+    rank = [ranks[w] for w in words]
+    tokens = [k + 2 if 0 <= k < lexicon.size - 2 else gru.UNKNOWN for k in rank] + [gru.END]
+    n, h, last, total = model.hidden, np.zeros(model.hidden), gru.END, 0.0
+    kinds, inside = len(counts), sum(1 for k in range(len(lexicon.words)) if k < lexicon.size - 2)
+    outside = sum(counts.values()) - sum(counts[w] for w in lexicon.words[:inside])
+    for k, token in enumerate(tokens):
+        x, a = p["emb"][last] @ p["wx"] + p["b"], h @ p["u"]
+        z, r = 1 / (1 + np.exp(-(x[:n] + a[:n]))), 1 / (1 + np.exp(-(x[n : 2 * n] + a[n : 2 * n])))
+        c = np.tanh(x[2 * n :] + r * a[2 * n :])
+        h = z * h + (1 - z) * c
+        one, two = h @ p["wc"] + p["bc"], h @ p["ww"][token // model.size] + p["bw"][token // model.size]
+        total += (one[token // model.size] - np.log(np.exp(one).sum()) + two[token % model.size] - np.log(np.exp(two).sum())) / np.log(10)
+        if token == gru.UNKNOWN:
+            total += np.log10(counts.get(words[k], 0) + 0.5) - np.log10(outside + 0.5 * (kinds - inside + 1))
+        last = token
+    return total
+
+
+def test_lm_score_equals_a_plain_loop_and_does_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").cache()
+    one = {r.id: r.score for r in lm.score_documents(docs.repartition(1)).collect()}
+    eight = {r.id: r.score for r in lm.score_documents(docs.repartition(8, "text")).collect()}
+    assert set(one) == set(eight) and all(one[i] == pytest.approx(eight[i], rel=1e-6) for i in one)
+    training = docs.filter(~lm.is_held_out(F.col("doc_id"))).withColumnRenamed("doc_id", "id")
+    lexicon, model, _ = lm.fit_corpus(training)
+    counts = Counter(w for r in training.collect() for w in lm.words_of(r.text))
+    ranks = lexicon.ranks()
+    for r in docs.filter("doc_id % 11 = 0").collect():
+        assert one[r.doc_id] == pytest.approx(_plain_score(model, lexicon, ranks, counts, r.text), rel=1e-4, abs=1e-3)
+
+
+def test_every_token_of_a_training_document_is_learned_once_in_one_order(monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 64)
+    rows = {"0": "a b c " * 400, "1": "a", "2": None, "9": "b zz " * 96}
+    lexicon = lm.Lexicon([b"a", b"b", b"c"], [9, 8, 7], 4, 24, 3, 5)
+    dealt = [p for i, t in rows.items() for p in lm._dealt(lexicon, 3, i, t, lexicon.ranks())]
+    assert {s for s, *_ in dealt} == {0, 1, 2}
+    learned = []
+    monkeypatch.setattr(lm, "train", lambda model, pieces, rate, adam: learned.append(pieces) or (0.0, sum(len(p) - 1 for p in pieces)))
+    tokens = [n for _, n in lm._learned(gru.Gru(2, 4, 3, 2).start(np.ones(8)), ((s, x) for s, _, _, x in sorted(dealt)))]
+    assert len(tokens) == 3 and sum(tokens) == sum(len(lm.words_of(t)) + 1 for t in rows.values())
+    # Each piece carries the token ahead of it, so that cutting a text loses no transition.
+    whole = lm.pieces_of(np.arange(2, 300, dtype=np.int32))
+    assert np.concatenate([p[1:] for p in whole]).tolist() == list(range(2, 300)) and [p[0] for p in whole[1:]] == [p[-1] for p in whole[:-1]]
+    assert lm.warm_window(np.array([0], np.int32), 7).tolist() == [0, 0] and len(lm.warm_window(np.arange(2, 300, dtype=np.int32), 1)) == 97
+
+
+def test_training_on_lanes_sets_the_state_back_at_each_text():
+    model = gru.Gru(3, 4, 5, 4).start(np.ones(12), seed=2)
+    before, targets, fresh = gru.stream([np.array([0, 5, 6, 0]), np.array([6, 7, 0]), np.array([0, 3, 0])])
+    assert before.tolist() == [0, 5, 6, 6, 7, 0, 3] and targets.tolist() == [5, 6, 0, 7, 0, 3, 0] and fresh.tolist() == [True, False, False, True, False, True, False]
+    column = lambda x: x[:, None]
+    loss = model.window(column(before), column(targets), np.ones((1, 5), np.float32), column(fresh))[0]
+    alone = sum(model.window(column(np.array(b)), column(np.array(t)), np.zeros((1, 5), np.float32), np.array([[True]] + [[False]] * (len(b) - 1)))[0] for b, t in (([0, 5, 6], [5, 6, 0]), ([6, 7], [7, 0]), ([0, 3], [3, 0])))
+    assert loss == pytest.approx(alone, rel=1e-5)
 
 
-def test_every_token_of_a_training_document_is_learned():
-    rows = {0: "a b c " * 400, 1: "a", 2: None, 9: "b zz " * 96}
-    lexicon = lm.Lexicon([b"a", b"b", b"c"], [9, 8, 7], 4, 24, 3, 5)
-    windows = lm._windows_of(pd.DataFrame({"id": list(rows), "text": list(rows.values())}), lexicon, lexicon.ranks(), lm.STRIDE)
-    assert int((windows[:, 1:] >= 0).sum()) == sum(len(lm.words_of(t)) + 1 for t in rows.values())
+def test_the_cut_of_common_words_takes_part_of_a_step(spark):
+    counts = spark.range(500).select(F.concat(F.lit("w"), F.col("id")).cast("binary").alias("word"), F.lit(7).cast("long").alias("c"))
+    some = lm.most_frequent(counts, 100)
+    assert 90 <= len(some) <= 100 and some == lm.most_frequent(counts.repartition(5), 100)
+    more = counts.unionByName(spark.createDataFrame([(b"top", 900)], "word binary, c long"))
+    assert bytes(lm.most_frequent(more, 50)[0]["word"]) == b"top" and len(lm.most_frequent(more, 1000)) == 501
 
 
 # BPE
@@ -226,17 +281,115 @@ def test_language_id_on_held_out_labels(spark, sf_dir):
     assert renamed.filter("found = label").count() / renamed.count() >= 0.95
 
 
+def brute_languages(docs, pages):
+    """{page_id: (lang, probability)} of op6, in plain Python over whole tables."""
+    import re
+
+    counts = {}
+    for r in docs:
+        if r.lang:
+            counts.setdefault(r.lang, Counter()).update(langid.trigram_bins(r.text).tolist())
+    langs = sorted(counts)
+    logs = []
+    for lang in langs:
+        total = sum(counts[lang].values()) + 0.5 * langid.BINS
+        logs.append({b: math.log((c + 0.5) / total) for b, c in counts[lang].items()} | {None: math.log(0.5 / total)})
+    rows = []
+    for p in pages:
+        rest = p.url.split("://", 1)[1] if "://" in (p.url or "") else ""
+        host = re.match(r"[^/?#]*", rest).group().lower()
+        path = re.match(r"[^/?#]*([^?#]*)", rest).group(1)
+        parts = host.split(".")
+        code = re.match(r"/([a-z]{2})(?:/|$)", path)
+        declared = re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", p.html or "")
+        text = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&[a-z#0-9]+;", " ", p.html or "")
+        bins = Counter(langid.trigram_bins(text).tolist())
+        scores = [sum(n * t.get(b, t[None]) for b, n in bins.items()) / 3 for t in logs] + [-sum(bins.values()) * math.log(langid.BINS) / 3] if bins else None
+        rows.append((p.page_id, declared and declared.group(1).lower(), code.group(1) if code else parts[-1], host, ".".join(parts[-2:]) if len(parts) > 2 else host, scores))
+
+    def normal(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    k = len(langs) + 1
+    add = lambda table, key, x: table.__setitem__(key, [a + b for a, b in zip(table.get(key, [0.0] * k), x)])
+    values, hosts, domains, base = {"d": {}, "s": {}}, {}, {}, [1.0] * k
+    for _, d, s, host, domain, scores in rows:
+        if scores:
+            x = normal(scores)
+            base = [a + b for a, b in zip(base, x)]
+            for table, key in ((values["d"], d), (values["s"], s), (hosts, host), (domains, domain)):
+                if key:
+                    add(table, key, x)
+    base = [b / sum(base) for b in base]
+    smooth = lambda mass, up: [(m + 20 * u) / (sum(mass) + 20) for m, u in zip(mass, up)]
+    value_logs = {}
+    for name, table in values.items():
+        totals = [sum(m[j] for m in table.values()) + len(table) for j in range(k)]
+        value_logs[name] = {v: [0.5 * math.log((m[j] + 1) / totals[j]) for j in range(k)] for v, m in table.items()}
+    out = {}
+    for i, d, s, host, domain, scores in rows:
+        known = scores or host in hosts or d in value_logs["d"] or s in value_logs["s"]
+        prior = smooth(hosts[host], smooth(domains[domain], base) if domain in domains else base) if host in hosts else base
+        post = normal([a + math.log(b) + c + e for a, b, c, e in zip(scores or [0.0] * k, prior, value_logs["d"].get(d, [0.0] * k), value_logs["s"].get(s, [0.0] * k))])
+        out[i] = ([*langs, None][post.index(max(post))] if known else None, max(post) if known else 0.0)
+    return out
+
+
+def test_language_id_query_matches_brute_force(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    odd = [(-1, None, None), (-2, "nowhere", ""), (-3, "http://a.b.c.d/xx/", "<html lang='zz'>12"), (-4, "http://one.example.org/en", "<html lang=en><p>!</html>"), (-5, "http://x.org/fr/", "<html lang=de>" + "the cat and the dog " * 20_000), (-6, "http://x.org/", "qxzj wvkq " * 50)]
+    pages = pages.unionByName(spark.createDataFrame(odd, pages.schema)).withColumn("p", F.lit("clash")).withColumn("logs", F.lit(1))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    want = brute_languages(docs.collect(), pages.collect())
+    got = {r.page_id: (r.lang, r.probability) for r in langid.op6_language_id(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want)
+    # Distributions are held in single precision, so a long text's evidence differs in the sixth digit.
+    assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-3) for i in want)
+    assert got[-1] == (None, 0.0) and got[-6][0] is None and got[-5][0] == "en"
+
+
+def test_language_id_learns_seventy_languages(spark, monkeypatch):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k:02}": " ".join(alphabet[(k * 7 + j * (k % 5 + 1)) % 26] * 2 + alphabet[k % 26] + alphabet[(k // 26 + j) % 26] for j in range(12)) for k in range(70)}
+    docs = spark.createDataFrame([(k, lang, text, "s") for k, (lang, text) in enumerate(own.items())], "doc_id long, lang string, text string, source string")
+    none = F.lit(None).cast("string")
+
+    def found():
+        model = langid.TextModel.fit(docs)
+        assert len(model.langs) == 70
+        return {r.id: (r.lang, round(r.probability, 6)) for r in langid.identify(docs, model, "doc_id", F.col("text"), F.col("lang"), none, F.col("source"), none).collect()}
+
+    got = found()
+    assert all(lang == f"l{i:02}" for i, (lang, _) in got.items())
+    # The languages held at a time, and how tables are joined, change nothing.
+    monkeypatch.setattr(langid, "LANGS_AT_ONCE", 9)
+    monkeypatch.setattr(langid, "BROADCAST_CELLS", 1)
+    assert found() == got
+
+
 def test_language_id_edge_cases(spark):
-    docs = spark.createDataFrame([(1, "the cat and the dog", "en", "s"), (2, "le chat et le chien", "fr", "s"), (3, None, None, None), (4, "12 34 !!", "fr", "t"), (5, "the dog", None, "s"), (5, "the dog", None, "s"), (None, "le chien", "en", None)], "doc_id long, text string, lang string, source string").withColumn("host", F.lit("clash")).withColumn("logs", F.lit(1))
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en", "s"), (2, "le chat et le chien", "fr", "s"), (3, None, None, None), (4, "12 34 !!", "fr", "t"), (5, "the dog", None, "s"), (5, "the dog", None, "s"), (None, "le chien", "en", None), (6, "zqj xkw vvq jjx " * 9, None, "u")], "doc_id long, text string, lang string, source string").withColumn("host", F.lit("clash")).withColumn("logs", F.lit(1)).withColumn("p", F.lit(2)).withColumn("doc_0", F.lit(3))
     model = langid.TextModel.fit(docs)
     none = F.lit(None).cast("string")
     out = {str(r.id): r for r in langid.identify(docs, model, "doc_id", F.col("text"), F.col("lang"), none, F.col("source"), none).collect()}
     assert out["1"].lang == "en" and out["2"].lang == "fr" and out["5"].lang == "en"
     assert out["3"].lang is None and out["3"].probability == 0 and out["4"].text_lang is None and out["4"].lang in ("en", "fr")
     kept = langid.accepted(docs)
-    assert kept.columns == docs.columns and kept.filter("doc_id IN (3, 4)").count() == 0 and kept.filter("doc_id = 5").count() == 2
+    assert kept.columns == docs.columns and kept.filter("doc_id IN (3, 4, 6)").count() == 0 and kept.filter("doc_id = 5").count() == 2
     empty = langid.TextModel.fit(docs.limit(0))
     assert langid.identify(docs, empty, "doc_id", F.col("text"), none, none, none, none).filter("lang IS NOT NULL").count() == 0
+    assert langid.identify(docs.limit(0), model, "doc_id", F.col("text"), F.col("lang"), none, F.col("source"), none).count() == 0
+    assert langid.accepted(docs.limit(0)).count() == 0
+
+
+def test_sessions_keep_their_batch_size(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    langid.TextModel.fit(spark.createDataFrame([("en", "a b")], "lang string, text string"))
+    assert spark.conf.get(key) == before
 
 
 def test_markup_is_stripped(spark):
