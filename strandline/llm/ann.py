@@ -4,8 +4,13 @@ The measure is the inner product. One more dimension, sqrt(M^2 - |x|^2) with M t
 turns it into Euclidean distance, which a seeded random rotation leaves as it is. After the rotation, the
 distance over the first d of D dimensions, times D / d, estimates the whole; a candidate is abandoned as soon as
 that exceeds a bound on the k-th distance by the factor (1 + eps / sqrt(d))^2, a hypothesis test whose level eps
-sets. The bound is the k-th distance among the sample below. Rotated candidates lie in column blocks
-(dimension-major), and each block is one matrix operation over what is still alive. Survivors are scored exactly, in double precision, on the original vectors.
+sets. Rotated candidates lie in column blocks (dimension-major), and each block is one matrix operation over what is
+still alive. Survivors are scored exactly, in double precision, on the original vectors.
+
+The bound starts as the k-th distance among the sample below and tightens as the search goes on: from tile to tile
+of a list to the k-th distance found so far, and after each query's nearest lists, which are searched first, to the
+k-th distance found in them, with which its other lists are searched. So what survives a list is a small multiple of k,
+however long the list.
 
 Lists: centroids are fitted on at most SAMPLE vectors (the least hashed ids); every vector is indexed in the
 list of its nearest centroid. The number of lists grows with the root of the number of vectors, and a query
@@ -30,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 SAMPLE = 16_384
 MAX_LISTS = 4_096
@@ -41,6 +46,8 @@ BLOCK = 16
 #: only those are gone on with.
 TILE, Q_TILE, SPARSE = 2_048, 256, 0.1
 EPS = 2.1
+#: Slack of limits, as distances are in single precision.
+SLACK, TINY = np.float32(1.0001), np.float32(1e-5)
 SEED = 7
 RESULT = "query_id long, rank int, vec_id long, score double"
 
@@ -88,12 +95,25 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return near, far
 
 
-def adaptive_scan(queries: np.ndarray, limits: np.ndarray, blocks: list[np.ndarray], eps: float = EPS) -> tuple[np.ndarray, np.ndarray]:
+def tightened(limits: np.ndarray, held: tuple[np.ndarray, np.ndarray], query: np.ndarray, squares: np.ndarray, k: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(limits, held) after more (query, squared distance) pairs: held has each query's k least, the k-th is a limit."""
+    query, squares = np.concatenate([held[0], query]), np.concatenate([held[1], squares])
+    order = np.lexsort((squares, query))
+    query, squares = query[order], squares[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+    limits = limits.copy()
+    last = rank == k - 1
+    limits[query[last]] = np.minimum(limits[query[last]], squares[last] * SLACK + TINY)
+    return limits, (query[rank < k], squares[rank < k])
+
+
+def adaptive_scan(queries: np.ndarray, limits: np.ndarray, blocks: list[np.ndarray], eps: float = EPS, k: int | None = None, own: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, candidate) positions of pairs whose squared distance is within the query's limit.
 
     queries: (n, D), rotated; blocks: candidates as column blocks (d, m). Partial distances of a tile of queries and
     candidates grow block by block; after each, pairs that fail the test are abandoned. As long as most are alive the
-    tile goes on as a whole, later only what is alive.
+    tile goes on as a whole, later only what is alive. With k, limits tighten from tile to tile to the k-th distance
+    found, not counting pairs of equal ids, given as own (of queries, of candidates).
     """
     dim, m = sum(len(b) for b in blocks), blocks[0].shape[1]
     cuts = np.cumsum([len(b) for b in blocks])[:-1]
@@ -102,6 +122,7 @@ def adaptive_scan(queries: np.ndarray, limits: np.ndarray, blocks: list[np.ndarr
     for q0 in range(0, len(queries), Q_TILE):
         parts = np.split(queries[q0 : q0 + Q_TILE], cuts, axis=1)
         limit = limits[q0 : q0 + Q_TILE]
+        held = (np.zeros(0, np.int64), np.zeros(0, np.float32))
         for c0 in range(0, m, TILE):
             sums = np.zeros((len(limit), min(TILE, m - c0)), np.float32)
             at = None
@@ -124,6 +145,11 @@ def adaptive_scan(queries: np.ndarray, limits: np.ndarray, blocks: list[np.ndarr
                     at, sums = (at[0][ok], at[1][ok]), sums[ok]
                 if at is not None and not len(at[0]):
                     break
+            if k is not None and len(at[0]):
+                other = slice(None) if own is None else own[0][q0 + at[0]] != own[1][c0 + at[1]]
+                limit, held = tightened(limit, held, at[0][other], sums[other], k)
+                ok = sums <= limit[at[0]]
+                at = (at[0][ok], at[1][ok])
             found_q.append(q0 + at[0])
             found_c.append(c0 + at[1])
     return np.concatenate(found_q), np.concatenate(found_c)
@@ -226,9 +252,11 @@ def nearest_neighbours(
             enough = (np.cumsum(counts[order], axis=1) < 4 * k + 1).sum(axis=1) + 1
             take = np.minimum(np.maximum(enough, probes), lists)
             limit = kth_distance(batch["id"].to_numpy(), q.astype(np.float32), anchor_ids, anchors, 2 * k)
-            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), take), "v": [v for v, t in zip(batch["v"], take) for _ in range(t)], "limit": np.repeat(limit, take), "list": np.concatenate([o[:t] for o, t in zip(order, take)])})
+            first = np.concatenate([np.arange(t) < e for t, e in zip(take, np.minimum(enough, take))])
+            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), take), "v": [v for v, t in zip(batch["v"], take) for _ in range(t)], "limit": np.repeat(limit, take), "list": np.concatenate([o[:t] for o, t in zip(order, take)]), "first": first})
+
+    probed = written(indexed.filter("q").select("id", "v").mapInPandas(probe, "id long, v array<double>, `limit` double, list long, first boolean"), "probes")
 
-    probed = written(indexed.filter("q").select("id", "v").mapInPandas(probe, "id long, v array<double>, `limit` double, list long"), "probes")
     def scan(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(candidates) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -237,8 +265,10 @@ def nearest_neighbours(
         columns = np.ascontiguousarray((augmented(c, top) @ turn).T.astype(np.float32))
         blocks = [columns[at : at + BLOCK] for at in range(0, dim + 1, BLOCK)]
         turned = (np.hstack([q, np.zeros((len(q), 1))]) @ turn).astype(np.float32)
-        # A little slack, as these distances are in single precision.
-        at_q, at_c = adaptive_scan(turned, (queries["limit"].to_numpy() * 1.0001 + 1e-5).astype(np.float32), blocks, eps)
+        limits = queries["limit"].to_numpy().astype(np.float32) * SLACK + TINY
+        # Vectors that share an id would count twice among the k least.
+        tighten = k if len(np.unique(ids)) == len(ids) else None
+        at_q, at_c = adaptive_scan(turned, limits, blocks, eps, tighten, (asked, ids))
         other = asked[at_q] != ids[at_c]
         at_q, at_c = at_q[other], at_c[other]
         scores = np.concatenate([(c[at_c[k0 : k0 + 8192]] * q[at_q[k0 : k0 + 8192]]).sum(axis=1) for k0 in range(0, len(at_q), 8192)] or [np.zeros(0)])
@@ -257,11 +287,22 @@ def nearest_neighbours(
         right = probed.join(cuts, "list").select("list", every("chunks").alias("chunk"), own_chunk("query_chunks").alias("query_chunk"), "id", "v", "limit")
         keys = ["list", "chunk", "query_chunk"]
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
+        return ranked(found)
+
+    def ranked(found: DataFrame) -> DataFrame:
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    result = written(search(probed), "neighbours")
+    # The nearest lists first: the k-th distance found there bounds what the others may add.
+    near = written(search(probed.filter("first")), "nearest")
+    bounds = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    reached = F.when(F.col("kth").isNotNull(), norm + top * top - 2 * F.col("kth"))
+    rest = probed.filter("NOT first").join(bounds, "id", "left").select("id", "v", F.least("limit", reached).alias("limit"), "list")
+    rest = written(rest, "rest")
+    result = written(ranked(near.drop("rank").unionByName(search(rest).drop("rank"))), "neighbours")
+    discard(near, rest, probed)
     # A bound or a test may leave a query with less than k: such queries, few if any, look at every list without either.
     full = result.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("id"))
     short = written(indexed.filter("q").select("id", "v").join(full, "id", "left_anti"), "short")

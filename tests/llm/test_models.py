@@ -72,6 +72,20 @@ def test_adaptive_scan_keeps_the_nearest():
     assert (np.bincount(at_q, minlength=300) <= 41).all()
 
 
+def test_limits_tighten_so_that_survivors_do_not_grow_with_the_candidates():
+    rng = np.random.default_rng(2)
+    x, q = rng.standard_normal((60_000, 32)).astype(np.float32), rng.standard_normal((40, 32)).astype(np.float32)
+    survivors = {}
+    for m in (8_000, 60_000):
+        d = ((x[None, :m] - q[:, None]) ** 2).sum(2)
+        at_q, at_c = ann.adaptive_scan(q, np.full(40, np.inf, np.float32), [np.ascontiguousarray(x[:m].T[k : k + 16]) for k in (0, 16)], k=20, own=(np.arange(40) - 50, np.arange(m)))
+        survivors[m] = len(at_q) / 40
+        best = np.argsort(d, axis=1)[:, :20]
+        kept = [set(at_c[at_q == i]) for i in range(40)]
+        assert np.mean([len(kept[i] & set(best[i])) / 20 for i in range(40)]) >= 0.97
+    assert survivors[60_000] < 2 * survivors[8_000] + 20 and survivors[60_000] < 6 * 20
+
+
 def test_best_of_takes_each_id_once():
     query, ids, scores = np.array([1, 1, 1, 1, 2]), np.array([5, 5, 4, 9, 5]), np.array([3.0, 2.0, 2.0, 2.0, 1.0])
     best = ann.best_of(query, ids, scores, 2)
