@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.guard import assert_read_only
+from ..plans.storage import scoped_views
 from .graph import combined, reach, trails
 
 #: Labels that several tools share.
@@ -37,9 +38,8 @@ def schema_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def adhoc(spark: SparkSession, query: str, views: dict[str, DataFrame], **params: object) -> DataFrame:
     """A read-only SQL query with named parameters over the given views."""
     assert_read_only(spark, query)
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query, args=params or None)
+    with scoped_views(spark, views):
+        return spark.sql(query, args=params or None)
 
 
 def source_system(label: Column, labels: Column, props: Column) -> Column:
@@ -86,8 +86,8 @@ def unresolved(nodes: DataFrame, label: str = "Connection") -> DataFrame:
     return nodes.filter((F.col("label") == label) & (F.col("props")["resolved"] == "false"))
 
 
-def connection_dataframes(edges: DataFrame, connection: str, downstream: bool = True, max_depth: int = 6) -> DataFrame:
-    """(id): dataframes that a connection feeds (or that feed it), with all that derive from them."""
+def connection_dataframes(edges: DataFrame, connection: str, downstream: bool = True, max_depth: int | None = None) -> DataFrame:
+    """(id): dataframes that a connection feeds (or that feed it), with all that derive from them, at any depth."""
     if downstream:
         seeds = edges.filter((F.col("rel") == "PROVIDES_DATAFRAME") & (F.col("src") == connection)).select(F.col("dst").alias("id"))
     else:
@@ -115,10 +115,26 @@ def source_view(files: DataFrame, languages: dict[str, str], cap: int = 2 * 1024
     return files.select("id", "path", named.alias("language"), F.size(F.split(text, "\n")).alias("n_lines"), (F.length(text) > cap).alias("truncated"), F.substring(text, 1, cap).alias("text"))
 
 
+#: The relations that upstream and downstream lineage walks. Edges between connections and dataframes
+#: are not among them: they would lead through a shared connection into every script that uses it.
+LINEAGE_RELATIONS = [
+    "CONTAINS_DATASOURCE", "CONTAINS_DASHBOARD", "CONTAINS_WORKSHEET", "CONTAINS_TABLE", "CONTAINS_CHART", "CONTAINS_SHEET", "CONTAINS_DATAFRAME", "CONTAINS_SCHEDULE", "CONTAINS_JOB", "CONTAINS_COMPONENT",
+    "HAS_PARAMETER", "HAS_FIELD", "HAS_COLUMN", "USES_FIELD", "USES_PARAMETER", "USES_CONNECTION", "READS_TABLE", "WRITES_TABLE", "LOADS_FROM_TABLE", "LOADS_FROM_FILE",
+    "DERIVES_FROM", "DERIVES_FROM_REF", "DERIVES_FROM_DATAFRAME", "FILTERS_BY", "SORTS_BY", "HAS_ZONE", "CONTROLS_PARAMETER", "FILTERS_VIA_ACTION", "SETS_PARAMETER", "HAS_GROUP", "HAS_SET", "HAS_BIN", "HAS_HIERARCHY", "HAS_LEVEL",
+    "CONNECTS_VIA", "DISPLAYS_WORKSHEET", "JOINS_WITH", "CALLS_SCRIPT", "HAS_PARAMETER_SCOPE", "HAS_BLEND", "BLENDS_WITH", "DERIVES_FROM_CROSS_DS", "DERIVES_FROM_CTE_COLUMN",
+    "EXECUTES", "INVOKES_FILE", "REQUIRES_RESOURCE", "WAITS_FOR_FILE", "WAITS_FOR_PROMPT", "RUNS_ON", "HOSTS_STREAM", "RECOVERS_WITH", "TRIGGERS", "SCHEDULED_BY", "DEPENDS_ON",
+    "SOURCED_FROM", "HAS_ATTRIBUTE", "STORED_AS", "MAPS_TO", "JOINS", "REFERENCES_FK", "HAS_CONSTRAINT", "FEEDS_OBJECT",
+]
+
+
+def lineage_edges(edges: DataFrame) -> DataFrame:
+    return edges.filter(F.col("rel").isin(LINEAGE_RELATIONS))
+
+
 #: Preset name to a function of (nodes, edges, parameters).
 PRESETS: dict[str, Callable[..., DataFrame]] = {
-    "lineage-upstream": lambda nodes, edges, id, depth=6, **_: trails(edges, nodes.filter(matches(id)), depth, "out"),
-    "lineage-downstream": lambda nodes, edges, id, depth=6, **_: trails(edges, nodes.filter(matches(id)), depth, "in"),
+    "lineage-upstream": lambda nodes, edges, id, depth=6, **_: trails(lineage_edges(edges), nodes.filter(matches(id)), depth, "out"),
+    "lineage-downstream": lambda nodes, edges, id, depth=6, **_: trails(lineage_edges(edges), nodes.filter(matches(id)), depth, "in"),
     "combined": lambda nodes, edges, ids, depth=6, **_: combined(edges, nodes.filter(F.col("id").isin(ids)), depth),
     "spark-connections": lambda nodes, edges, **_: optional_hops(
         nodes.filter("label = 'SparkScript'").select(F.col("id").alias("script")), edges, [("script", "CONTAINS_DATAFRAME", "dataframe", False)]

@@ -6,10 +6,12 @@ visited by an anti-join, and is written out, so plans stay flat and a lost execu
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import written
+from ..plans.storage import discard, written
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
@@ -19,58 +21,70 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": back}.get(direction) if direction != "both" else out.unionByName(back)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, direction: str = "out", rels: list[str] | None = None, include_seeds: bool = False) -> DataFrame:
-    """(id, depth): every node within max_depth steps of a seed (column id), at its least depth."""
+def _levels(max_depth: int | None):
+    return count(1) if max_depth is None else range(1, max_depth + 1)
+
+
+def _steps(edges: DataFrame, direction: str) -> DataFrame:
+    """(at, to) written once: every level reads it, and none computes the edges' ids again."""
+    return written(directed(edges, direction).select("at", "to"), "steps")
+
+
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 6, direction: str = "out", rels: list[str] | None = None, include_seeds: bool = False) -> DataFrame:
+    """(id, depth): every node within max_depth steps (None: any number) of a seed (column id), at its least depth."""
     if rels is not None:
         edges = edges.filter(F.col("rel").isin(rels))
-    steps = directed(edges, direction).select("at", "to")
+    steps = _steps(edges, direction)
     visited = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "reach")
-    frontier, levels = visited, [visited]
-    for depth in range(1, max_depth + 1):
+    frontier = visited
+    for depth in _levels(max_depth):
         found = frontier.select(F.col("id").alias("at")).join(steps, "at").select(F.col("to").alias("id")).distinct()
         found = found.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
         frontier = written(found, "reach")
         if not frontier.limit(1).count():
             break
-        levels.append(frontier)
         visited = visited.unionByName(frontier)
-    result = visited
-    return result if include_seeds else result.filter("depth > 0")
+    discard(steps)
+    return visited if include_seeds else visited.filter("depth > 0")
 
 
-def reach_from_each(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, direction: str = "out") -> DataFrame:
+def reach_from_each(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 6, direction: str = "out") -> DataFrame:
     """(root, id, depth): reach() for many seeds at once, kept apart."""
-    steps = directed(edges, direction).select("at", "to")
+    steps = _steps(edges, direction)
     visited = written(seeds.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0)), "reach")
     frontier = visited
-    for depth in range(1, max_depth + 1):
+    for depth in _levels(max_depth):
         found = frontier.select("root", F.col("id").alias("at")).join(steps, "at").select("root", F.col("to").alias("id")).distinct()
         found = found.join(visited.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = written(found, "reach")
         if not frontier.limit(1).count():
             break
         visited = visited.unionByName(frontier)
+    discard(steps)
     return visited
 
 
 def trails(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, direction: str = "out", limit: int = 500) -> DataFrame:
     """(start, depth, node, path array<string>): paths that use no edge twice, shortest first, then by path.
 
-    The order makes the limit deterministic. Paths may be many; reach() answers most questions with far less.
+    The order makes the limit deterministic. As shorter paths come first, no path is made beyond the length at which
+    the limit is reached: paths grow with the degree to the power of the length. reach() has no such growth.
     """
-    steps = directed(edges.withColumn("eid", F.concat_ws("|", "src", "rel", "dst")), direction)
     keyed = edges.select(F.concat_ws("|", "src", "rel", "dst").alias("eid"), "src", "dst")
     out = keyed.select(F.col("src").alias("node"), F.col("dst").alias("next"), "eid")
     back = keyed.select(F.col("dst").alias("node"), F.col("src").alias("next"), "eid")
-    steps = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
+    steps = written({"out": out, "in": back, "both": out.unionByName(back)}[direction], "steps")
     paths = seeds.select(F.col("id").alias("start"), F.lit(0).alias("depth"), F.col("id").alias("node"), F.array("id").alias("path"), F.array().cast("array<string>").alias("used"))
-    every = None
+    every, found = None, 0
     for _ in range(max_depth):
         paths = paths.join(steps, "node").filter(~F.array_contains("used", F.col("eid")))
         paths = written(paths.select("start", (F.col("depth") + 1).alias("depth"), F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.concat("used", F.array("eid")).alias("used")), "trails")
         every = paths if every is None else every.unionByName(paths)
-        if not paths.limit(1).count():
+        n = paths.count()
+        found += n
+        if not n or found >= limit:
             break
+    discard(steps)
     return every.orderBy("depth", F.concat_ws(">", "path")).limit(limit).select("start", "depth", "node", "path")
 
 

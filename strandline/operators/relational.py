@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ def natural_keys(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in set(b.columns)]
 
 
-def natural_join(a: DataFrame, b: DataFrame, how: str = "outer") -> DataFrame:
-    """Join on all shared names; without any, every pair."""
+def natural_join(a: DataFrame, b: DataFrame, how: str = "outer", allow_product: bool = False) -> DataFrame:
+    """Join on all shared names. Without any the result is every pair, which the caller has to allow."""
     keys = natural_keys(a, b)
+    if not keys and not allow_product:
+        raise ValueError(f"no shared names among {a.columns} and {b.columns}: the join would be a product")
     return a.join(b, keys, how) if keys else a.crossJoin(b)
 
 
@@ -60,6 +64,26 @@ def positional_join(a: DataFrame, b: DataFrame, group: list[str], order_a: list[
     return ra.join(rb, [*group, "position"])
 
 
+def broadcast_if_small(small: DataFrame, rows: int = 100_000) -> DataFrame:
+    """small with a broadcast hint if a count shows at most that many rows, else as it is."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
+def include_lod(df: DataFrame, view: list[str], dims: list[str], inner: Column, outer: Callable[[str], Column], name: str) -> DataFrame:
+    """{INCLUDE dims : inner} in a view of dimensions `view`: inner per view and dims, then outer of that per view."""
+    finer = df.groupBy(*dict.fromkeys([*view, *dims])).agg(inner.alias("__inner"))
+    return finer.groupBy(*view).agg(outer("__inner").alias(name))
+
+
+def exclude_lod(df: DataFrame, view: list[str], dims: list[str], agg: Column, name: str) -> DataFrame:
+    """{EXCLUDE dims : agg} in a view: the aggregate over the view's other dimensions, at each of its members."""
+    left = [c for c in view if c not in dims]
+    members = df.select(*view).distinct()
+    if not left:
+        return members.join(F.broadcast(df.agg(agg.alias(name))), how="cross")  # one row
+    return members.join(df.groupBy(*left).agg(agg.alias(name)), left, "left").select(*view, name)
+
+
 def fixed_lod(df: DataFrame, dims: list[str], agg: Column, name: str) -> DataFrame:
     """{FIXED dims : agg}: the aggregate joined back to every row."""
     return df.join(df.groupBy(*dims).agg(agg.alias(name)), dims, "left")

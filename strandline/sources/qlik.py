@@ -224,6 +224,10 @@ def parse_load_script(path: str, text: str, files: dict[str, str] | None = None)
     def edge(src: str, dst: str, rel: str, confidence: float, transform: str = "") -> None:
         out.append(("edge", {"src": src, "dst": dst, "rel": rel, "confidence": confidence, "transform": transform}))
 
+    def attribute_edge(dataset: str, name: str, origin: str, resident: bool, source: str, rel: str, confidence: float, transform: str = "") -> None:
+        edge(f"{dataset}.{name}", f"{origin}.{source}", rel, confidence, transform)
+        out.append(("attribute_edge", {"dataset": dataset, "name": name, "origin": origin, "resident": resident, "source": source, "rel": rel, "confidence": confidence, "transform": transform}))
+
     def attributes(dataset: str, names: list[str]) -> None:
         for n in names:
             if n not in datasets.setdefault(dataset, []):
@@ -299,14 +303,15 @@ def parse_load_script(path: str, text: str, files: dict[str, str] | None = None)
                 edge(target, origin_name, "DERIVES_FROM" if kind == "RESIDENT" else "SOURCED_FROM", confidence, "concatenate" if concat else "")
             attributes(target, [f["name"] for f in fields if f["name"] != "*"])
             for f in fields:
-                dst = f"{target}.{f['name']}"
+                resident = kind == "RESIDENT"
                 if joins and f["name"] in before:
-                    edge(dst, f"{origin_name}.{f['name']}", "REFERENCES_FK", 0.6)
+                    attribute_edge(target, f["name"], origin_name, resident, f["name"], "REFERENCES_FK", 0.6)
                     continue
                 for src in f["sources"]:
-                    edge(dst, f"{origin_name}.{src}", rel, 0.85 if joins else confidence, ">".join(f["transforms"]))
+                    attribute_edge(target, f["name"], origin_name, resident, src, rel, 0.85 if joins else confidence, ">".join(f["transforms"]))
                 for name in f["maps"]:
-                    edge(dst, name, "MAPS_TO", 0.85)
+                    edge(f"{target}.{f['name']}", name, "MAPS_TO", 0.85)
+                    out.append(("attribute_map", {"dataset": target, "name": f["name"], "mapping": name}))
             last = target
         elif re.match(r"(?i)(QUALIFY|UNQUALIFY|RENAME|SECTION|TRACE|SLEEP|EXIT|COMMENT|TAG|DIRECTORY|DISCONNECT|CALL|LOAD\b)", s):
             out.append(("diagnostic", {"level": "info", "code": "not_applied", "detail": s[:120]}))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ids import make_id
 from ..operators import catalog, delete, graph, shape
-from ..plans.guard import lexical_violation
+from ..plans.guard import is_read_only, lexical_violation
 from . import star
 from .star import key, sql_edges, sql_id, sql_nodes, t
 
@@ -29,8 +30,17 @@ WITH RECURSIVE e AS ({edges}), r(id, depth) AS (
 ) SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) >= {least}"""
 
 
+def _first_line(spark, d):
+    """The line of least order and number: the tables' keys differ from one size to another."""
+    first = t(spark, d, "lineitem").orderBy("l_orderkey", "l_linenumber").limit(1)
+    return first.select(key("lineitem", ["l_orderkey", "l_linenumber"]).alias("id"))
+
+
+_FIRST_LINE = f"SELECT {sql_id('lineitem', ['l_orderkey', 'l_linenumber'])} AS id FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1)"
+
+
 def g1_upstream(spark, d):
-    return graph.reach(star.edges(spark, d, ALL, ["CONTAINS"]), _seed(spark, "lineitem", 1, 1), 6, "in", ["CONTAINS"])
+    return graph.reach(star.edges(spark, d, ALL, ["CONTAINS"]), _first_line(spark, d), 6, "in", ["CONTAINS"])
 
 
 def g2_downstream(spark, d):
@@ -76,6 +86,23 @@ def g7_guard(spark, d):
     return rows.select("id", lexical_violation(F.col("query")).alias("violation"))
 
 
+#: Statements and whether the guard lets them run.
+_STATEMENTS = [
+    ("SELECT 1 -- drop", True), ("WITH c AS (SELECT id FROM nodes) SELECT count(*) FROM c WHERE id IN (SELECT src FROM edges)", True), ("SELECT a FROM t UNION SELECT b FROM u ORDER BY 1 LIMIT 3", True),
+    ("VALUES (1), (2)", True), ("SELECT x FROM t LATERAL VIEW explode(xs) v AS x", True), ("SELECT k, sum(v) FROM t GROUP BY k HAVING sum(v) > (SELECT avg(v) FROM t)", True),
+    ("INSERT INTO t SELECT 1", False), ("EXECUTE IMMEDIATE 'DROP TABLE t'", False), ("COMMENT ON TABLE t IS 'x'", False), ("ALTER TABLE t UNSET TBLPROPERTIES ('a')", False), ("CLEAR CACHE", False),
+    ("SELECT reflect('java.lang.System', 'exit', 0)", False), ("SELECT * FROM (SELECT java_method('a', 'b') AS x)", False), ("SELECT 1 WHERE EXISTS (SELECT reflect('a', 'b'))", False),
+    ("WITH c AS (SELECT reflect('a', 'b') AS x) SELECT * FROM c", False), ("CREATE TABLE t AS SELECT 1", False), ("MERGE INTO t USING u ON t.a = u.a WHEN MATCHED THEN DELETE", False),
+    ("SET x = 1", False), ("USE other", False), ("REFRESH TABLE t", False), ("CACHE TABLE t", False), ("FROM u INSERT INTO t SELECT 1", False), ("DECLARE VARIABLE v = 1", False), ("", False), ("nonsense", False),
+]
+
+
+def g7_read_only(spark, d):
+    """The guard that adhoc() asks, statement by statement."""
+    rows = [(i, s, is_read_only(spark, s)) for i, (s, _) in enumerate(_STATEMENTS)]
+    return spark.createDataFrame(rows, "id int, statement string, allowed boolean").select("id", "allowed")
+
+
 def g9_optional_match(spark, d):
     c = t(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(key("customer", ["c_custkey"]).alias("customer"))
     o = t(spark, d, "orders")
@@ -103,6 +130,42 @@ def g12_chain_0_6(spark, d):
     return closed.join(uses, "id").join(part, "l_partkey").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"))
 
 
+def g8_presets(spark, d):
+    return spark.createDataFrame([(p,) for p in catalog.list_presets()], "preset string")
+
+
+def _relabelled(spark, d, rels):
+    """Edges of the star schema under relations of the estate: {(table, source label): relation}, turned where marked."""
+    out = None
+    for table, rel, turned in rels:
+        part = star.edges(spark, d, [table], ["CONTAINS"]).select("src", "dst").withColumn("rel", F.lit(rel))
+        part = part.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel") if turned else part
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def g12_chart_preset(spark, d):
+    """The preset, with regions as charts, nations as their fields, customers as sources and orders as tables."""
+    nodes = star.nodes(spark, d, ["region"]).withColumn("label", F.lit("QlikChart"))
+    edges = _relabelled(spark, d, [("nation", "USES_FIELD", False), ("customer", "DERIVES_FROM", False), ("orders", "HAS_COLUMN", True)])
+    return catalog.run_preset("qlikview-chart-lineage", nodes, edges)
+
+
+def g13_cross_preset(spark, d):
+    """The preset, with regions as dashboards and lines as dataframes."""
+    edges = _relabelled(spark, d, [("nation", "DISPLAYS_WORKSHEET", False), ("customer", "USES_FIELD", False), ("orders", "HAS_COLUMN", True), ("lineitem", "WRITES_TABLE", True)])
+    scripts = t(spark, d, "lineitem").select(key("supplier", ["l_suppkey"]).alias("src"), key("lineitem", ["l_orderkey", "l_linenumber"]).alias("dst"), F.lit("CONTAINS_DATAFRAME").alias("rel"))
+    found = catalog.run_preset("cross-tool", star.nodes(spark, d, ["region"]), edges.unionByName(scripts))
+    return found.groupBy("dashboard", "script").agg(F.count(F.lit(1)).alias("n"))
+
+
+def g14_connection_frames(spark, d):
+    """Regions as connections: what derives from what they provide, at any depth."""
+    region = F.lit(make_id("region", 1))
+    edges = _relabelled(spark, d, [("nation", "PROVIDES_DATAFRAME", False), ("customer", "DERIVES_FROM_DATAFRAME", False), ("orders", "DERIVES_FROM_DATAFRAME", False), ("lineitem", "DERIVES_FROM_DATAFRAME", False)])
+    return catalog.connection_dataframes(edges, region)
+
+
 def g13_cross_tool(spark, d):
     l, o, c, n, r, s = (t(spark, d, x) for x in ("lineitem", "orders", "customer", "nation", "region", "supplier"))
     j = r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).join(c, F.col("n_nationkey") == F.col("c_nationkey"))
@@ -326,26 +389,21 @@ SELECT DISTINCT root AS id FROM r WHERE root = id"""
 
 def g_flow_modes(spark, d):
     """USES edges point against the flow of data: the canonical mode turns them, the parity mode does not."""
-    e = star.edges(spark, d, ["lineitem"]).filter(F.col("src") == _lit("lineitem", 1, 1))
-    turned = graph.flow_edges(star.edges(spark, d, ["lineitem"]), {"USES": -1}).filter(F.col("dst") == _lit("lineitem", 1, 1))
+    first = _first_line(spark, d)
+    e = star.edges(spark, d, ["lineitem"]).join(first.withColumnRenamed("id", "src"), "src", "left_semi")
+    turned = graph.flow_edges(star.edges(spark, d, ["lineitem"]), {"USES": -1}).join(first.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return e.withColumn("mode", F.lit("parity")).unionByName(turned.withColumn("mode", F.lit("canonical"))).select("mode", "src", "dst", "rel")
 
 
-def _lit(label, *keys):
-    from ..functions.ids import make_id
-
-    return F.lit(make_id(label, *keys))
-
-
 _FLOW = f"""
 WITH e AS ({sql_edges(['lineitem'])}), t AS (SELECT CASE WHEN rel = 'USES' THEN dst ELSE src END AS src, CASE WHEN rel = 'USES' THEN src ELSE dst END AS dst, rel FROM e)
-SELECT 'parity' AS mode, src, dst, rel FROM e WHERE src = {_seed_sql('lineitem', 1, 1)}
-UNION ALL SELECT 'canonical', src, dst, rel FROM t WHERE dst = {_seed_sql('lineitem', 1, 1)}"""
+SELECT 'parity' AS mode, src, dst, rel FROM e WHERE src IN ({_FIRST_LINE})
+UNION ALL SELECT 'canonical', src, dst, rel FROM t WHERE dst IN ({_FIRST_LINE})"""
 
 _BOTH = f"SELECT src, dst FROM ({sql_edges(ALL)}) UNION ALL SELECT dst, src FROM ({sql_edges(ALL)})"
 
 QUERIES = {
-    "g1_upstream": (g1_upstream, _reach_sql(sql_edges(ALL, ["CONTAINS"]), f"SELECT {_seed_sql('lineitem', 1, 1)} AS id", 6, "dst", "src")),
+    "g1_upstream": (g1_upstream, _reach_sql(sql_edges(ALL, ["CONTAINS"]), _FIRST_LINE, 6, "dst", "src")),
     "g1_trails": (g1_trails, _TRAILS),
     "g2_downstream": (g2_downstream, _reach_sql(sql_edges(ALL, ["CONTAINS"]), f"SELECT {_seed_sql('region', 1)} AS id", 4)),
     "g3_khop": (g3_khop, _reach_sql(_BOTH, f"SELECT {_seed_sql('nation', 3)} AS id", 2)),
@@ -353,9 +411,28 @@ QUERIES = {
     "g5_schema": (g5_schema, f"WITH n AS ({sql_nodes()}), e AS ({sql_edges()}) SELECT 'label' AS kind, label AS name, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'rel', rel, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'property', 'key', count(*) FROM n"),
     "g6_adhoc": (g6_adhoc, f"WITH n AS ({sql_nodes(['region', 'nation'])}), e AS ({sql_edges(['nation'])}) SELECT n.name, count(*) AS n FROM n JOIN e ON e.src = n.id GROUP BY 1"),
     "g7_guard": (g7_guard, "SELECT * FROM (VALUES (1, NULL), (2, 'create'), (3, NULL), (4, NULL), (5, 'set'), (6, 'empty'), (7, NULL), (8, 'detach'), (9, NULL)) v(id, violation)"),
+    "g7_read_only": (g7_read_only, "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()})" for i, (_, ok) in enumerate(_STATEMENTS)) + ") v(id, allowed)"),
+    "g8_presets": (g8_presets, f"SELECT * FROM (VALUES {', '.join(f"('{p}')" for p in ('combined', 'cross-tool', 'lineage-downstream', 'lineage-upstream', 'qlikview-chart-lineage', 'spark-connections', 'spark-write-targets', 'tableau-physical-tables'))}) v(preset)"),
     "g9_optional_match": (g9_optional_match, _OPT),
     "g10_write_targets": (g10_write_targets, f"SELECT {_seed_sql('nation', 5)} AS nation, {sql_id('customer', ['c_custkey'])} AS customer, CASE WHEN o_orderkey IS NOT NULL THEN {sql_id('orders', ['o_orderkey'])} END AS \"order\" FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 5"),
     "g12_chain_0_6": (g12_chain_0_6, "SELECT p_brand, count(*) AS n, 3 AS depth FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_nationkey = 7 GROUP BY 1"),
+    "g12_chart_preset": (
+        g12_chart_preset,
+        f"""WITH u AS (SELECT {sql_id('region', ['n_regionkey'])} AS chart, {sql_id('nation', ['n_nationkey'])} AS attribute, n_nationkey FROM nation),
+s AS (SELECT chart, attribute, {sql_id('customer', ['c_custkey'])} AS source, c_custkey FROM u JOIN customer ON c_nationkey = n_nationkey)
+SELECT chart, attribute, source, {sql_id('orders', ['o_orderkey'])} AS "table" FROM s JOIN orders ON o_custkey = c_custkey ORDER BY ALL LIMIT 200""",
+    ),
+    "g13_cross_preset": (
+        g13_cross_preset,
+        f"""SELECT {sql_id('region', ['n_regionkey'])} AS dashboard, {sql_id('supplier', ['l_suppkey'])} AS script, count(*) AS n
+FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+    ),
+    "g14_connection_frames": (
+        g14_connection_frames,
+        f"""WITH n AS (SELECT * FROM nation WHERE n_regionkey = 1), c AS (SELECT * FROM customer JOIN n ON c_nationkey = n_nationkey), o AS (SELECT * FROM orders JOIN c ON o_custkey = c_custkey)
+SELECT {sql_id('nation', ['n_nationkey'])} AS id FROM n UNION SELECT {sql_id('customer', ['c_custkey'])} FROM c UNION SELECT {sql_id('orders', ['o_orderkey'])} FROM o
+UNION SELECT {sql_id('lineitem', ['l_orderkey', 'l_linenumber'])} FROM lineitem JOIN o ON l_orderkey = o_orderkey""",
+    ),
     "g13_cross_tool": (g13_cross_tool, "SELECT r_name, s_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"),
     "g14_closure_each": (g14_closure_each, f"WITH RECURSIVE e AS ({sql_edges(UP)}), r(root, id, depth) AS (SELECT {sql_id('region', ['r_regionkey'])}, {sql_id('region', ['r_regionkey'])}, 0 FROM region UNION SELECT r.root, e.dst, depth + 1 FROM r JOIN e ON e.src = r.id) SELECT root, depth, count(*) AS n FROM r GROUP BY 1, 2"),
     "g15_both_exist": (g15_both_exist, f"SELECT {sql_id('part', ['p_partkey'])} AS id, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)"),

@@ -110,19 +110,21 @@ def m18_commonality(spark, d):
 
 
 def m19_disjoint_edges(spark, d):
-    e = t(spark, d, "events")
+    # Users of even and odd number keep to event types of their own, but for some of them.
+    e = t(spark, d, "events").filter("event_type IN ('view', 'click') AND user_id % 2 = 0 OR event_type = 'error' AND user_id % 2 = 1 OR event_type = 'view' AND user_id % 5 = 0")
     sources = u.commonality(e, "user_id", "event_type").select(F.col("user_id").alias("id"), "sources")
     pairs = e.select(F.col("user_id").alias("src"), (F.col("user_id") + 1).alias("dst")).distinct()
     return u.disjoint_edges(pairs, sources)
 
 
 _DIS = """
-WITH s AS (SELECT user_id AS id, array_agg(DISTINCT event_type) AS x FROM events GROUP BY 1), p AS (SELECT DISTINCT user_id AS src, user_id + 1 AS dst FROM events)
+WITH e AS (SELECT * FROM events WHERE event_type IN ('view', 'click') AND user_id % 2 = 0 OR event_type = 'error' AND user_id % 2 = 1 OR event_type = 'view' AND user_id % 5 = 0),
+s AS (SELECT user_id AS id, array_agg(DISTINCT event_type) AS x FROM e GROUP BY 1), p AS (SELECT DISTINCT user_id AS src, user_id + 1 AS dst FROM e)
 SELECT p.src, p.dst, list_min(a.x) AS src_source, list_min(b.x) AS dst_source FROM p JOIN s a ON a.id = p.src JOIN s b ON b.id = p.dst WHERE NOT list_has_any(a.x, b.x)"""
 
 
 def m20_shared_tables(spark, d):
-    a = t(spark, d, "lineitem").filter("l_shipdate < '1995-01-01'").select(key("part", ["l_partkey"]).alias("id"))
+    a = t(spark, d, "lineitem").filter("l_shipdate < '1995-03-01'").select(key("part", ["l_partkey"]).alias("id"))
     b = t(spark, d, "lineitem").filter("l_returnflag = 'R'").select(key("part", ["l_partkey"]).alias("id"))
     return a.intersect(b)
 
@@ -148,5 +150,5 @@ QUERIES = {
     "m17_conflicts": (m17_conflicts, _CONF),
     "m18_commonality": (m18_commonality, "SELECT user_id, count(DISTINCT event_type) AS n_sources, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources, count(DISTINCT event_type) >= 2 AS common FROM events GROUP BY 1"),
     "m19_disjoint_edges": (m19_disjoint_edges, _DIS),
-    "m20_shared_tables": (m20_shared_tables, f"SELECT {sql_id('part', ['l_partkey'])} AS id FROM lineitem WHERE l_shipdate < '1995-01-01' INTERSECT SELECT {sql_id('part', ['l_partkey'])} FROM lineitem WHERE l_returnflag = 'R'"),
+    "m20_shared_tables": (m20_shared_tables, f"SELECT {sql_id('part', ['l_partkey'])} AS id FROM lineitem WHERE l_shipdate < '1995-03-01' INTERSECT SELECT {sql_id('part', ['l_partkey'])} FROM lineitem WHERE l_returnflag = 'R'"),
 }

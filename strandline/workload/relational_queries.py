@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as r
 from ..operators import scheduler as s
+from ..plans.storage import scoped_views
 from .star import t
 
 
@@ -119,7 +120,8 @@ def j1_theta(spark, d):
 
 def j3_broadcast(spark, d):
     l = t(spark, d, "lineitem")
-    return l.join(F.broadcast(t(spark, d, "nation").join(t(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"))), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+    named = t(spark, d, "nation").join(t(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "n_name")
+    return l.join(r.broadcast_if_small(named), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def j6_natural_join(spark, d):
@@ -251,13 +253,13 @@ def w1_topn(spark, d):
 
 
 def w2_rank(spark, d):
-    t(spark, d, "part").createOrReplaceTempView("part")
-    return spark.sql("SELECT p_partkey, rank() OVER w AS rk, dense_rank() OVER w AS dr FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)")
+    with scoped_views(spark, {"part": t(spark, d, "part")}):
+        return spark.sql("SELECT p_partkey, rank() OVER w AS rk, dense_rank() OVER w AS dr FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)")
 
 
 def w3_range7d(spark, d):
-    t(spark, d, "orders").createOrReplaceTempView("orders")
-    return spark.sql("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '7' DAY PRECEDING AND CURRENT ROW), 2) AS week FROM orders")
+    with scoped_views(spark, {"orders": t(spark, d, "orders")}):
+        return spark.sql("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '7' DAY PRECEDING AND CURRENT ROW), 2) AS week FROM orders")
 
 
 def w4_velocity(spark, d):
@@ -271,8 +273,8 @@ def w6_qualify(spark, d):
     """QUALIFY, which Spark's parser lacks, as a filter over a subquery: rewritten from the vendor's text."""
     from ..plans.sql_lineage import rewrite_qualify
 
-    t(spark, d, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(rewrite_qualify("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1"))
+    with scoped_views(spark, {"lineitem": t(spark, d, "lineitem")}):
+        return spark.sql(rewrite_qualify("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1"))
 
 
 def w7_lag_diff(spark, d):
