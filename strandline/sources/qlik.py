@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 import struct
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -317,37 +318,55 @@ def parse_load_script(path: str, text: str, files: dict[str, str] | None = None)
             out.append(("diagnostic", {"level": "info", "code": "not_applied", "detail": s[:120]}))
         else:
             out.append(("diagnostic", {"level": "warning", "code": "unrecognised", "detail": s[:120]}))
-    out += constraints({k: v for k, v in datasets.items() if k not in mappings})
+    kept = {k: v for k, v in datasets.items() if k not in mappings}
+    out += constraints(kept, [(x["src"], x["dst"]) for kind, x in out if kind == "edge" and x["rel"] == "JOINS"])
     return out
 
 
-def constraints(datasets: dict[str, list[str]]) -> list[tuple[str, dict]]:
-    """Key candidates: own identifiers, foreign keys by shared identifiers, synthetic keys of two shared fields or more."""
-    out, seen = [], set()
+#: Confidence of each signal for a key.
+SIGNALS = {"qvd_hint": 0.7, "join_inferred": 0.6, "synthetic": 0.55, "naming_inferred": 0.5, "key_name": 0.4}
+_KEY_NAME = re.compile(r"(?i)id|[a-z_]\w*(?:id|key)|%[a-z_]\w*key")
 
-    def add(dataset: str, kind: str, columns: list[str], confidence: float, signal: str, target: str | None = None) -> None:
-        key = (dataset, kind, tuple(columns))
-        if key not in seen:
-            seen.add(key)
-            out.append(("constraint", {"dataset": dataset, "kind": kind, "columns": columns, "confidence": confidence, "signal": signal, "references": target}))
 
-    singular = lambda n: re.sub(r"s$", "", n.lower())
-    for d, fields in datasets.items():
+def constraints(datasets: dict[str, list[str]], joins: Iterable[tuple[str, str]] = (), unique: dict[str, list[str]] | None = None) -> list[tuple[str, dict]]:
+    """Key candidates of datasets (name to fields), the strongest signal first; the first of a dataset's kind and columns stands.
+
+    unique: fields whose data file says that all values differ; joins: (target, source). Fields that datasets share refer
+    to each other; two shared fields or more are a synthetic key of both; names that look like keys are the last resort.
+    """
+    out: dict[tuple, tuple[str, dict]] = {}
+
+    def add(dataset: str, kind: str, columns: list[str], signal: str, target: str | None = None) -> None:
+        row = {"dataset": dataset, "kind": kind, "columns": columns, "confidence": SIGNALS[signal], "signal": signal, "references": target}
+        out.setdefault((dataset, kind, tuple(columns)), ("constraint", row))
+
+    for d, fields in (unique or {}).items():
         for f in fields:
-            if f.lower() in (f"{singular(d)}id", f"{singular(d)}_id", "id"):
-                add(d, "primary_key", [f], 0.7, "own_identifier")
+            add(d, "unique", [f], "qvd_hint")
+    for d, other in joins:
+        for f in sorted(set(datasets.get(d, ())) & set(datasets.get(other, ()))):
+            add(d, "foreign_key", [f], "join_inferred", other)
+    holders: dict[str, list[str]] = {}
     for d, fields in datasets.items():
-        for f in fields:
-            if re.search(r"(?i)(_?id|key|code)$", f):
-                for other, names in datasets.items():
-                    if other != d and f in names and any(x[1]["dataset"] == other and x[1]["columns"] == [f] and x[1]["kind"] == "primary_key" for x in out):
-                        add(d, "foreign_key", [f], 0.6, "shared_identifier", other)
+        for f in dict.fromkeys(fields):
+            holders.setdefault(f, []).append(d)
+    shared: dict[tuple[str, str], list[str]] = {}
+    for f, names in holders.items():
+        for a, b in permutations(names, 2):
+            add(a, "foreign_key", [f], "naming_inferred", b)
+            if a < b:
+                shared.setdefault((a, b), []).append(f)
+    warnings = []
+    for pair, fields in shared.items():
+        if len(fields) >= 2:
+            for d in pair:
+                add(d, "synthetic_key", sorted(fields), "synthetic")
+            warnings.append(("diagnostic", {"level": "warning", "code": "synthetic_key", "detail": f"{pair[0]} and {pair[1]} share {', '.join(sorted(fields))}"}))
     for d, fields in datasets.items():
-        for other, names in datasets.items():
-            shared = sorted(set(fields) & set(names))
-            if d < other and len(shared) >= 2:
-                add(d, "synthetic_key", shared, 0.5, "shared_fields", other)
-    return out
+        for f in fields:
+            if _KEY_NAME.fullmatch(f):
+                add(d, "primary_key", [f], "key_name")
+    return [*out.values(), *warnings]
 
 
 def qvd_header(content: bytes) -> dict:

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import catalog, graph
 from ..plans import estate
 from ..plans.sql_lineage import lineage_frame
 from ..plans.storage import written
@@ -261,6 +261,89 @@ def _estate(spark):
     return estate.combine([estate.spark_graph(code), estate.scheduler_graph(jobs), estate.workbook_graph(sheets), estate.script_graph(scripts)])
 
 
+_CHARTS = [("parcels.qvf", "ch1", "barchart", "Load by courier", json.dumps({"qHyperCube": {"qMeasures": [{"qDef": "Sum([TotalWeight])"}], "qDimensions": [{"qFieldDefs": ["[Zone]"]}]}}))]
+
+
+_BUILT: dict[str, tuple] = {}
+
+
+def _estate_full(spark):
+    """The estate with app objects, SQL scripts, orchestration and logs; written once in an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _BUILT:
+        _BUILT.clear()
+        _BUILT[app] = _build_estate(spark)
+    return _BUILT[app]
+
+
+def _build_estate(spark):
+    scripts = written(parse(_files(spark, "parcels.qvs"), lambda p, x: qlik.parse_load_script(p, x)), "parsed")
+    code, jobs, sheets = (written(x, "parsed") for x in (_spark_rows(spark), _tws(spark), parse(_files(spark, "fleet.twb"), tableau.parse_workbook)))
+    charts = spark.createDataFrame(_CHARTS, "app string, qId string, qType string, qTitle string, qData string")
+    one = lambda name, text: spark.createDataFrame([(name, text)], "path string, content string")
+    parts = [
+        estate.spark_graph(code),
+        estate.scheduler_graph(jobs),
+        estate.workbook_graph(sheets),
+        estate.script_graph(scripts),
+        estate.objects_graph(charts, scripts),
+        estate.sql_graph(written(lineage_frame(spark, SCRIPTS), "parsed")),
+        estate.orchestration_graph(written(parse(one("dag.py", _DAG), orchestration.parse_airflow), "parsed"), written(orchestration.workflow_tasks(one("w.json", _FLOW)), "parsed"), written(parse(one("run.sh", _SUBMIT), orchestration.parse_spark_submit), "parsed")),
+        estate.runtime_graph(written(s9_delta_log(spark, None), "parsed"), written(_log(spark)["executions"], "parsed")),
+    ]
+    return estate.combine(parts)
+
+
+def estate_columns(spark, d):
+    """(label, column, source): what each column that scripts write to a table derives from in one step, by owner and name."""
+    nodes, edges = _estate_full(spark)
+    owner = edges.filter("rel IN ('HAS_COLUMN', 'HAS_FIELD', 'HAS_ATTRIBUTE')").select(F.col("src").alias("owner"), F.col("dst").alias("id"))
+    named = nodes.filter("label = 'Attribute'").join(owner, "id").join(nodes.select(F.col("id").alias("owner"), F.col("label").alias("of"), F.col("name").alias("owner_name")), "owner")
+    named = named.filter("of IN ('Table', 'Dataset')").select("id", F.concat_ws(".", F.lower("owner_name"), F.lower("name")).alias("name"))
+    closed = graph.reach_from_each(edges.filter("rel = 'DERIVES_FROM'"), named.select("id"), None).filter("depth > 0")
+    both = closed.join(named.select(F.col("id").alias("root"), F.col("name").alias("column")), "root").join(named.withColumnRenamed("name", "source"), "id")
+    return both.select("column", "source").distinct()
+
+
+def estate_rels(spark, d):
+    return _estate_full(spark)[1].groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+def preset_cross_tool(spark, d):
+    nodes, edges = _estate_full(spark)
+    found = catalog.run_preset("cross-tool", nodes, edges)
+    for c in ("dashboard", "worksheet", "attribute", "table", "script"):
+        found = found.join(nodes.select(F.col("id").alias(c), F.lower("name").alias(f"{c}_name")), c)
+    return found.select(*[F.col(f"{c}_name").alias(c) for c in ("dashboard", "worksheet", "attribute", "table", "script")]).distinct()
+
+
+def preset_chart_lineage(spark, d):
+    nodes, edges = _estate_full(spark)
+    found = catalog.run_preset("qlikview-chart-lineage", nodes, edges)
+    for c in ("chart", "attribute", "source", "table"):
+        found = found.join(nodes.select(F.col("id").alias(c), F.lower("name").alias(f"{c}_name")), c)
+    return found.select(*[F.col(f"{c}_name").alias(c) for c in ("chart", "attribute", "source", "table")]).distinct()
+
+
+def preset_lineage_upstream(spark, d):
+    """Names along the shortest trails from a dashboard; relations between connections and frames are not walked."""
+    nodes, edges = _estate_full(spark)
+    board = nodes.filter("label = 'TableauDashboard'").first()["id"]
+    ends = catalog.run_preset("lineage-upstream", nodes, edges, id=board, depth=3).select("depth", F.col("node").alias("id")).distinct()
+    return ends.join(nodes, "id").groupBy("depth", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def preset_physical_tables(spark, d):
+    nodes, edges = _estate_full(spark)
+    found = catalog.run_preset("tableau-physical-tables", nodes, edges)
+    return found.join(nodes.select(F.col("id").alias("table"), F.lower("name").alias("name")), "table").select("name").distinct()
+
+
+def l5_recursive(spark, d):
+    sql = {"r.sql": "WITH RECURSIVE t AS (SELECT id, boss AS up FROM staff UNION ALL SELECT s.id, s.boss FROM staff s JOIN t ON s.boss = t.id) SELECT id FROM t", "n.sql": "WITH t AS (SELECT id FROM staff) SELECT id FROM t"}
+    return lineage_frame(spark, sql).filter("via = 'recursive_cte'").select("path", "name", "sources")
+
+
 def estate_answer(spark, d):
     """From dashboard to table, script, job, schedule and start time, across four kinds of artefact."""
     return estate.answer(*_estate(spark))
@@ -316,7 +399,7 @@ QUERIES = {
     "s13_workflow": (s13_workflow, _values("workflow, cron, task, kind, target, upstream", ("daily", "0 0 3 * * ?", "a", "notebook", "/n/load", ""), ("daily", "0 0 3 * * ?", "b", "python", "etl.py", "a"))),
     "s14_spark_submit": (s14_spark_submit, _values("application, args, conf, mode", ("jobs/etl.py", "--day 2026-01-01", "c d", "cluster"))),
     "s15_load_script": (s15_load_script, _values("src, dst, rel, confidence", ("ZoneMap", "zones.csv", "SOURCED_FROM", 1.0), ("Courier", "OPS.MAIN.COURIER", "SOURCED_FROM", 1.0), ("Parcels", "parcels.qvd", "SOURCED_FROM", 1.0), ("Parcels", "old_x.qvd", "SOURCED_FROM", 0.9), ("Parcels", "old_y.qvd", "SOURCED_FROM", 0.9), ("ByCourier", "Parcels", "DERIVES_FROM", 0.95), ("ByCourier", "Courier", "JOINS", 0.85), ("ByCourier", "ByCourier.qvd", "STORED_AS", 1.0))),
-    "c15_constraints": (c15_constraints, _values('dataset, kind, columns, confidence, "references"', ("Courier", "primary_key", "CourierID", 0.7, None), ("Parcels", "primary_key", "ParcelID", 0.7, None), ("Parcels", "foreign_key", "CourierID", 0.6, "Courier"), ("ByCourier", "foreign_key", "CourierID", 0.6, "Courier"), ("ByCourier", "synthetic_key", "CourierID,CourierName", 0.5, "Courier"))),
+    "c15_constraints": (c15_constraints, _values('dataset, kind, columns, confidence, "references"', ('ByCourier', 'foreign_key', 'CourierID', 0.6, 'Courier'), ('ByCourier', 'foreign_key', 'CourierName', 0.6, 'Courier'), ('ByCourier', 'primary_key', 'CourierID', 0.4, None), ('ByCourier', 'synthetic_key', 'CourierID,CourierName', 0.55, None), ('Courier', 'foreign_key', 'CourierID', 0.5, 'Parcels'), ('Courier', 'foreign_key', 'CourierName', 0.5, 'ByCourier'), ('Courier', 'primary_key', 'CourierID', 0.4, None), ('Courier', 'synthetic_key', 'CourierID,CourierName', 0.55, None), ('Parcels', 'foreign_key', 'CourierID', 0.5, 'Courier'), ('Parcels', 'primary_key', 'CourierID', 0.4, None), ('Parcels', 'primary_key', 'ParcelID', 0.4, None))),
     "s17_qvd_header": (s17_qvd_header, _values("name, records, field, symbols, is_unique", ("Trips", 3, "id", 3, True), ("Trips", 3, "van", 2, False))),
     "s18_workbook": (s18_workbook, _values('dashboard, worksheet, "table"', ("Fleet Board", "Trips", "OPS.main.trips"), ("Fleet Board", "Trips", "OPS.main.vans"), ("Fleet Board", "Costs", "mart.shipments_priced"))),
     "c17_field_dependencies": (c17_field_dependencies, _values("field, depends_on", ("Calc_1", "km"), ("Calc_1", "van"), ("Calc_2", "Calc_1"), ("Calc_9", "cost"))),
@@ -327,7 +410,14 @@ QUERIES = {
     "j14_event_rules": (j14_event_rules, _values("n", (1,))),
     "s25_connections": (s25_connections, _values("format, klass, server, port, dbname, resolved, has_credentials", ("jdbc", "postgresql", "db1", 5432, "sales", True, True), ("kafka", "kafka", "a1", 9092, "", True, False), ("snowflake", "snowflake", "acme.example.com", 443, "OPS", True, False), ("parquet", "s3", "lake", None, "", True, False), ("mongodb", "mongodb", "m1", 27017, "shop", True, False), ("mystery", "unknown:mystery", "", None, "", False, False), ("redis", "redis", "localhost", 6379, "", True, False))),
     "estate_answer": (estate_answer, _values('dashboard, "table", script, job, schedule, start_time', ("Fleet Board", "mart.shipments_priced", "etl_job.py", "SEND", "REPORTS", "05:00"), ("Fleet Board", "mart.shipments_priced", "etl_job.py", "BALANCE", "WEEKLY", "23:00"))),
-    "estate_labels": (estate_labels, None),
+    "estate_labels": (estate_labels, _values('label, n', ('Attribute', 86), ('Connection', 7), ('DataFrame', 17), ('Dataset', 4), ('FileWatcher', 2), ('Job', 7), ('QlikScript', 1), ('Resource', 1), ('Schedule', 3), ('Script', 7), ('SparkScript', 1), ('Table', 16), ('TableauDashboard', 1), ('TableauDatasource', 3), ('TableauWorkbook', 1), ('TableauWorksheet', 2), ('Workstation', 3))),
+    "estate_columns": (estate_columns, _values('"column", source', ("bycourier.courierid", "old_x.qvd.courierid"), ("bycourier.courierid", "old_y.qvd.courierid"), ("bycourier.courierid", "parcels.courierid"), ("bycourier.courierid", "parcels.qvd.courierid"), ("bycourier.couriername", "courier.couriername"), ("bycourier.couriername", "ops.main.courier.couriername"), ("bycourier.n", "old_x.qvd.parcelid"), ("bycourier.n", "old_y.qvd.parcelid"), ("bycourier.n", "parcels.parcelid"), ("bycourier.n", "parcels.qvd.parcelid"), ("bycourier.totalweight", "old_x.qvd.weight"), ("bycourier.totalweight", "old_y.qvd.weight"), ("bycourier.totalweight", "parcels.qvd.weight"), ("bycourier.totalweight", "parcels.weight"), ("courier.courierid", "ops.main.courier.courierid"), ("courier.couriername", "ops.main.courier.couriername"), ("courier.zone", "ops.main.courier.zonecode"), ("courier.zonecode", "ops.main.courier.zonecode"), ("mart.copy.big", "raw.orders.amount"), ("mart.copy.id", "raw.orders.order_id"), ("mart.shipments_priced.class", "daily.kg"), ("mart.shipments_priced.class", "prod.dim.carriers.kg"), ("mart.shipments_priced.class", "s3a://lake/prod/shipments/.kg"), ("mart.shipments_priced.cost", "daily.kg"), ("mart.shipments_priced.cost", "daily.rate"), ("mart.shipments_priced.cost", "prod.dim.carriers.kg"), ("mart.shipments_priced.cost", "prod.dim.carriers.rate"), ("mart.shipments_priced.cost", "s3a://lake/prod/shipments/.kg"), ("mart.shipments_priced.cost", "s3a://lake/prod/shipments/.rate"), ("mart.summary.customer_id", "stage.summary.customer_id"), ("mart.summary.total", "stage.summary.total"), ("parcels.courierid", "old_x.qvd.courierid"), ("parcels.courierid", "old_y.qvd.courierid"), ("parcels.courierid", "parcels.qvd.courierid"), ("parcels.fee", "parcels.qvd.weight"), ("parcels.parcelid", "old_x.qvd.parcelid"), ("parcels.parcelid", "old_y.qvd.parcelid"), ("parcels.parcelid", "parcels.qvd.parcelid"), ("parcels.weight", "old_x.qvd.weight"), ("parcels.weight", "old_y.qvd.weight"), ("parcels.weight", "parcels.qvd.weight"), ("zonemap.zonecode", "zones.csv.zonecode"), ("zonemap.zonename", "zones.csv.zonename"))),
+    "estate_rels": (estate_rels, _values('rel, n', ('CONTAINS_DATAFRAME', 17), ('CONTAINS_DATASOURCE', 3), ('CONTAINS_EXECUTION', 2), ('CONTAINS_JOB', 12), ('CONTAINS_TABLE', 4), ('DEPENDS_ON', 9), ('DERIVES_FROM', 90), ('DERIVES_FROM_DATAFRAME', 15), ('DISPLAYS_WORKSHEET', 2), ('EXECUTES', 12), ('FEEDS_OBJECT', 2), ('HAS_ATTRIBUTE', 14), ('HAS_COLUMN', 53), ('HAS_FIELD', 41), ('HAS_SCHEMA_EVENT', 5), ('INVOKES_FILE', 2), ('MAPS_TO', 1), ('PROVIDES_DATAFRAME', 5), ('READS_DATASOURCE', 2), ('READS_TABLE', 17), ('REFERENCES_FK', 1), ('REQUIRES_RESOURCE', 2), ('RUNS_ON', 7), ('SOURCED_FROM', 3), ('STORED_AS', 1), ('USES_FIELD', 10), ('WAITS_FOR_FILE', 2), ('WRITES_TABLE', 8), ('WRITES_TO_CONNECTION', 3))),
+    "preset_cross_tool": (preset_cross_tool, _values('dashboard, worksheet, attribute, "table", script', ("fleet board", "costs", "cost", "mart.shipments_priced", "etl_job.py"))),
+    "preset_chart_lineage": (preset_chart_lineage, _values('chart, attribute, source, "table"', ("load by courier", "totalweight", "weight", "old_x.qvd"), ("load by courier", "totalweight", "weight", "old_y.qvd"), ("load by courier", "totalweight", "weight", "parcels.qvd"), ("load by courier", "zone", "zonecode", "ops.main.courier"))),
+    "preset_lineage_upstream": (preset_lineage_upstream, _values('depth, label, n', (1, 'TableauWorksheet', 2), (2, 'Attribute', 8), (3, 'Attribute', 6))),
+    "preset_physical_tables": (preset_physical_tables, _values('name', ('mart.shipments_priced',), ('ops.main.trips',), ('ops.main.vans',))),
+    "l5_recursive": (l5_recursive, _values('path, name, sources', ("r.sql", "id", "id"), ("r.sql", "up", "up"))),
     "k3_openlineage": (k3_openlineage, _values('path, "eventType", id_length, inputs, outputs', ("etl_job.py", "COMPLETE", 36, "daily,events,prod.dim.carriers,s3a://archive/top/,s3a://lake/prod/shipments/", "mart.events,mart.shipments_priced,s3a://gold/top/"))),
     "t_windowed_counts": (t_windowed_counts, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
     "t_sessions": (t_sessions, _SESSIONS),

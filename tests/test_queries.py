@@ -20,6 +20,8 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     columns, want = duck_rows(duck, ORACLES[name])
     assert sorted(df.columns) == columns
     assert got == want
+    # An empty answer proves nothing; at this size all suppliers have money.
+    assert got or name == "g16_unresolved"
 
 
 def test_source_view_cuts_at_two_mebi_characters_only(spark, tmp_path):

@@ -199,3 +199,48 @@ def test_stage_dump_has_a_folder_per_kind(spark, tmp_path):
     assert {r.kind for r in back.select("kind").distinct().collect()} == {"workstation", "schedule", "job"}
     tables.export_json(back, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == back.count()
+
+
+def test_qualify_is_cut_at_the_select_list():
+    sql = rewrite_qualify("WITH c AS (SELECT a, b FROM t) SELECT a, extract(year FROM b) AS y, 'FROM QUALIFY' AS z FROM c WHERE a > 0 QUALIFY row_number() OVER (PARTITION BY y ORDER BY a) = 1 ORDER BY a")
+    assert sql == "WITH c AS (SELECT a, b FROM t) SELECT * EXCEPT (__qualify) FROM (SELECT a, extract(year FROM b) AS y, 'FROM QUALIFY' AS z, (row_number() OVER (PARTITION BY y ORDER BY a) = 1) AS __qualify FROM c WHERE a > 0) WHERE __qualify ORDER BY a"
+    assert rewrite_qualify("SELECT 'QUALIFY' FROM t") == "SELECT 'QUALIFY' FROM t"
+
+
+def test_columns_are_followed_through_frames():
+    from strandline.sources.pyspark_ast import parse_pyspark
+
+    text = "a = spark.table('raw.a')\nb = spark.table('raw.b')\nc = a.filter(a.x > 0).withColumn('y', F.col('x') * 2)\nd = c.join(b, 'id').withColumn('z', F.col('y') + F.col('w'))\nd.write.saveAsTable('mart.d')\n"
+    rows = parse_pyspark("j.py", text)
+    tables = {(x["column"], x["table"]) for k, x in rows if k == "column_table"}
+    assert ("x", "raw.a") in tables and ("x", "raw.b") not in tables
+    assert {("y", "mart.d"), ("z", "mart.d")} <= {(x["column"], x["table"]) for k, x in rows if k == "column_write"}
+    steps = {(x["column"], x["src_column"]) for k, x in rows if k == "column_edge"}
+    assert {("z", "y"), ("z", "w"), ("y", "x")} <= steps
+
+
+def test_constraints_by_signal():
+    from strandline.sources.qlik import constraints
+
+    rows = [x for k, x in constraints({"A": ["AID", "City", "Zip"], "B": ["BKey", "City", "Zip"], "C": ["AID"]}, [("C", "A")], {"A": ["AID"]}) if k == "constraint"]
+    found = {(x["dataset"], x["kind"], ",".join(x["columns"]), x["confidence"]) for x in rows}
+    assert {("A", "unique", "AID", 0.7), ("C", "foreign_key", "AID", 0.6), ("A", "foreign_key", "City", 0.5), ("A", "synthetic_key", "City,Zip", 0.55), ("B", "primary_key", "BKey", 0.4)} <= found
+
+
+def test_containers_of_accounts_and_hosts():
+    from strandline.sources.connectors import canonical_host, derive_connection
+
+    c = derive_connection("parquet", {}, "abfss://raw@lake.dfs.core.windows.net/a/b/")
+    assert (c.klass, c.server, c.database, c.dataset) == ("adls", "lake.dfs.core.windows.net", "raw", "/a/b")
+    assert [canonical_host(h) for h in ("LOCALHOST", "127.0.0.1", "::1", "0.0.0.0", " DB1 ", None)] == ["localhost"] * 4 + ["db1", ""]
+
+
+def test_a_new_version_of_a_graph_is_seen_once_it_is_whole(spark, tmp_path):
+    path = str(tmp_path / "g")
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, name string")
+    edges = spark.createDataFrame([("a", "b", "R", "")], "src string, dst string, rel string, key string")
+    for _ in range(3):
+        tables.write_graph(nodes, edges, path)
+    assert tables.versions(spark, path) == [2, 3]
+    (tmp_path / "g" / "v4" / "nodes").mkdir(parents=True)  # a writer that died
+    assert tables.versions(spark, path) == [2, 3] and tables.read_graph(spark, path)[0].count() == 2
