@@ -134,21 +134,21 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     The cut is found in a histogram of counts, 16 steps to a doubling, so that no task has to sort or send more
     than its share of the words above the cut. Of the step at the cut, words are taken by hash, as many as there is room for.
     """
-    step = F.floor(F.log2("c") * 16).cast("int")
+    rated = counts.withColumn("step", F.floor(F.log2("c") * 16).cast("int"))
     part = F.pmod(F.xxhash64("word"), F.lit(4096)).cast("int")
-    room, wanted = most, F.lit(False)
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
+    room, wanted = most, F.lit(True)
+    for r in sorted(rated.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
         if r["n"] <= room:
-            room, wanted = room - r["n"], wanted | (step == r["step"])
+            room -= r["n"]
             continue
         last = -1
-        for p in sorted(counts.filter(step == r["step"]).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda p: p["part"]):
+        for p in sorted(rated.filter(F.col("step") == r["step"]).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda p: p["part"]):
             if p["n"] > room:
                 break
             room, last = room - p["n"], p["part"]
-        wanted = wanted | ((step == r["step"]) & (part <= last))
+        wanted = (F.col("step") > r["step"]) | ((F.col("step") == r["step"]) & (part <= last))
         break
-    return sorted(counts.filter(wanted).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+    return sorted(rated.filter(wanted).select("word", "c").collect(), key=lambda r: (-r["c"], bytes(r["word"])))
 
 
 def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -247,7 +247,7 @@ def fit(training: DataFrame, lexicon: Lexicon) -> Gru:
             yield out()
 
     dealt = keyed.mapInArrow(deal, "shard int, order long, piece int, tokens binary")
-    dealt = dealt.repartition(min(shards, shuffle_parts(spark) * 8), "shard").sortWithinPartitions("shard", "order", "piece", "tokens")
+    dealt = dealt.repartition(min(shards, shuffle_parts(spark)), "shard").sortWithinPartitions("shard", "order", "piece", "tokens")
     sums = dealt.select("shard", "tokens").mapInArrow(learn, "at long, sum long, n long")
     sums = sums.groupBy("at").agg(F.sum(F.col("sum").cast("decimal(38,0)")).cast("double").alias("sum"), F.sum("n").alias("n"))
     mean = sums.select("at", (F.col("sum") / F.col("n") / F.lit(2.0**SCALE)).alias("x")).toPandas()
