@@ -309,13 +309,16 @@ def exhaust(members: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFr
     sketches first; only members with a likely partner get their texts.
     """
     known = members.join(roots, "id", "left").select("key", "id", "n", "centre", "weight", F.coalesce("root", "id").alias("comp"))
-    several = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    left = known.join(several, "key").withColumn("blocks", F.ceil(F.col("weight") / BLOCK))
+    known = written(known, "known")
+    several = written(known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"), "several")
+    # Both are tables and the join is a merge of plain shuffles, so that adaptive execution can split a hot bucket.
+    left = known.join(several.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("weight") / BLOCK))
     left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long")).join(reps.select("id", "sig", "bands"), "id")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "comp", "centre", "sig", "bands")
     shape = "key long, i long, j long, block long, id long, n long, comp long, centre long, sig binary, bands array<long>"
     units = written(left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_screen, shape), "units")
+    discard(known, several)
     rows = units.join(texts.hint("merge"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.select(*_UNIT, "text").mapInPandas(_settle(num, den), "a long, b long")
 
@@ -355,7 +358,9 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, num: int, den: int
     # A copy's component is its representative's.
     of_copies = copies.select("id", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     if_repeated = of_copies.unionByName(roots.select("id", "root")).groupBy("id").agg(F.min("root").alias("root"))
-    return sk.select("id", "n").join(if_repeated, "id", "left").select("id", "n", F.coalesce("root", "id").alias("component"))
+    found = written(sk.select("id", "n").join(if_repeated, "id", "left").select("id", "n", F.coalesce("root", "id").alias("component")), "components")
+    discard(sk, copies, roots)
+    return found
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
