@@ -144,7 +144,8 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = exact_dedup(docs, id_col, text_col)
     ids = written(found.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.bool_or("kept").alias("__kept")), "kept")
     same = docs[id_col].eqNullSafe(ids["__id"])
-    once = docs.join(ids.filter("__kept AND __n = 1"), same, "left_semi")
+    # A merge at any size: what stays of a table grows with it.
+    once = docs.join(ids.filter("__kept AND __n = 1").hint("merge"), same, "left_semi")
     if not ids.filter("__kept AND __n > 1").limit(1).count():
         return once
     # Ids that several rows carry are rare: those rows are told apart by their digests.

@@ -372,4 +372,5 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs that stand for their group, with all their columns; rows with a null id stay."""
     found = near_groups(docs, id_col, text_col)
     gone = found.filter(F.col("id").isNotNull() & (F.col("id") != F.col("component"))).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    # A merge at any size: what goes grows with the table.
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["__gone"], "left_anti")
