@@ -14,6 +14,8 @@ END, UNKNOWN = 0, 1
 LN10 = float(np.log(10.0))
 #: Texts that are learned side by side.
 LANES = 384
+#: Rows whose softmaxes are taken at a time: few enough to stay in a processor's cache.
+ROWS = 1024
 
 
 class Gru:
@@ -59,59 +61,74 @@ class Gru:
     def same(self) -> Gru:
         return Gru(self.classes, self.size, self.hidden, self.embed).load(self.flat())
 
-    def inputs(self) -> np.ndarray:
-        """The input part of the gates per token."""
-        return self.p["emb"] @ self.p["wx"] + self.p["b"]
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """The input part of each gate per token, (3, tokens, hidden), and each gate's recurrent weights, (3, hidden, hidden).
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        A gate's numbers lie together, so that no step works on columns of wider rows.
+        """
         n = self.hidden
-        a = h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * n] + a[:, : 2 * n])))
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-        return c + z * (h - c), z, r, c, a[:, 2 * n :]
+        x = self.p["emb"] @ self.p["wx"] + self.p["b"]
+        return tuple(np.ascontiguousarray(y.reshape(-1, 3, n).transpose(1, 0, 2)) for y in (x, self.p["u"]))
+
+    @staticmethod
+    def step(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(state, z, r, c, recurrent part of c) after inputs x, (3, batch, hidden), from state h."""
+        a = h @ u
+        zr = x[:2] + a[:2]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r = zr
+        c = r * a[2]
+        c += x[2]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
+        return new, z, r, c, a[2]
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray, grad: bool = False):
         """ln P(target | state) per row; with grad also the gradient of its negative sum."""
-        size = self.size
+        classes, size = self.classes, self.size
         cls = (targets // size).astype(np.uint16)
         order = np.argsort(cls, kind="stable")
         h, cls = h[order], cls[order]
-        word = targets[order] - cls * size
-        edges = np.searchsorted(cls, np.arange(self.classes + 1))
-        rows = np.arange(len(h))
-        e = h @ self.p["wc"]
-        e += self.p["bc"]
-        out = e[rows, cls]
-        np.exp(e, out=e)
-        total = e.sum(1)
+        word = targets[order] - cls * size + classes
+        edges = np.searchsorted(cls, np.arange(classes + 1)).tolist()
+        # Beside the columns of all classes, those of the words of one: a row's two softmaxes are one product.
+        both = np.concatenate([np.broadcast_to(self.p["wc"], (classes, *self.p["wc"].shape)), self.p["ww"]], axis=2)
+        bias = np.concatenate([np.broadcast_to(self.p["bc"], (classes, classes)), self.p["bw"]], axis=1)
+        sides = np.zeros((classes + size, 2), both.dtype)
+        sides[:classes, 0] = sides[classes:, 1] = 1
+        out = np.empty(len(h), np.result_type(h, both))
         if grad:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            g = {"wc": h.T @ e, "bc": e.sum(0), "ww": np.zeros_like(self.p["ww"]), "bw": np.zeros_like(self.p["bw"])}
-            dh = e @ self.p["wc"].T
+            dh, gw, gb = np.empty((len(h), self.hidden), out.dtype), np.zeros_like(both), np.zeros_like(bias)
+        some = np.arange(ROWS)
         # Rows of a class lie together now.
-        for c in range(self.classes):
-            a, b = edges[c], edges[c + 1]
-            if a == b:
-                continue
-            part, w, some = h[a:b], word[a:b], rows[: b - a]
-            e = part @ self.p["ww"][c]
-            e += self.p["bw"][c]
-            out[a:b] += e[some, w]
-            np.exp(e, out=e)
-            inner = e.sum(1)
-            total[a:b] *= inner
-            if grad:
-                e /= inner[:, None]
-                e[some, w] -= 1
-                g["ww"][c], g["bw"][c] = part.T @ e, e.sum(0)
-                dh[a:b] += e @ self.p["ww"][c].T
-        out -= np.log(total)
+        for c in range(classes):
+            for a in range(edges[c], edges[c + 1], ROWS):
+                b = min(a + ROWS, edges[c + 1])
+                part, at = h[a:b], (some[: b - a], word[a:b])
+                e = part @ both[c]
+                e += bias[c]
+                out[a:b] = e[:, c] + e[at]
+                np.exp(e, out=e)
+                total = e @ sides
+                out[a:b] -= np.log(total[:, 0] * total[:, 1])
+                if grad:
+                    e[:, :classes] /= total[:, :1]
+                    e[:, classes:] /= total[:, 1:]
+                    e[:, c] -= 1
+                    e[at] -= 1
+                    gw[c] += part.T @ e
+                    gb[c] += e.sum(0)
+                    dh[a:b] = e @ both[c].T
         back = np.empty_like(out)
         back[order] = out
         if not grad:
             return back
+        g = {"wc": gw[:, :, :classes].sum(0), "bc": gb[:, :classes].sum(0), "ww": gw[:, :, classes:], "bw": gb[:, classes:]}
         dback = np.empty_like(dh)
         dback[order] = dh
         return back, g, dback
@@ -124,13 +141,13 @@ class Gru:
         """
         time, batch = targets.shape
         n = self.hidden
-        x = self.inputs()[before.ravel()].reshape(time, batch, 3 * n)
+        table, u = self.gates()
         goes_on = (before != END if fresh is None else ~fresh)[:, :, None].astype(h0.dtype)
-        states, gates, h = [], [], h0
+        states, steps, h = [], [], h0
         for t in range(time):
             h = h * goes_on[t]
-            new, z, r, c, a = self.step(x[t], h)
-            gates.append((h, z, r, c, a))
+            new, *rest = self.step(table[:, before[t]], h, u)
+            steps.append((h, *rest))
             states.append(new)
             h = new
         live = np.flatnonzero(targets.ravel() >= 0)
@@ -139,24 +156,34 @@ class Gru:
         dout = np.zeros_like(flat)
         dout[live] = dlive
         dout = dout.reshape(time, batch, n)
-        dx = np.empty_like(x)
-        du = np.zeros_like(self.p["u"])
+        dx = np.empty((3, time, batch, n), flat.dtype)
+        du = np.zeros_like(u)
+        back = np.ascontiguousarray(u.transpose(0, 2, 1))
         dh = np.zeros_like(h0)
         for t in range(time - 1, -1, -1):
-            prev, z, r, c, a = gates[t]
-            d = dout[t] + dh
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (prev - c) * z * (1 - z)
-            dr = dc * a * r * (1 - r)
-            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dc
-            da = np.concatenate([dz, dr, dc * r], axis=1)
-            du += prev.T @ da
-            dh = (d * z + da @ self.p["u"].T) * goes_on[t]
-        dx = dx.reshape(-1, 3 * n)
+            prev, z, r, c, a = steps[t]
+            dz, dr, dc = dx[:, t]
+            dh += dout[t]
+            away = 1 - z
+            np.multiply(dh, away, out=dc)
+            dc *= 1 - c * c
+            np.subtract(prev, c, out=dz)
+            dz *= dh
+            dz *= z
+            dz *= away
+            np.multiply(dc, a, out=dr)
+            dr *= r
+            dr *= 1 - r
+            dh *= z
+            for k, da in enumerate((dz, dr, dc * r)):
+                du[k] += prev.T @ da
+                dh += da @ back[k]
+            dh *= goes_on[t]
+        dx = dx.reshape(3, -1, n)
         tokens = before.ravel()
         emb = self.p["emb"][tokens]
-        g["u"], g["wx"], g["b"] = du, emb.T @ dx, dx.sum(0)
-        demb = dx @ self.p["wx"].T
+        g["u"], g["wx"], g["b"] = np.concatenate(du, axis=1), np.concatenate(emb.T @ dx, axis=1), dx.sum(1).ravel()
+        demb = sum(d @ w.T for d, w in zip(dx, np.split(self.p["wx"], 3, axis=1)))
         order = np.argsort(tokens, kind="stable")
         used, first = np.unique(tokens[order], return_index=True)
         g["emb"] = np.zeros_like(self.p["emb"])
@@ -241,7 +268,7 @@ def score(model: Gru, texts: list[np.ndarray], lanes: int = 512, steps: int = 64
             owner[at : at + len(texts[i]), col] = i
             at += len(texts[i])
     lengths = np.array([loads[k] for k in order])
-    table = model.inputs()
+    table, u = model.gates()
     fresh = np.ones(len(lane), bool)
     before = np.zeros(len(lane), np.int64)
     h = np.zeros((len(lane), model.hidden), np.float32)
@@ -250,7 +277,7 @@ def score(model: Gru, texts: list[np.ndarray], lanes: int = 512, steps: int = 64
         for t in range(start, min(start + steps, height)):
             live = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
             h = h[:live] * ~fresh[:live, None]
-            h = model.step(table[before[:live]], h)[0]
+            h = model.step(table[:, before[:live]], h, u)[0]
             now = tokens[t, :live]
             states.append(h)
             targets.append(now)

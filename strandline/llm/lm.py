@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -101,7 +102,8 @@ class Lexicon:
 
 
 def _ranks(words: list[bytes], ranks: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter(map(ranks.__getitem__, words), np.int32, len(words))
+    # get() with a default makes no Python call per rare word, as __missing__ would.
+    return np.fromiter(map(ranks.get, words, repeat(-1)), np.int32, len(words))
 
 
 def _model_tokens(rank: np.ndarray, size: int) -> np.ndarray:
