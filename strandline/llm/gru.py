@@ -64,24 +64,27 @@ class Gru:
     def gates(self) -> tuple[np.ndarray, np.ndarray]:
         """The input part of each gate per token, (3, tokens, hidden), and each gate's recurrent weights, (3, hidden, hidden).
 
-        A gate's numbers lie together, so that no step works on columns of wider rows.
+        A gate's numbers lie together, so that no step works on columns of wider rows. Those of the two sigmoid gates are
+        halved: sigmoid(a) is (1 + tanh(a / 2)) / 2.
         """
         n = self.hidden
         x = self.p["emb"] @ self.p["wx"] + self.p["b"]
-        return tuple(np.ascontiguousarray(y.reshape(-1, 3, n).transpose(1, 0, 2)) for y in (x, self.p["u"]))
+        both = [np.ascontiguousarray(y.reshape(-1, 3, n).transpose(1, 0, 2)) for y in (x, self.p["u"])]
+        for y in both:
+            y[:2] *= 0.5
+        return tuple(both)
 
     @staticmethod
     def step(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(state, z, r, c, recurrent part of c) after inputs x, (3, batch, hidden), from state h."""
+        """(state, z, r, c, recurrent part of c) after inputs x, (3, batch, hidden), from state h; uses x up."""
         a = h @ u
-        zr = x[:2] + a[:2]
-        np.negative(zr, out=zr)
-        np.exp(zr, out=zr)
+        zr, c = x[:2], x[2]
+        zr += a[:2]
+        np.tanh(zr, out=zr)
         zr += 1
-        np.reciprocal(zr, out=zr)
+        zr *= 0.5
         z, r = zr
-        c = r * a[2]
-        c += x[2]
+        c += r * a[2]
         np.tanh(c, out=c)
         new = h - c
         new *= z
@@ -90,48 +93,49 @@ class Gru:
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray, grad: bool = False):
         """ln P(target | state) per row; with grad also the gradient of its negative sum."""
-        classes, size = self.classes, self.size
+        classes, size, n = self.classes, self.size, self.hidden
         cls = (targets // size).astype(np.uint16)
         order = np.argsort(cls, kind="stable")
-        h, cls = h[order], cls[order]
+        cls = cls[order]
         word = targets[order] - cls * size + classes
         edges = np.searchsorted(cls, np.arange(classes + 1)).tolist()
-        # Beside the columns of all classes, those of the words of one: a row's two softmaxes are one product.
-        both = np.concatenate([np.broadcast_to(self.p["wc"], (classes, *self.p["wc"].shape)), self.p["ww"]], axis=2)
-        bias = np.concatenate([np.broadcast_to(self.p["bc"], (classes, classes)), self.p["bw"]], axis=1)
+        # Beside the columns of all classes, those of the words of one: a row's two softmaxes are one product. Below the
+        # weights, the biases, which meet a column of ones.
+        both = np.empty((classes, n + 1, classes + size), np.result_type(h, self.p["ww"]))
+        both[:, :n, :classes], both[:, n, :classes] = self.p["wc"], self.p["bc"]
+        both[:, :n, classes:], both[:, n, classes:] = self.p["ww"], self.p["bw"]
         sides = np.zeros((classes + size, 2), both.dtype)
         sides[:classes, 0] = sides[classes:, 1] = 1
-        out = np.empty(len(h), np.result_type(h, both))
+        x = np.ones((len(h), n + 1), both.dtype)
+        x[:, :n] = np.take(h, order, axis=0)
+        out = np.empty(len(h), both.dtype)
         if grad:
-            dh, gw, gb = np.empty((len(h), self.hidden), out.dtype), np.zeros_like(both), np.zeros_like(bias)
-        some = np.arange(ROWS)
+            dh, g = np.empty((len(h), n), both.dtype), np.zeros_like(both)
+        some, room = np.arange(ROWS), np.empty((ROWS, classes + size), both.dtype)
         # Rows of a class lie together now.
         for c in range(classes):
             for a in range(edges[c], edges[c + 1], ROWS):
                 b = min(a + ROWS, edges[c + 1])
-                part, at = h[a:b], (some[: b - a], word[a:b])
-                e = part @ both[c]
-                e += bias[c]
+                part, at = x[a:b], (some[: b - a], word[a:b])
+                e = np.matmul(part, both[c], out=room[: b - a])
                 out[a:b] = e[:, c] + e[at]
                 np.exp(e, out=e)
                 total = e @ sides
                 out[a:b] -= np.log(total[:, 0] * total[:, 1])
                 if grad:
-                    e[:, :classes] /= total[:, :1]
-                    e[:, classes:] /= total[:, 1:]
+                    e *= (1 / total) @ sides.T
                     e[:, c] -= 1
                     e[at] -= 1
-                    gw[c] += part.T @ e
-                    gb[c] += e.sum(0)
-                    dh[a:b] = e @ both[c].T
+                    g[c] += part.T @ e
+                    np.matmul(e, both[c, :n].T, out=dh[a:b])
         back = np.empty_like(out)
         back[order] = out
         if not grad:
             return back
-        g = {"wc": gw[:, :, :classes].sum(0), "bc": gb[:, :classes].sum(0), "ww": gw[:, :, classes:], "bw": gb[:, classes:]}
         dback = np.empty_like(dh)
         dback[order] = dh
-        return back, g, dback
+        shared = g[:, :, :classes].sum(0)
+        return back, {"wc": shared[:n], "bc": shared[n], "ww": g[:, :n, classes:], "bw": g[:, n, classes:]}, dback
 
     def window(self, before: np.ndarray, targets: np.ndarray, h0: np.ndarray, fresh: np.ndarray | None = None) -> tuple[float, int, dict[str, np.ndarray], np.ndarray]:
         """Truncated backpropagation through one window (time, batch); targets of -1 count for nothing.
@@ -142,52 +146,59 @@ class Gru:
         time, batch = targets.shape
         n = self.hidden
         table, u = self.gates()
-        goes_on = (before != END if fresh is None else ~fresh)[:, :, None].astype(h0.dtype)
+        starts = [np.flatnonzero(x) for x in (before == END if fresh is None else fresh)]
         states, steps, h = [], [], h0
         for t in range(time):
-            h = h * goes_on[t]
-            new, *rest = self.step(table[:, before[t]], h, u)
+            if len(starts[t]):
+                h = h.copy()
+                h[starts[t]] = 0
+            new, *rest = self.step(np.take(table, before[t], axis=1), h, u)
             steps.append((h, *rest))
             states.append(new)
             h = new
         live = np.flatnonzero(targets.ravel() >= 0)
         flat = np.concatenate(states)
-        out, g, dlive = self.log_probs(flat[live], targets.ravel()[live], grad=True)
+        out, g, dlive = self.log_probs(np.take(flat, live, axis=0), targets.ravel()[live], grad=True)
         dout = np.zeros_like(flat)
         dout[live] = dlive
         dout = dout.reshape(time, batch, n)
-        dx = np.empty((3, time, batch, n), flat.dtype)
-        du = np.zeros_like(u)
-        back = np.ascontiguousarray(u.transpose(0, 2, 1))
+        # Of each gate's sum, of its input part; the recurrent part of c has a factor r more.
+        dx, da = np.empty((3, time, batch, n), flat.dtype), np.empty((time, batch, n), flat.dtype)
+        back = np.ascontiguousarray(self.p["u"].reshape(n, 3, n).transpose(1, 2, 0))
         dh = np.zeros_like(h0)
         for t in range(time - 1, -1, -1):
             prev, z, r, c, a = steps[t]
             dz, dr, dc = dx[:, t]
             dh += dout[t]
-            away = 1 - z
-            np.multiply(dh, away, out=dc)
-            dc *= 1 - c * c
+            dh_z = dh * z
+            np.subtract(dh, dh_z, out=dc)
             np.subtract(prev, c, out=dz)
-            dz *= dh
             dz *= z
-            dz *= away
-            np.multiply(dc, a, out=dr)
-            dr *= r
-            dr *= 1 - r
-            dh *= z
-            for k, da in enumerate((dz, dr, dc * r)):
-                du[k] += prev.T @ da
-                dh += da @ back[k]
-            dh *= goes_on[t]
+            dz *= dc
+            slope = c * c
+            np.subtract(1, slope, out=slope)
+            dc *= slope
+            np.multiply(dc, r, out=da[t])
+            np.multiply(da[t], a, out=dr)
+            np.subtract(1, r, out=slope)
+            dr *= slope
+            dh = dh_z
+            dh += dz @ back[0]
+            dh += dr @ back[1]
+            dh += da[t] @ back[2]
+            if len(starts[t]):
+                dh[starts[t]] = 0
+        before_all = np.concatenate([s[0] for s in steps]).T
         dx = dx.reshape(3, -1, n)
         tokens = before.ravel()
-        emb = self.p["emb"][tokens]
-        g["u"], g["wx"], g["b"] = np.concatenate(du, axis=1), np.concatenate(emb.T @ dx, axis=1), dx.sum(1).ravel()
+        emb = np.take(self.p["emb"], tokens, axis=0)
+        g["u"] = np.concatenate([before_all @ d for d in (dx[0], dx[1], da.reshape(-1, n))], axis=1)
+        g["wx"], g["b"] = np.concatenate(emb.T @ dx, axis=1), (np.ones((1, dx.shape[1]), dx.dtype) @ dx).ravel()
         demb = sum(d @ w.T for d, w in zip(dx, np.split(self.p["wx"], 3, axis=1)))
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens.astype(np.min_scalar_type(len(self.p["emb"]))), kind="stable")  # few bytes sort by radix
         used, first = np.unique(tokens[order], return_index=True)
         g["emb"] = np.zeros_like(self.p["emb"])
-        g["emb"][used] = np.add.reduceat(demb[order], first)
+        g["emb"][used] = np.add.reduceat(np.take(demb, order, axis=0), first)
         return -float(out.sum()), len(live), g, h
 
 
@@ -244,18 +255,29 @@ def train(model: Gru, pieces: list[np.ndarray], rate: float, epochs: int = 1, la
     return loss, total
 
 
+def packed(lengths: list[int], lanes: int) -> list[list[int]]:
+    """Texts by number, dealt to lanes of about equal length, longest first.
+
+    Beside a text that is long for the whole, fewer lanes do: all lanes together, each as long as the longest, hold a
+    few times the texts' tokens at most.
+    """
+    lanes = min(lanes, len(lengths), max(1, 2 * sum(lengths) // max(lengths)))
+    heap = [(0, k) for k in range(lanes)]
+    lane: list[list[int]] = [[] for _ in heap]
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        load, k = heapq.heappop(heap)
+        lane[k].append(i)
+        heapq.heappush(heap, (load + lengths[i], k))
+    return lane
+
+
 def score(model: Gru, texts: list[np.ndarray], lanes: int = 512, steps: int = 64) -> np.ndarray:
     """ln P of each whole text, whose tokens end with END. Texts are packed one behind another into lanes; the state
     is carried across windows and set back where a text starts, so that every text is read as if alone."""
     total = np.zeros(len(texts))
     if not texts:
         return total
-    heap = [(0, k) for k in range(min(lanes, len(texts)))]
-    lane: list[list[int]] = [[] for _ in heap]
-    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
-        load, k = heapq.heappop(heap)
-        lane[k].append(i)
-        heapq.heappush(heap, (load + len(texts[i]), k))
+    lane = packed([len(x) for x in texts], lanes)
     loads = [sum(len(texts[i]) for i in one) for one in lane]
     order = sorted(range(len(lane)), key=lambda k: -loads[k])  # lanes that end first come last
     height = loads[order[0]]
@@ -268,22 +290,24 @@ def score(model: Gru, texts: list[np.ndarray], lanes: int = 512, steps: int = 64
             owner[at : at + len(texts[i]), col] = i
             at += len(texts[i])
     lengths = np.array([loads[k] for k in order])
+    alive = np.searchsorted(-lengths, -np.arange(height), side="left")  # lanes longer than t
     table, u = model.gates()
-    fresh = np.ones(len(lane), bool)
     before = np.zeros(len(lane), np.int64)
     h = np.zeros((len(lane), model.hidden), np.float32)
     for start in range(0, height, steps):
         states, targets, owners = [], [], []
         for t in range(start, min(start + steps, height)):
-            live = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
-            h = h[:live] * ~fresh[:live, None]
-            h = model.step(table[:, before[:live]], h, u)[0]
-            now = tokens[t, :live]
+            live = alive[t]
+            h, before = h[:live], before[:live]
+            fresh = np.flatnonzero(before == END)
+            if len(fresh):
+                h = h.copy()
+                h[fresh] = 0
+            h = model.step(np.take(table, before, axis=1), h, u)[0]
+            before = tokens[t, :live].astype(np.int64)
             states.append(h)
-            targets.append(now)
+            targets.append(before)
             owners.append(owner[t, :live])
-            before = now.astype(np.int64)
-            fresh = now == END
-        out = model.log_probs(np.concatenate(states), np.concatenate(targets).astype(np.int64))
+        out = model.log_probs(np.concatenate(states), np.concatenate(targets))
         total += np.bincount(np.concatenate(owners), weights=out, minlength=len(texts))
     return total

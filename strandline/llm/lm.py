@@ -45,8 +45,8 @@ WARM_RATE, RATE = 0.02, 0.004
 SHARD, MAX_SHARDS, AT_ONCE = 1 << 20, 4_096, 1 << 20
 #: Tokens of a document that are learned as one sequence.
 PIECE = 1 << 14
-#: Documents that are scored side by side.
-SLICE = 3_000
+#: Bytes of text that are scored side by side: the more, the less often few long texts are left to be read alone.
+SLICE = 32 << 20
 #: Averaged parameters are whole multiples of 2^-SCALE, below 2^6.
 SCALE, LARGEST = 20, 63.0
 
@@ -93,12 +93,18 @@ class Lexicon:
         outside = n_words - int(inside.sum())
         self.outside_norm = float(np.log10(outside + 0.5 * (kinds - len(inside) + 1)))
 
-    def ranks(self) -> dict[bytes, int]:
+    def ranks(self, most: int | None = None) -> dict[bytes, int]:
+        """Rank of each word, or of the `most` most frequent ones; -1 of any other."""
+
         class Ranks(dict):
             def __missing__(self, word: bytes) -> int:
                 return -1
 
-        return Ranks(zip(self.words, range(len(self.words))))
+        return Ranks(zip(self.words[:most], range(len(self.words))))
+
+    def model_ranks(self) -> dict[bytes, int]:
+        """Rank of each word that the model knows: few enough to stay in a processor's cache."""
+        return self.ranks(max(0, self.size - 2))
 
 
 def _ranks(words: list[bytes], ranks: dict[bytes, int]) -> np.ndarray:
@@ -153,11 +159,12 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     return sorted(rated.filter(wanted).select("word", "c").collect(), key=lambda r: (-r["c"], bytes(r["word"])))
 
 
-def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to `size` bytes."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
+        if sum(b.nbytes for b in held) >= size:
             yield pa.concat_batches(held)
             held = []
     if held:
@@ -207,7 +214,7 @@ def fit(training: DataFrame, lexicon: Lexicon) -> Gru:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        ranks = lex.ranks()
+        ranks = lex.model_ranks()
         for batch in batches:
             rows = [(zlib.crc32(f"warm|{i}".encode()), warm_window(_model_tokens(_ranks(words_of(t), ranks), lex.size), zlib.crc32(f"window|{i}".encode()))) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([w.astype(np.uint16).tobytes() for _, w in rows], pa.binary())], names=["key", "tokens"])
@@ -225,7 +232,7 @@ def fit(training: DataFrame, lexicon: Lexicon) -> Gru:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        ranks = lex.ranks()
+        ranks = lex.model_ranks()
         for batch in batches:
             rows = [r for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in _dealt(lex, shards, i, t, ranks)]
             columns = zip(*rows) if rows else ([], [], [], [])
@@ -285,7 +292,7 @@ def score_rows(rows: DataFrame, lexicon: Lexicon, gru: Gru, counts: DataFrame) -
         context = TaskContext.get()
         key = (context.partitionId() if context else 0) << 33
         inside = lex.size - 2
-        # Batches are put together to SLICE documents: the model reads many of them side by side.
+        # Batches are put together to SLICE bytes: the model reads many documents side by side.
         for batch in _together(batches, SLICE):
             texts, sizes, known, base, outside, unknown, rare_words, rare_times = [], [], [], [], [], [], [], []
             for text in batch.column(2).to_pylist():

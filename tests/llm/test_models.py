@@ -125,6 +125,13 @@ def test_gru_is_a_distribution_and_packing_does_not_matter():
     assert np.allclose(gru.score(model, texts, lanes=2), alone, atol=1e-3) and np.allclose(gru.score(model, texts, lanes=16), alone, atol=1e-3)
 
 
+def test_lanes_beside_a_very_long_text_hold_a_few_times_the_tokens():
+    for lengths in ([100_000, *[50] * 3_000], [300] * 5_000, [7], [1] * 9, [90_000, 80_000, 5]):
+        lane = gru.packed(lengths, 512)
+        assert sorted(i for one in lane for i in one) == list(range(len(lengths)))
+        assert len(lane) * max(sum(lengths[i] for i in one) for one in lane) <= 4 * sum(lengths)
+
+
 def brute_base(rows):
     words = [(i, [*(t or "").encode().lower().split(), None]) for i, t in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
