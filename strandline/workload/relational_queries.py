@@ -270,11 +270,16 @@ def w4_velocity(spark, d):
 
 
 def w6_qualify(spark, d):
-    """QUALIFY, which Spark's parser lacks, as a filter over a subquery: rewritten from the vendor's text."""
+    """QUALIFY, which Spark's parser lacks, as a filter over a subquery: rewritten from the vendor's text.
+
+    Lines may share order and number. Of these the first read counts, by file and row, however the files are split:
+    the SQL leaves it open, and DuckDB on one thread takes that row.
+    """
     from ..plans.sql_lineage import rewrite_qualify
 
-    with scoped_views(spark, {"lineitem": t(spark, d, "lineitem")}):
-        return spark.sql(rewrite_qualify("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1"))
+    lines = t(spark, d, "lineitem").select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("read_at"))
+    with scoped_views(spark, {"lineitem": lines}):
+        return spark.sql(rewrite_qualify("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, read_at) = 1"))
 
 
 def w7_lag_diff(spark, d):

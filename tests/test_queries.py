@@ -34,6 +34,31 @@ def test_source_view_cuts_at_two_mebi_characters_only(spark, tmp_path):
     assert [got[k].language for k in (1, 2, 3, 4)] == ["html", "sql", "text", "python"] and got[3].n_lines == 2
 
 
+def test_qualify_takes_the_first_of_equal_lines_in_the_order_of_files_and_rows(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    # Equal lines lie far apart, and the file that is read last is the largest: Spark opens that one first.
+    for k, rows in enumerate((3_000, 6_000, 12_000)):
+        at = range(rows)
+        columns = {"l_orderkey": [i % 500 for i in at], "l_linenumber": pa.array([i % 3 for i in at], pa.int32()), "l_quantity": [float(1_000_000 * k + (i * 7919) % rows) for i in at]}
+        pq.write_table(pa.table(columns), folder / f"part-{k}.parquet", row_group_size=1_000)
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/*.parquet'")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        got = spark_rows(QUERIES["w6_qualify"](spark, str(tmp_path)))
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == 500 and got == duck_rows(con, ORACLES["w6_qualify"])[1]
+
+
 def test_entry_runs(spark, sf_dir):
     import __spark_entry__ as entry
 
