@@ -64,11 +64,12 @@ def reach_from_each(edges: DataFrame, seeds: DataFrame, max_depth: int | None =
     return visited
 
 
-def trails(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, direction: str = "out", limit: int = 500) -> DataFrame:
+def trails(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, direction: str = "out", limit: int | None = 500) -> DataFrame:
     """(start, depth, node, path array<string>): paths that use no edge twice, shortest first, then by path.
 
     The order makes the limit deterministic. As shorter paths come first, no path is made beyond the length at which
     the limit is reached: paths grow with the degree to the power of the length. reach() has no such growth.
+    With a limit of None, every path, in no order.
     """
     keyed = edges.select(F.concat_ws("|", "src", "rel", "dst").alias("eid"), "src", "dst")
     out = keyed.select(F.col("src").alias("node"), F.col("dst").alias("next"), "eid")
@@ -82,9 +83,11 @@ def trails(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, direction: st
         every = paths if every is None else every.unionByName(paths)
         n = paths.count()
         found += n
-        if not n or found >= limit:
+        if not n or (limit is not None and found >= limit):
             break
     discard(steps)
+    if limit is None:
+        return every.select("start", "depth", "node", "path")
     return every.orderBy("depth", F.concat_ws(">", "path")).limit(limit).select("start", "depth", "node", "path")
 
 

@@ -199,7 +199,7 @@ def g17_hits_connection(spark, d):
 
 def g18_dedupe_payload(spark, d):
     e = star.edges(spark, d, UP)
-    paths = graph.trails(e, _seed(spark, "customer", 2), 2, "both", 500)
+    paths = graph.trails(e, _seed(spark, "customer", 2), 2, "both", None)
     n, hit = catalog.payload(paths, star.nodes(spark, d, ["region", "nation", "customer", "orders"]), e)
     return n.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b")).unionByName(hit.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
 

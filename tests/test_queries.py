@@ -59,6 +59,24 @@ def test_qualify_takes_the_first_of_equal_lines_in_the_order_of_files_and_rows(s
     assert len(got) == 500 and got == duck_rows(con, ORACLES["w6_qualify"])[1]
 
 
+def test_payload_has_every_path_of_a_nation_with_many_customers(spark, tmp_path):
+    import duckdb
+
+    tables = {
+        "region": "SELECT 0::BIGINT AS r_regionkey, 'R' AS r_name",
+        "nation": "SELECT 0::BIGINT AS n_nationkey, 'N' AS n_name, 0::BIGINT AS n_regionkey",
+        "customer": "SELECT range AS c_custkey, 'C' || range AS c_name, 0::BIGINT AS c_nationkey FROM range(700)",
+        "orders": "SELECT range AS o_orderkey, 'O' AS o_orderstatus, range % 3 AS o_custkey FROM range(9)",
+    }
+    con = duckdb.connect()
+    for name, sql in tables.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path / name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path / name}.parquet'")
+    got = spark_rows(QUERIES["g18_dedupe_payload"](spark, str(tmp_path)))
+    # 700 customers, nation, region and three orders; an edge to each but the region's own end.
+    assert len(got) == 705 + 704 and got == duck_rows(con, ORACLES["g18_dedupe_payload"])[1]
+
+
 def test_entry_runs(spark, sf_dir):
     import __spark_entry__ as entry
 
