@@ -29,11 +29,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, shuffle_parts, table, text_batches, written
+from .common import shuffle_parts, table, text_batches, written
 from .gru import END, LN10, UNKNOWN, Adam, Gru, score, train
 from .words import text_bytes
 
@@ -264,8 +264,12 @@ def fit(training: DataFrame, lexicon: Lexicon) -> Gru:
 
 
 def fit_corpus(training: DataFrame) -> tuple[Lexicon, Gru, DataFrame]:
-    """Lexicon, model and the written table (word, c) of training (id, text)."""
-    counts = written(count_words(training), "counts")
+    """Lexicon, model and the kept table (word, c) of training (id, text), for the caller to unpersist.
+
+    The counts are kept on the executors' disks: a block that is lost is counted again, to the same sums. Written as a
+    table they would be a file a task, and on a local file system Hadoop starts processes for each, to set its mode.
+    """
+    counts = count_words(training).persist(StorageLevel.DISK_ONLY)
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     common = most_frequent(counts, COMMON)
     lexicon = Lexicon([bytes(r["word"]) for r in common], [r["c"] for r in common], training.count(), totals["n"], totals["v"], CLASSES * SIZE)
@@ -324,7 +328,7 @@ def score_rows(rows: DataFrame, lexicon: Lexicon, gru: Gru, counts: DataFrame) -
     c = F.coalesce("c", F.lit(0))
     rare = rare.join(counts.hint("merge"), "word", "left").groupBy("key").agg(F.sum(F.log10(c + 0.5) * F.col("times")).alias("rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     rare = written(rare, "rare")
-    discard(counts)
+    counts.unpersist()
     joined = scored.drop("words", "times").join(rare, "key", "left")
     more = F.coalesce("rare", F.lit(0.0))
     return joined.select(

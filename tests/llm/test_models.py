@@ -224,6 +224,16 @@ def test_training_on_lanes_sets_the_state_back_at_each_text():
     assert loss == pytest.approx(alone, rel=1e-5)
 
 
+def test_lm_keeps_its_counts_without_a_written_table_and_lets_them_go(spark, monkeypatch):
+    labels, write = [], lm.written
+    monkeypatch.setattr(lm, "written", lambda df, label, **options: labels.append(label) or write(df, label, **options))
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs
+    before = held().size()
+    docs = spark.createDataFrame([(i, f"one two w{i}") for i in range(40)], "doc_id long, text string")
+    assert lm.score_documents(docs).count() == 40
+    assert labels == ["scored", "rare"] and held().size() == before
+
+
 def test_the_cut_of_common_words_takes_part_of_a_step(spark):
     counts = spark.range(500).select(F.concat(F.lit("w"), F.col("id")).cast("binary").alias("word"), F.lit(7).cast("long").alias("c"))
     some = lm.most_frequent(counts, 100)
